@@ -66,16 +66,14 @@ def encode(values: np.ndarray) -> bytes:
     size = 1 + (selector == 0).astype(np.int64)
     place = np.cumsum(size) - size
     words = np.zeros(int(size.sum()), np.uint64)
-    for s, c in enumerate(COUNTS, 1):
-        which = np.flatnonzero(selector == s)
-        if len(which):
-            width = np.uint64(60 // c)
-            word = np.full(len(which), s, np.uint64) << np.uint64(60)
-            for j in range(c):
-                word |= padded_values[start[which] + j] << (np.uint64(j) * width)
-            words[place[which]] = word
-    raw = place[selector == 0]
-    words[raw + 1] = values[start[selector == 0]]
+    if n:
+        # Each id shifted to its place in its word; a word is the sum of its ids.
+        count = step_of[selector]
+        shift = np.arange(n, dtype=np.uint64) - np.repeat(start.astype(np.uint64), count)
+        shift *= np.repeat(np.array([0, *(60 // c for c in COUNTS)], np.uint64)[selector], count)
+        sums = np.add.reduceat(values << shift, start)
+        words[place] = np.where(selector == 0, np.uint64(0), sums | selector.astype(np.uint64) << np.uint64(60))
+        words[place[selector == 0] + 1] = sums[selector == 0]
     per_block = np.bincount(own, size, blocks).astype(np.int64) if blocks else np.zeros(0, np.int64)
     offsets = (np.cumsum(per_block) - per_block).astype("<u4")
     return MAGIC + np.array([n, blocks], "<u4").tobytes() + offsets.tobytes() + words.astype("<u8").tobytes()

@@ -44,7 +44,7 @@ class _Numbers(dict):
 
 
 class MemoTokenizer:
-    def __init__(self, path: str, capacity: int = 600_000):
+    def __init__(self, path: str, capacity: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
