@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import nnls_packing, simple8b, token_cache, transport_stream
+from . import chunk_dedup, nnls_packing, simhash, simple8b, token_cache, transport_stream
 from .common import fresh_path
 
 
@@ -31,6 +31,14 @@ def op3_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.coded_ids(_table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"))
 
 
+def op5_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.exact_groups(_table(spark, sf_dir, "documents"))
+
+
+def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(_table(spark, sf_dir, "documents"))
+
+
 def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nnls_packing.pack(_table(spark, sf_dir, "documents"), _path("word_bpe_49k.json"))
 
@@ -41,8 +49,16 @@ QUERIES = {
         op1_token_digest_cache,
         op2_transport_streams,
         op3_simple8b_ids,
+        op5_chunk_recipes,
+        op6_simhash_trie,
         op10_nnls_packing,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_chunk_recipes": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id = max(doc_id) OVER w AS kept, sha256(text) AS text_sha256
+        FROM d WINDOW w AS (PARTITION BY text)""",
+}

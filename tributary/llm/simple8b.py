@@ -43,8 +43,8 @@ def encode(values: np.ndarray) -> bytes:
             bits += (padded_values >> np.uint64(k)) > 0
     # choice[i]: the selector of a word that starts at i, the widest count whose ids all fit.
     choice = np.zeros(blocks * BLOCK, np.uint8)
-    at = np.arange(blocks * BLOCK, dtype=np.int64)
-    left = np.minimum(BLOCK - at % BLOCK, n - at).astype(np.int16)
+    left = np.tile(np.arange(BLOCK, 0, -1, dtype=np.int16), blocks)  # ids to the block's end
+    left[-BLOCK:] -= blocks * BLOCK - n
     largest = bits  # the largest of c bit lengths from i on, got from that of a shorter run
     shorter = 1
     for selector, c in sorted(enumerate(COUNTS, 1), key=lambda x: x[1]):
