@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, whole_text
+from .common import stored, whole_text, without
 
 
 def chunks(text: Column, least: int = 512, most: int = 4096) -> Column:
@@ -63,5 +63,5 @@ def exact_groups(
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    dropped = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_dropped"))
-    return docs.join(stored(dropped.distinct(), "dropped"), F.col(id_col).eqNullSafe(F.col("_dropped")), "left_anti")
+    groups = exact_groups(docs, id_col, text_col)
+    return without(docs, groups.where(~F.col("kept")).select(id_col), id_col)

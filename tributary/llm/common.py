@@ -58,3 +58,19 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, with underscores in front until no column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base = "_" + base
+    return base
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is not in the one column of ``ids``; a null id is a
+    value like any other."""
+    name = free_name(docs, "_dropped")
+    gone = stored(ids.toDF(name).distinct(), "dropped")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone[name]), "left_anti")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chunk_dedup, nnls_packing, simhash, simple8b, token_cache, transport_stream
+from . import chunk_dedup, nnls_packing, ppm, simhash, simple8b, token_cache, transport_stream, weak_quality
 from .common import fresh_path
 
 
@@ -39,6 +40,25 @@ def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_table(spark, sf_dir, "documents"))
 
 
+def held_out() -> Column:
+    """Documents that language models may not learn from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = ppm.train(docs.where(~held_out()))
+    found = docs.select("doc_id", held_out().alias("held_out"), ppm.identify(spark, model, F.col("text")).alias("x"))
+    return found.select("doc_id", "held_out", "x.lang_pred", "x.score", "x.bits_per_byte")
+
+
+def op9_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = weak_quality.train(docs)
+    found = docs.select("doc_id", weak_quality.quality(spark, model, F.col("text")).alias("quality"))
+    return found.select("doc_id", "quality", (F.col("quality") >= 0.3).alias("accepted"))
+
+
 def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nnls_packing.pack(_table(spark, sf_dir, "documents"), _path("word_bpe_49k.json"))
 
@@ -51,6 +71,8 @@ QUERIES = {
         op3_simple8b_ids,
         op5_chunk_recipes,
         op6_simhash_trie,
+        op8_ppm_language,
+        op9_weak_label_quality,
         op10_nnls_packing,
     )
 }

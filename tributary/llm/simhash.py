@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, utf8_list, whole_text
+from .common import small_batches, stored, utf8_list, whole_text, without
 
 # Fixed values of the contract.
 WORDS, SEED, BUDGET = 4, 42, 4
@@ -268,5 +268,4 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is their component's smallest, with all their columns."""
     groups = near_groups(docs, id_col, text_col)
-    dropped = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_dropped"))
-    return docs.join(stored(dropped.distinct(), "dropped"), F.col(id_col).eqNullSafe(F.col("_dropped")), "left_anti")
+    return without(docs, groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col), id_col)
