@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, nnls_packing, ppm, simhash, simple8b, token_cache, transport_stream, weak_quality
+from . import chunk_dedup, mincut_html, nnls_packing, ppm, simhash, simple8b, suffix_pieces, token_cache, transport_stream, weak_quality
 from .common import fresh_path
 
 
@@ -32,6 +32,10 @@ def op3_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.coded_ids(_table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"))
 
 
+def op4_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mincut_html.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op5_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,10 @@ def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_pieces.encoded_and_decoded(_table(spark, sf_dir, "documents"), _path("piece_bpe_32k.model"))
+
+
 def held_out() -> Column:
     """Documents that language models may not learn from."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
@@ -69,8 +77,10 @@ QUERIES = {
         op1_token_digest_cache,
         op2_transport_streams,
         op3_simple8b_ids,
+        op4_mincut_html,
         op5_chunk_recipes,
         op6_simhash_trie,
+        op7_suffix_array_pieces,
         op8_ppm_language,
         op9_weak_label_quality,
         op10_nnls_packing,
