@@ -41,16 +41,19 @@ def encode(values: np.ndarray) -> bytes:
         bits = np.zeros(len(padded_values), np.uint8)
         for k in range(64):
             bits += (padded_values >> np.uint64(k)) > 0
-    # choice[i]: the selector of a word that starts at i, the widest count whose ids all fit.
-    choice = np.zeros(blocks * BLOCK, np.uint8)
+    # A word that starts at an id can hold c ids if none of them is too long and the block has
+    # as many.  What holds c holds fewer too, so counting the c gives the widest selector.
+    fits = np.zeros(blocks * BLOCK, np.uint8)
     left = np.tile(np.arange(BLOCK, 0, -1, dtype=np.int16), blocks)  # ids to the block's end
     left[-BLOCK:] -= blocks * BLOCK - n
+    left = np.maximum(left, 0).astype(np.uint8)
     largest = bits  # the largest of c bit lengths from i on, got from that of a shorter run
     shorter = 1
-    for selector, c in sorted(enumerate(COUNTS, 1), key=lambda x: x[1]):
+    for c in COUNTS[::-1]:
         size, step = len(bits) - c + 1, c - shorter
         largest, shorter = np.maximum(largest[:size], largest[step : step + size]), c
-        np.copyto(choice, selector, where=(largest[: len(choice)] <= 60 // c) & (left >= c))
+        fits += (largest[: len(fits)] <= np.uint8(60 // c)) & (left >= np.uint8(c))
+    choice = np.where(fits > 0, np.uint8(len(COUNTS) + 1) - fits, np.uint8(0))
     step_of = np.array([1, *COUNTS], np.int64)
     at = np.arange(blocks, dtype=np.int64) * BLOCK
     ends = np.minimum(at + BLOCK, n)
@@ -66,14 +69,16 @@ def encode(values: np.ndarray) -> bytes:
     size = 1 + (selector == 0).astype(np.int64)
     place = np.cumsum(size) - size
     words = np.zeros(int(size.sum()), np.uint64)
-    if n:
-        # Each id shifted to its place in its word; a word is the sum of its ids.
-        count = step_of[selector]
-        shift = np.arange(n, dtype=np.uint64) - np.repeat(start.astype(np.uint64), count)
-        shift *= np.repeat(np.array([0, *(60 // c for c in COUNTS)], np.uint64)[selector], count)
-        sums = np.add.reduceat(values << shift, start)
-        words[place] = np.where(selector == 0, np.uint64(0), sums | selector.astype(np.uint64) << np.uint64(60))
-        words[place[selector == 0] + 1] = sums[selector == 0]
+    for s, c in enumerate(COUNTS, 1):
+        which = np.flatnonzero(selector == s)
+        if len(which):
+            at, width = start[which], np.uint64(60 // c)
+            word = np.full(len(which), s, np.uint64) << np.uint64(60)
+            for j in range(c):
+                word |= padded_values[at] << np.uint64(j) * width
+                at += 1
+            words[place[which]] = word
+    words[place[selector == 0] + 1] = values[start[selector == 0]]
     per_block = np.bincount(own, size, blocks).astype(np.int64) if blocks else np.zeros(0, np.int64)
     offsets = (np.cumsum(per_block) - per_block).astype("<u4")
     return MAGIC + np.array([n, blocks], "<u4").tobytes() + offsets.tobytes() + words.astype("<u8").tobytes()
@@ -100,13 +105,16 @@ def decode(segment: bytes, first_block: int = 0, last_block: int | None = None)
     count = np.array([1, *COUNTS, 0], np.int64)[selector]
     count[raw] = 0
     begin = np.cumsum(count) - count
-    out = np.zeros(int(count.sum()), np.uint64)
+    out = np.empty(int(count.sum()), np.uint64)
     for s, c in enumerate(COUNTS, 1):
         which = np.flatnonzero((selector == s) & ~raw)
         if len(which):
-            width, mask = np.uint64(60 // c), np.uint64((1 << 60 // c) - 1)
-            for j in range(c):
-                out[begin[which] + j] = words[which] >> (np.uint64(j) * width) & mask
+            at, word, width = begin[which], words[which], np.uint64(60 // c)
+            mask = (np.uint64(1) << width) - np.uint64(1)
+            for _ in range(c):
+                out[at] = word & mask
+                word >>= width
+                at += 1
     which = np.flatnonzero((selector == 0) & ~raw)
     out[begin[which]] = words[which + 1]
     return out
