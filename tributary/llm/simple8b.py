@@ -145,7 +145,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2,
         part = TaskContext.get().partitionId()
         before = 0
         for b in batches:
-            ids = tokenizer(tokenizer_path).encode(b.column("_text").to_pylist())
+            ids = tokenizer(tokenizer_path, 1_000_000).encode(b.column("_text").to_pylist())
             lengths = np.fromiter(map(len, ids), np.int64, len(ids)) + 1
             flat = np.full(int(lengths.sum()), end_id, np.uint64)
             keep = np.ones(len(flat), bool)

@@ -44,7 +44,7 @@ class _Numbers(dict):
 
 
 class MemoTokenizer:
-    def __init__(self, path: str, capacity: int = 1_000_000):
+    def __init__(self, path: str, capacity: int = 400_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -132,6 +132,6 @@ class MemoTokenizer:
 
 
 @lru_cache(maxsize=4)
-def tokenizer(path: str) -> MemoTokenizer:
+def tokenizer(path: str, capacity: int = 400_000) -> MemoTokenizer:
     """One for each Python worker and file."""
-    return MemoTokenizer(path)
+    return MemoTokenizer(path, capacity)

@@ -26,7 +26,7 @@ from .common import small_batches, utf8_list
 TRAIN_DOCS = 6_000
 BUCKETS = 1 << 12
 #: Distinct words whose bucket a worker remembers.
-MEMO = 500_000
+MEMO = 100_000
 GOOD, BAD, NOTHING = 2, 1, 0
 #: A labeller's thresholds are so wide that it calls a good text bad this often at most.
 FALSE_ALARM = 0.001
