@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from tributary.plans import numeric  # noqa: F401  registers more
 
-    return QUERIES
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1 +1,289 @@
-"""Numerical queries."""
+"""Numerical queries: spaces, pools, simulation, regression, clusters, grids."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tributary.functions.distributions import FAMILIES, RETURN_PERIODS
+from tributary.operators import cluster, homogeneity, indexflood, lmoments, raster, roi, space, validate
+from tributary.plans.catalogue import query
+from tributary.plans.standins import ATTRIBUTES, ATTRS, MEMBERS, REGIONS, attributes, day_members, moments, nation_members, rounded, table
+
+Z = ", ".join(f"({c}-avg({c}) OVER ())/stddev_pop({c}) OVER () AS {c}" for c in ATTRIBUTES)
+ZED = f"{ATTRS}, z AS (SELECT station, region, {Z} FROM att)"
+PAIRS = f"{ZED}, d AS (SELECT p.station, q.station AS neighbour, sqrt({'+'.join(f'(p.{c}-q.{c})^2' for c in ATTRIBUTES)}) AS distance FROM z p, z q)"
+NEAR = f"{PAIRS}, nn AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY distance, neighbour) AS rank FROM d WHERE station <> neighbour)"
+
+
+def _z(spark, sf_dir):
+    return space.standardised(attributes(spark, sf_dir), ATTRIBUTES)
+
+
+@query(f"WITH {ZED} SELECT station, region, {', '.join(f'round({c},6) AS {c}' for c in ATTRIBUTES)} FROM z")
+def zscore_pop(spark, sf_dir):
+    return rounded(_z(spark, sf_dir))
+
+
+@query()
+def pca_variance(spark, sf_dir):
+    return space.variance_table(spark, space.components(attributes(spark, sf_dir), ATTRIBUTES))
+
+
+@query()
+def pca_loadings(spark, sf_dir):
+    return space.loading_table(spark, space.components(attributes(spark, sf_dir), ATTRIBUTES))
+
+
+@query()
+def pca_scores(spark, sf_dir):
+    a = attributes(spark, sf_dir)
+    return space.scores(a, space.components(a, ATTRIBUTES), ["station"])
+
+
+@query(f"WITH {PAIRS} SELECT station, neighbour, round(distance, 6) AS distance FROM d")
+def pairwise_distance(spark, sf_dir):
+    return rounded(space.distances(_z(spark, sf_dir), "station", ATTRIBUTES))
+
+
+@query(f"WITH {NEAR} SELECT station, neighbour, round(distance,6) AS distance, rank FROM nn WHERE rank <= 15")
+def knn15(spark, sf_dir):
+    return rounded(space.neighbours(_z(spark, sf_dir), "station", ATTRIBUTES, 15))
+
+
+@query(f"WITH {PAIRS}, {MEMBERS} SELECT d.station, count(*) AS members, sum(m.n)::BIGINT AS station_years FROM d JOIN m ON m.station = d.neighbour WHERE distance <= 1.5 GROUP BY 1")
+def threshold_roi(spark, sf_dir):
+    n = moments(spark, sf_dir).select(F.col("station").alias("neighbour"), "n")
+    return space.within(_z(spark, sf_dir), "station", ATTRIBUTES, 1.5).join(n, "neighbour").groupBy("station").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("station_years"))
+
+
+@query(f"""WITH {NEAR}, {MEMBERS}, p AS (SELECT nn.station, neighbour, distance, rank, coalesce(sum(m.n) OVER (PARTITION BY nn.station ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+FROM nn JOIN m ON m.station = neighbour) SELECT station, neighbour, rank FROM p WHERE (before < 500 OR rank <= 5) AND rank <= 25""")
+def pool_5t(spark, sf_dir):
+    n = moments(spark, sf_dir).select(F.col("station").alias("neighbour"), "n")
+    return roi.pools_by_years(space.neighbours(_z(spark, sf_dir), "station", ATTRIBUTES, 25).drop("rank").join(n, "neighbour"), 500).select("station", "neighbour", "rank")
+
+
+@query(f"""WITH {NEAR}, s AS (SELECT station, list(neighbour) AS a FROM nn WHERE rank <= 10 GROUP BY 1), t AS (SELECT station, list(neighbour) AS b FROM nn WHERE rank BETWEEN 5 AND 15 GROUP BY 1)
+SELECT station, round(len(list_intersect(a,b)) / len(list_distinct(list_concat(a,b))), 6) AS jaccard FROM s JOIN t USING (station)""")
+def jaccard_overlap(spark, sf_dir):
+    n = space.neighbours(_z(spark, sf_dir), "station", ATTRIBUTES, 15)
+    both = n.groupBy("station").agg(F.collect_list(F.when(F.col("rank") <= 10, F.col("neighbour"))).alias("a"), F.collect_list(F.when(F.col("rank") >= 5, F.col("neighbour"))).alias("b"))
+    return rounded(both.select("station", roi.jaccard(F.col("a"), F.col("b")).alias("jaccard")))
+
+
+def _rank(c: str) -> str:
+    return f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1)/2.0)"
+
+
+@query(f"""WITH {PAIRS}, {MEMBERS}, e AS (SELECT round(d.distance,9) AS dist, round(abs(a.t-b.t),9) AS gap FROM d JOIN m a ON a.station = d.station JOIN m b ON b.station = d.neighbour WHERE d.station < d.neighbour),
+r AS (SELECT {_rank('dist')} AS ra, {_rank('gap')} AS rb FROM e) SELECT round(corr(ra, rb), 6) AS rho, count(*) AS n FROM r""")
+def spearman_distance(spark, sf_dir):
+    m = moments(spark, sf_dir)
+    d = space.distances(_z(spark, sf_dir), "station", ATTRIBUTES).where("station < neighbour")
+    d = d.join(m.select("station", F.col("t").alias("ta")), "station").join(m.select(F.col("station").alias("neighbour"), F.col("t").alias("tb")), "neighbour")
+    return rounded(space.spearman(d.select(F.round("distance", 9).alias("dist"), F.round(F.abs(F.col("ta") - F.col("tb")), 9).alias("gap")), "dist", "gap"))
+
+
+@query()
+def heterogeneity_h123(spark, sf_dir):
+    return homogeneity.region_heterogeneity(day_members(spark, sf_dir))
+
+
+@query()
+def zdist_fit(spark, sf_dir):
+    return homogeneity.region_fits(day_members(spark, sf_dir))
+
+
+@query()
+def roi_growth(spark, sf_dir):
+    stations = roi.station_matrix(_z(spark, sf_dir), ATTRIBUTES, moments(spark, sf_dir))
+    return roi.grown_regions(spark, stations, ATTRIBUTES)
+
+
+@query()
+def roi_growth_ungauged(spark, sf_dir):
+    """The target's own flow is masked."""
+    stations = roi.station_matrix(_z(spark, sf_dir), ATTRIBUTES, moments(spark, sf_dir))
+    return roi.region_members(roi.grown_regions(spark, stations, ATTRIBUTES, roi.Rules(use_target_flow=False)))
+
+
+@query(f"""WITH {MEMBERS}, {REGIONS}, r AS (SELECT region, t_r, t3_r, -t3_r AS k FROM reg WHERE t3_r BETWEEN -0.9 AND 0.9)
+SELECT region, period, round(1 - t_r*sin(k*pi())/(k*pi())*(1/k - pi()/sin(k*pi())) + t_r*sin(k*pi())/(k*pi())/k*(1 - pow(1.0/(period-1), k)), 4) AS q
+FROM r, (SELECT unnest({list(RETURN_PERIODS)})::INT AS period)""")
+def glo_fitted_curve(spark, sf_dir):
+    """The numerical fit, against the closed form."""
+    return rounded(homogeneity.family_curve(lmoments.regional_means(nation_members(spark, sf_dir)), "GLO"), 4)
+
+
+def _family(name: str):
+    def f(spark, sf_dir):
+        return homogeneity.family_curve(lmoments.regional_means(day_members(spark, sf_dir)), name)
+
+    f.__name__ = f"{name.lower()}_growth_curve"
+    return f
+
+
+for _name in FAMILIES[1:2] + FAMILIES[3:]:
+    query()(_family(_name))
+
+
+@query(f"WITH {ATTRS} SELECT round(regr_slope(price, quantity),4) AS slope, round(regr_intercept(price, quantity),3) AS intercept, round(regr_r2(price, quantity),6) AS r2, count(*) AS n FROM att")
+def ols_simple(spark, sf_dir):
+    fit = indexflood.ols(indexflood.gram(attributes(spark, sf_dir), ["quantity"], "price"), ["quantity"])
+    return rounded(spark.createDataFrame([(round(float(fit["beta"][1]), 4), round(float(fit["beta"][0]), 3), float(fit["r2"]), fit["dof"] + 2)], "slope double, intercept double, r2 double, n long"))
+
+
+@query()
+def ols_multi(spark, sf_dir):
+    fit = indexflood.ols(indexflood.gram(_z(spark, sf_dir), ATTRIBUTES[:2] + ATTRIBUTES[3:], "price"), ATTRIBUTES[:2] + ATTRIBUTES[3:])
+    return indexflood.coefficient_table(spark, fit)
+
+
+@query(f"WITH {ATTRS} SELECT 'quantity' AS attribute, round(1/(1-corr(quantity,price)^2),6) AS vif FROM att UNION ALL SELECT 'price', round(1/(1-corr(quantity,price)^2),6) FROM att")
+def vif(spark, sf_dir):
+    g = indexflood.gram(attributes(spark, sf_dir), ["quantity", "price"], "balance")
+    return rounded(spark.createDataFrame(list(indexflood.vif(g, ["quantity", "price"]).items()), "attribute string, vif double"))
+
+
+def _index(spark, sf_dir):
+    """Attributes with log10 of the mean maximum."""
+    return attributes(spark, sf_dir).join(moments(spark, sf_dir).select("station", F.log10("l1").alias("y")), "station")
+
+
+INDEX = f"{ATTRS}, {MEMBERS}, x AS (SELECT att.*, log10(l1) AS y FROM att JOIN m USING (station))"
+
+
+@query(f"""WITH {INDEX}, f AS (SELECT regr_slope(y, price) AS b, regr_intercept(y, price) AS a FROM x)
+SELECT round(avg(pow(10, y - (a + b*price))), 6) AS smearing FROM x, f""")
+def duan_smearing(spark, sf_dir):
+    d = _index(spark, sf_dir)
+    fit = indexflood.ols(indexflood.gram(d, ["price"], "y"), ["price"])
+    return rounded(d.agg(F.avg(F.pow(F.lit(10.0), F.col("y") - indexflood.predicted(fit))).alias("smearing")))
+
+
+@query(f"""WITH {INDEX}, s AS (SELECT count(*)-1 AS n, sum(price) sx, sum(y) sy, sum(price*price) sxx, sum(price*y) sxy FROM x),
+f AS (SELECT station, y, price, n, sx-price AS sx, sy-y AS sy, sxx-price*price AS sxx, sxy-price*y AS sxy FROM x, s),
+g AS (SELECT *, (n*sxy-sx*sy)/(n*sxx-sx*sx) AS b FROM f) SELECT station, round((sy-b*sx)/n + b*price, 6) AS estimate, round(y,6) AS observed FROM g""")
+def loo_simple_regression(spark, sf_dir):
+    return rounded(indexflood.simple_leave_one_out(_index(spark, sf_dir), "station", "price", "y"))
+
+
+@query()
+def loo_index_flood(spark, sf_dir):
+    return indexflood.leave_one_out(_index(spark, sf_dir), "station", ATTRIBUTES, "y")
+
+
+@query()
+def forward_stepwise(spark, sf_dir):
+    d = _index(spark, sf_dir)
+    model = space.components(d, ATTRIBUTES)
+    pcs = space.scores(d, model, ["station", "y"])
+    g = indexflood.gram(pcs, [f"pc{k + 1}" for k in range(len(ATTRIBUTES))], "y")
+    return indexflood.coefficient_table(spark, indexflood.ols(g, indexflood.forward_stepwise(g)))
+
+
+@query()
+def forward_adjusted(spark, sf_dir):
+    g = indexflood.gram(_index(spark, sf_dir), ATTRIBUTES, "y")
+    return indexflood.coefficient_table(spark, indexflood.ols(g, indexflood.forward_adjusted(g)))
+
+
+@query()
+def attribute_equation(spark, sf_dir):
+    d = _index(spark, sf_dir)
+    model = space.components(d, ATTRIBUTES)
+    g = indexflood.gram(space.scores(d, model, ["station", "y"]), [f"pc{k + 1}" for k in range(len(ATTRIBUTES))], "y")
+    return spark.createDataFrame(indexflood.attribute_equation(model, indexflood.ols(g, indexflood.forward_stepwise(g))), "attribute string, coef_per_unit double, coef_per_1sd double")
+
+
+@query()
+def kmeans_clusters(spark, sf_dir):
+    return cluster.kmeans(_z(spark, sf_dir), ATTRIBUTES, 4).select("station", "cluster")
+
+
+@query()
+def ward_kmeans(spark, sf_dir):
+    return cluster.ward_kmeans(_z(spark, sf_dir), "station", ATTRIBUTES, 4)
+
+
+@query(f"""WITH {PAIRS}, c AS (SELECT station, region % 4 AS cluster FROM z), p AS (SELECT d.station, a.cluster, b.cluster AS theirs, avg(distance) AS m FROM d JOIN c a ON a.station=d.station JOIN c b ON b.station=d.neighbour
+WHERE d.station <> d.neighbour GROUP BY ALL), s AS (SELECT station, min(m) FILTER (WHERE cluster=theirs) AS a, min(m) FILTER (WHERE cluster<>theirs) AS b FROM p GROUP BY 1)
+SELECT station, round(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b-a)/greatest(a,b) END, 6) AS silhouette FROM s""")
+def silhouette(spark, sf_dir):
+    z = _z(spark, sf_dir)
+    return rounded(cluster.silhouettes(space.distances(z, "station", ATTRIBUTES), z.select("station", (F.col("region") % 4).alias("cluster"))))
+
+
+@query(f"""WITH {ZED}, c AS (SELECT region % 4 AS cluster, {', '.join(f'avg({c}) AS {c}' for c in ATTRIBUTES)} FROM z GROUP BY 1),
+s AS (SELECT c.*, x.s FROM c JOIN (SELECT region % 4 AS cluster, avg(sqrt({'+'.join(f'(z.{c}-c.{c})^2' for c in ATTRIBUTES)})) AS s FROM z JOIN c ON c.cluster = region % 4 GROUP BY 1) x USING (cluster)),
+r AS (SELECT a.cluster, max((a.s+b.s)/sqrt({'+'.join(f'(a.{c}-b.{c})^2' for c in ATTRIBUTES)})) AS r FROM s a JOIN s b ON a.cluster <> b.cluster GROUP BY 1)
+SELECT round(avg(r), 6) AS davies_bouldin, count(*) AS clusters FROM r""")
+def davies_bouldin(spark, sf_dir):
+    return rounded(cluster.davies_bouldin(_z(spark, sf_dir).withColumn("cluster", F.col("region") % 4), ATTRIBUTES))
+
+
+# A synthetic grid of 40 by 40 cells: each flows to the east or south, as its hash says.
+GRID = """cells AS (SELECT r::INT AS row, c::INT AS col, CASE WHEN (r*7+c*3) % 5 < 2 THEN 1 ELSE 4 END AS fdir, (r*c)::BIGINT AS acc,
+((r*13+c*29) % 50 - 2)::DOUBLE AS z, (r // 10)::INT AS basin FROM range(40) a(r), range(40) b(c))"""
+
+
+def _grid(spark):
+    r, c = (F.col("id") / 40).cast("int"), (F.col("id") % 40).cast("int")
+    d = spark.range(1600).select(r.alias("row"), c.alias("col"))
+    r, c = F.col("row"), F.col("col")
+    return d.select("row", "col", F.when((r * 7 + c * 3) % 5 < 2, 1).otherwise(4).alias("fdir"), (r * c).cast("long").alias("acc"), ((r * 13 + c * 29) % 50 - 2).cast("double").alias("z"), (r / 10).cast("int").alias("basin"))
+
+
+@query(f"""WITH RECURSIVE {GRID}, e AS (SELECT row, col, row + (fdir=4)::INT AS tr, col + (fdir=1)::INT AS tc FROM cells),
+up AS (SELECT 30 AS row, 30 AS col UNION SELECT e.row, e.col FROM e JOIN up ON e.tr = up.row AND e.tc = up.col) SELECT row::INT AS row, col::INT AS col FROM up""")
+def flow_bfs(spark, sf_dir):
+    return raster.catchment(_grid(spark), 30, 30)
+
+
+@query(f"""WITH {GRID}, c AS (SELECT *, CASE WHEN acc >= 500 THEN 0 WHEN acc >= 200 THEN 1 WHEN acc >= 50 THEN 2 END AS tier, (row-15)^2+(col-15)^2 AS gap FROM cells WHERE abs(row-15) <= 5 AND abs(col-15) <= 5)
+SELECT row, col, acc, round(sqrt(gap), 6) AS distance FROM c WHERE tier IS NOT NULL ORDER BY tier, gap, row, col LIMIT 1""")
+def snap_outlet(spark, sf_dir):
+    return rounded(raster.snap_outlet(_grid(spark), 15, 15, 5, [50, 200, 500]))
+
+
+@query(f"""WITH {GRID}, s AS (SELECT basin, count(*) AS n, avg(z) FILTER (WHERE z > 0) AS mean_elev, min(z) FILTER (WHERE z > 0) AS min_elev, max(z) FILTER (WHERE z > 0) AS max_elev, count(*) FILTER (WHERE acc > 100) AS st FROM cells GROUP BY 1)
+SELECT basin, round(n*(0.01*111)^2, 6) AS area_km2, round(mean_elev,6) AS mean_elev, min_elev, max_elev, max_elev-min_elev AS relief, round(st*0.03::DOUBLE,6) AS stream_km, round(st*0.03::DOUBLE/(n*(0.01*111)^2),6) AS drain_density FROM s""")
+def catchment_summary(spark, sf_dir):
+    return rounded(raster.summaries(_grid(spark), "basin", 0.01, 100))
+
+
+@query(f"""WITH {GRID}, s AS (SELECT basin, row, col, coalesce(z,0) AS z FROM cells), g AS (SELECT basin,
+(coalesce(lead(z) OVER (PARTITION BY basin, row ORDER BY col),0) - coalesce(lag(z) OVER (PARTITION BY basin, row ORDER BY col),0))/60 AS dx,
+(coalesce(lead(z) OVER (PARTITION BY basin, col ORDER BY row),0) - coalesce(lag(z) OVER (PARTITION BY basin, col ORDER BY row),0))/60 AS dy FROM s)
+SELECT basin, round(avg(degrees(atan(sqrt(dx*dx+dy*dy)))),6) AS mean_slope FROM g GROUP BY 1""")
+def mean_slope(spark, sf_dir):
+    return rounded(raster.mean_slope(_grid(spark), "basin", 30.0))
+
+
+@query(f"WITH {GRID} SELECT basin, (min(row) <= 0 OR min(col) <= 0 OR max(row) >= 39 OR max(col) >= 39) AS touches FROM cells GROUP BY 1")
+def boundary_touch(spark, sf_dir):
+    return raster.touches_edge(_grid(spark), "basin", 40, 40)
+
+
+_BASINS = "k AS (SELECT (row+col)//13 AS b, row, col FROM cells UNION SELECT (row+col+5)//13 + 100, row, col FROM cells)"
+
+
+@query(f"""WITH {GRID}, {_BASINS}, n AS (SELECT b, count(*) AS n FROM k GROUP BY 1), p AS (SELECT x.b AS a, y.b AS b, count(*) AS shared FROM k x JOIN k y ON x.row=y.row AND x.col=y.col AND x.b < y.b GROUP BY ALL)
+SELECT a::INT AS a, p.b::INT AS b, shared, round(100.0*shared/least(na.n, nb.n), 6) AS percent FROM p JOIN n na ON na.b = a JOIN n nb ON nb.b = p.b WHERE 100.0*shared/least(na.n, nb.n) > 10 AND 100.0*shared/least(na.n, nb.n) < 99""")
+def overlap_pairs(spark, sf_dir):
+    g = _grid(spark)
+    k = g.select(F.expr("int((row+col) div 13)").alias("basin"), "row", "col").union(g.select(F.expr("int((row+col+5) div 13 + 100)"), "row", "col"))
+    return rounded(raster.overlaps(k, "basin"))
+
+
+@query(f"WITH {GRID}, t AS (SELECT row, col, 1 AS tile, CASE WHEN z > 10 THEN z END AS z FROM cells UNION ALL SELECT row, col, 2, z FROM cells) SELECT row, col, arg_min(z, tile) AS z FROM t WHERE z IS NOT NULL GROUP BY ALL")
+def mosaic(spark, sf_dir):
+    g = _grid(spark)
+    return raster.mosaic(g.select("row", "col", F.lit(1).alias("tile"), F.when(F.col("z") > 10, F.col("z")).alias("z")).union(g.select("row", "col", F.lit(2), "z")))
+
+
+@query()
+def ungauged_test(spark, sf_dir):
+    stations = roi.station_matrix(_z(spark, sf_dir), ATTRIBUTES, moments(spark, sf_dir))
+    index = indexflood.leave_one_out(_index(spark, sf_dir), "station", ATTRIBUTES, "y")
+    return validate.ungauged(spark, stations, ATTRIBUTES, index, nsim=200)
