@@ -71,7 +71,7 @@ def _named(attributes: str, tag: str) -> tuple[bool, bool]:
         elif key == "hidden" or key == "aria-hidden":
             bad |= key == "hidden" and not value or value.lower() == "true"
         elif tag not in ("body", "html"):
-            names = {n.lower() for n in _NAME.findall(value)}
+            names = {n.lower() for n in _NAME.findall(value)} | {n.lower() for n in re.split(r"[\W_]+", value)}
             bad |= bool(names & HINTS)
             good |= bool(names & GOOD_HINTS)
     return bad, good

@@ -148,7 +148,7 @@ def fit_labels(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> Labe
         wrong = prior * chances[:, 1, BAD] + (1 - prior) * chances[:, 0, GOOD]
         model = LabelModel(prior, chances, right / (right + wrong))
         new = model.posterior(votes)
-        if np.abs(new - p).max() < 1e-6:
+        if np.abs(new - p).max(initial=0.0) < 1e-6:
             break
         p = new
     return model
