@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -24,14 +25,15 @@ def odd_texts(n, seed=3):
     return ["".join(r.choice(ODD) for _ in range(r.randint(0, 60))) for _ in range(n)] + ["a<|endoftext|>b", "", " ", "  ", "▁"]
 
 
-def library(path, text):
+@lru_cache
+def loaded(path):
     from tokenizers import Tokenizer
 
-    t = library.cache.setdefault(path, Tokenizer.from_file(path))
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(path)
 
 
-library.cache = {}
+def library(path, text):
+    return loaded(path).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
