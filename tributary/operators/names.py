@@ -75,7 +75,7 @@ def fuzzy_match(names: DataFrame, files: DataFrame, name: str, file: str, stated
     n = names.select(F.col(name).alias("name"), F.lower(F.trim(name)).alias("key"), (F.lower(F.trim(stated)) if stated else F.lit(None).cast("string")).alias("stated")).distinct()
     f = files.select(F.col(file).alias("file"), F.lower(F.trim(file)).alias("low")).distinct()
     exact = lambda on, tier: n.join(f, F.col(on) == F.col("low")).select("name", "file", F.lit(tier).alias("tier"))
-    # Every run of characters that begins and ends at a word's border.
+    # Every run of characters that no letter or digit touches.
     spans = f.select("file", F.explode(_runs(F.col("low"))).alias("key")).distinct()
     words = n.join(spans, "key").select("name", "file", F.lit(3).alias("tier"))
     found = exact("stated", 1).union(exact("key", 2)).union(words)
@@ -85,6 +85,9 @@ def fuzzy_match(names: DataFrame, files: DataFrame, name: str, file: str, stated
 
 
 def _runs(low: Column) -> Column:
-    cut = F.split(low, r"(?<=[a-z0-9])(?=[^a-z0-9])|(?<=[^a-z0-9])(?=[a-z0-9])")
+    cut = F.split(low, r"(?<=[^a-z0-9])|(?=[^a-z0-9])")
     n = F.size(cut)
-    return F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.array_join(F.slice(cut, i, j - i + 1), ""))))
+    outside = lambda k: (k < 1) | (k > n) | F.coalesce(F.try_element_at(cut, F.greatest(k, F.lit(1)).cast("int")), F.lit("")).rlike("^[^a-z0-9]*$")
+    ends = lambda i: F.filter(F.sequence(i, n), lambda j: outside(j + 1))
+    begins = F.filter(F.sequence(F.lit(1), n), lambda i: outside(i - 1))
+    return F.flatten(F.transform(begins, lambda i: F.transform(ends(i), lambda j: F.array_join(F.slice(cut, i, j - i + 1), ""))))

@@ -307,10 +307,10 @@ def floored_log(spark, sf_dir):
     return rounded(attributes(spark, sf_dir).select("station", selection.floored_log(F.col("balance")).alias("log_balance"), selection.clipped(F.col("balance"), -200, 200).alias("clipped")))
 
 
-@query(f"WITH {ATTRS} SELECT station, region, balance, round(log10(quantity),6) AS log10_quantity, round(log10(price),6) AS log10_price FROM att")
+@query(f"WITH {ATTRS} SELECT station, region, round(balance - 1e6, 2) AS deficit, round(log10(quantity),6) AS log10_quantity, round(log10(price),6) AS log10_price FROM att")
 def conditional_log10(spark, sf_dir):
-    a = attributes(spark, sf_dir).select("station", "region", "balance", "quantity", "price")
-    return rounded(selection.logged_if_positive(a, ["balance", "quantity", "price"]).select("station", "region", "balance", "log10_quantity", "log10_price"))
+    a = attributes(spark, sf_dir).select("station", "region", F.round(F.col("balance") - 1e6, 2).alias("deficit"), "quantity", "price")
+    return rounded(selection.logged_if_positive(a, ["deficit", "quantity", "price"]).select("station", "region", "deficit", "log10_quantity", "log10_price"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE upper(trim(o_orderstatus)) = 'F')")

@@ -20,7 +20,7 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> Da
     """Text columns with trimmed names and the file's path; files may differ in order of
     columns only if they are read one by one."""
     df = spark.read.option("header", True).option("sep", delimiter or sniff_delimiter(spark, path)).option("pathGlobFilter", "*.csv").csv(path)
-    return df.select(*(F.col(f"`{c}`").alias(c.strip()) for c in df.columns), F.col("_metadata.file_path").alias("_path"))
+    return df.select(*(F.col(f"`{c}`").alias(c.strip()) for c in df.columns), F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("_path"))
 
 
 def streamflow(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("_streamflow",)) -> tuple[DataFrame, DataFrame]:
