@@ -175,3 +175,43 @@ def test_sources(spark, tmp_path):
     (tmp_path / "morph" / "m.csv").write_text("station;status;area\nA one; success ;1\nB;FAILED;2\nC;SUCCESS;3\n")
     m = tables.morphometry(spark, str(tmp_path / "morph"))
     assert sorted((r.station, r.excel_row, r.key) for r in m.collect()) == [("A one", 2, "aone"), ("C", 4, "c")]
+
+
+def test_tested_regions_edges(spark):
+    """Four sites are too few; nine alike and one far off are cleaned; an empty table is empty."""
+    rows = [(1, k, 30, 0.2 + 0.01 * k, 0.1, 0.15) for k in range(4)]
+    rows += [(2, k, 30, 0.2 + 0.002 * k, 0.1 + 0.004 * (k * 7 % 9), 0.15 + 0.003 * (k * 5 % 9)) for k in range(9)] + [(2, 99, 30, 0.6, 0.7, 0.9)]
+    members = spark.createDataFrame(rows, "region int, station long, n long, t double, t3 double, t4 double")
+    got = {r.region: r for r in homogeneity.tested_regions(members, nsim=50).collect()}
+    assert got[1].note == "too few sites to test" and got[1].chosen_distribution is None
+    assert got[2].discordant == ["99"] and got[2].note == "discordant sites removed" and got[2].h1 < got[2].h1_all
+    assert homogeneity.tested_regions(members.where("false")).count() == 0
+
+
+def test_accumulation(spark):
+    """A line of seven cells, the last flowing off the grid; circles are reported."""
+    line = spark.createDataFrame([(0, c, 1) for c in range(7)], "row int, col int, fdir int")
+    assert {r.col: r.acc for r in raster.accumulation(line).collect()} == {c: c + 1 for c in range(7)}
+    with pytest.raises(ValueError):
+        raster.accumulation(spark.createDataFrame([(0, 0, 1), (0, 1, 16)], "row int, col int, fdir int"))
+    assert raster.accumulation(line.where("false")).count() == 0
+
+
+def test_flow_directions(spark):
+    z = spark.createDataFrame([(0, 0, 5.0), (0, 1, 3.0), (1, 1, 2.0), (1, 0, None)], "row int, col int, z double")
+    assert {(r.row, r.col): r.fdir for r in raster.flow_directions(z).collect()} == {(0, 0): 2, (0, 1): 4, (1, 1): 0, (1, 0): 0}
+
+
+def test_regression_keeps_digits(spark):
+    """A predictor of large mean and small spread."""
+    x = 4e6 + np.arange(50.0)
+    d = spark.createDataFrame([(float(v), 3.0 + 1e-3 * (float(v) - 4e6)) for v in x], "x double, y double")
+    fit = indexflood.ols(indexflood.gram(d, ["x"], "y"), ["x"])
+    assert fit["beta"][1] == pytest.approx(1e-3, rel=1e-3)
+
+
+def test_random_spread_repeats(spark):
+    v = spark.createDataFrame([(float(k),) for k in range(20)], "t double")
+    one, two = (sorted(map(tuple, space.random_spread(v, "t", reps=40).repartition(n).collect())) for n in (1, 3))
+    assert one == two and len(one) == 40
+    assert space.random_spread(v.limit(3), "t").count() == 0

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions.distributions import FAMILIES, RETURN_PERIODS, Fitted, RegionalKappa, lmoment_ratios
+from tributary.operators.lmoments import CRITICAL
 
 SEED = 20260924
 NSIM = 500
@@ -121,3 +122,28 @@ def family_curve(regions: DataFrame, family: str, region: str = "region") -> Dat
             yield pd.DataFrame(rows, columns=[region, "period", "q"])
 
     return regions.select(region, "t_r", "t3_r").mapInPandas(work, f"{region} {kind}, period int, q double").where(~F.isnan("q"))
+
+
+def tested_regions(members: DataFrame, region: str = "region", nsim: int = NSIM) -> DataFrame:
+    """Fixed regions: discordant sites, H with and without them, and the distribution that fits
+    the cleaned region.  A region is cleaned where five sites or more remain; one of fewer
+    than five sites is not tested, as ``note`` says."""
+    names = [region, "sites", "pooled", "critical", "max_di", "discordant", "h1_all", "h1", "h2", "h3", "simulated_by", "chosen_distribution", "note"]
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, ratios, n = _arrays(pdf)
+        head = (pdf[region].iloc[0], len(rows), int(n.sum()))
+        if len(rows) < 5:
+            return pd.DataFrame([(*head, np.nan, np.nan, [], *(np.nan,) * 4, "none", None, "too few sites to test")], columns=names)
+        critical, di = CRITICAL[len(rows) - 5] if len(rows) < 15 else 3.0, discordancies(ratios)
+        fine = di <= critical
+        whole = heterogeneity(ratios, n, nsim)
+        clean = not fine.all() and fine.sum() >= 5
+        use = fine if clean else np.ones(len(rows), bool)
+        h = heterogeneity(ratios[use], n[use], nsim) if clean else whole
+        chosen = fit_region(ratios[use], n[use], nsim)["chosen"]
+        note = "discordant sites removed" if clean else "" if fine.all() else "too few sites left without the discordant ones"
+        return pd.DataFrame([(*head, critical, float(di.max()), rows["station"][~fine].astype(str).tolist(), whole[0], *h, chosen, note)], columns=names)
+
+    schema = f"{region} {dict(members.dtypes)[region]}, sites long, pooled long, critical double, max_di double, discordant array<string>, h1_all double, h1 double, h2 double, h3 double, simulated_by string, chosen_distribution string, note string"
+    return members.select(region, "station", "n", "t", "t3", "t4").groupBy(region).applyInPandas(work, schema)

@@ -42,7 +42,9 @@ def ols(g: Gram, chosen: list[str]) -> dict:
     at = [0, *(1 + g.columns.index(c) for c in chosen)]
     m = g.matrix
     n, xx, xy, yy = m[0, 0], m[np.ix_(at, at)], m[at, -1], m[-1, -1]
-    inverse = np.linalg.pinv(xx)
+    # Scaled to a unit diagonal, so that columns of very different size lose no digits.
+    size = np.sqrt(np.outer(d := np.where(np.diag(xx) > 0, np.diag(xx), 1.0), d))
+    inverse = np.linalg.pinv(xx / size) / size
     beta = inverse @ xy
     dof = int(round(n)) - len(at)
     sse = max(0.0, float(yy - beta @ xy))
@@ -177,3 +179,9 @@ def simple_leave_one_out(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
     sxx, sxy = F.col("sxx") - F.col(x) * F.col(x), F.col("sxy") - F.col(x) * F.col(y)
     slope = (n * sxy - sx * sy) / (n * sxx - sx * sx)
     return d.select(key, ((sy - slope * sx) / n + slope * F.col(x)).alias("estimate"), F.col(y).alias("observed"))
+
+
+def partial_residuals(df: DataFrame, fit: dict, term: str, y: str):
+    """Component and residual of one term, for its partial regression plot."""
+    b = float(fit["beta"][fit["terms"].index(term)])
+    return df.withColumn("component_residual", b * F.col(term) + F.col(y) - predicted(fit))

@@ -106,3 +106,75 @@ def split_bbox(box: tuple[float, float, float, float], most: float) -> list[tupl
         mid = (south + north) / 2
         parts = ((west, south, east, mid), (west, mid, east, north))
     return [b for p in parts for b in split_bbox(p, most)]
+
+
+def flow_directions(cells: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """Cells with the code ``fdir`` of their steepest way down among eight neighbours, of
+    equals the smallest code; 0 where none is lower.  Pits and flats stay as they are."""
+    k = key or []
+    ways = F.array(*(F.struct(F.lit(code).alias("code"), F.lit(r).alias("dr"), F.lit(c).alias("dc")) for code, (r, c) in D8.items()))
+    # Each cell offers its height to those around it: one equi-join, whatever the grid's size.
+    offers = cells.where("z is not null").select(*k, "row", "col", "z", F.explode(ways).alias("w")).select(
+        *k, (F.col("row") - F.col("w.dr")).alias("row"), (F.col("col") - F.col("w.dc")).alias("col"), F.col("w.code").alias("code"), F.sqrt(F.col("w.dr") ** 2 + F.col("w.dc") ** 2).alias("far"), F.col("z").alias("low")
+    )
+    drop = (F.col("z") - F.col("low")) / F.col("far")
+    best = cells.select(*k, "row", "col", "z").join(offers, [*k, "row", "col"]).where(drop > 0).groupBy(*k, "row", "col").agg(F.max(F.struct(drop.alias("drop"), (-F.col("code")).alias("code"))).alias("b"))
+    return cells.drop("fdir").join(best, [*k, "row", "col"], "left").withColumn("fdir", F.coalesce(-F.col("b.code"), F.lit(0))).drop("b")
+
+
+def accumulation(cells: DataFrame) -> DataFrame:
+    """(row, col, acc): how many cells drain through each, itself included.
+
+    Cells hand on what has reached them and then point twice as far, so a river of n cells
+    needs about log2 n rounds.  Flows must not run in circles.
+    """
+    here = cells.select("row", "col").distinct()
+    state = here.join(downstream(cells).dropDuplicates(["row", "col"]), ["row", "col"], "left")
+    inside = here.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.lit(True).alias("inside"))
+    state = state.join(inside, ["to_row", "to_col"], "left")
+    state = cut(state.select("row", "col", *(F.when(F.col("inside"), F.col(c)).alias(c) for c in ("to_row", "to_col")), F.lit(1).cast("long").alias("acc")))
+    rounds = state.count().bit_length() + 1
+    while not state.where("to_row is not null").isEmpty():
+        if (rounds := rounds - 1) < 0:
+            raise ValueError("cells flow in circles")
+        got = state.where("to_row is not null").groupBy(F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.sum("acc").alias("more"))
+        onward = state.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("to_row").alias("next_row"), F.col("to_col").alias("next_col"))
+        moved = state.join(onward, ["to_row", "to_col"], "left").select("row", "col", F.col("next_row").alias("to_row"), F.col("next_col").alias("to_col"), "acc")
+        state = cut(moved.join(got, ["row", "col"], "left").select("row", "col", "to_row", "to_col", (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc")))
+    return state.select("row", "col", "acc")
+
+
+def hillshade(cells: DataFrame, key: str, azimuth: float = 315.0, altitude: float = 45.0) -> DataFrame:
+    """(key, row, col, shade) from 0 to 1; missing heights count as 0 around them and have no
+    shade.  Differences are central, at the edges one-sided."""
+    z = F.coalesce("z", F.lit(0.0))
+
+    def slope(p: str, o: str):
+        w = Window.partitionBy(key, p).orderBy(o)
+        up = F.when(F.lead(o).over(w) == F.col(o) + 1, F.lead(z).over(w))
+        down = F.when(F.lag(o).over(w) == F.col(o) - 1, F.lag(z).over(w))
+        steps = up.isNotNull().cast("int") + down.isNotNull().cast("int")
+        return F.when(steps > 0, (F.coalesce(up, z) - F.coalesce(down, z)) / steps).otherwise(0.0)
+
+    s = cells.withColumns({"_dx": slope("row", "col"), "_dy": slope("col", "row")})
+    tilt, aspect = F.atan(F.sqrt(F.col("_dx") ** 2 + F.col("_dy") ** 2)), F.atan2(-F.col("_dy"), F.col("_dx"))
+    az, alt = math.radians(azimuth), math.radians(altitude)
+    shade = math.sin(alt) * F.cos(tilt) + math.cos(alt) * F.sin(tilt) * F.cos(F.lit(az) - aspect)
+    return s.select(key, "row", "col", F.when(F.col("z").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), shade))).alias("shade"))
+
+
+def centroids(cells: DataFrame, key: str, west: float, north: float, degrees: float) -> DataFrame:
+    """(key, lon, lat): mean of the cells' centres."""
+    return cells.groupBy(key).agg((F.lit(west) + (F.avg("col") + 0.5) * degrees).alias("lon"), (F.lit(north) - (F.avg("row") + 0.5) * degrees).alias("lat"))
+
+
+def outlet_window(cells: DataFrame, row: int, col: int, reach: int) -> DataFrame:
+    """One row: accumulation at an outlet, and the largest within reach."""
+    inside = cells.where((F.abs(F.col("row") - row) <= reach) & (F.abs(F.col("col") - col) <= reach))
+    return inside.agg(F.max(F.when((F.col("row") == row) & (F.col("col") == col), F.col("acc"))).alias("at_outlet"), F.max("acc").alias("largest"), F.count(F.lit(1)).alias("cells"))
+
+
+def bbox_tiles(spark, box: tuple[float, float, float, float], most: float) -> DataFrame:
+    """The parts of a split box, west to east and south to north, with their areas."""
+    rows = [(*map(float, b), bbox_area(*b)) for b in sorted(split_bbox(box, most))]
+    return spark.createDataFrame(rows, "west double, south double, east double, north double, area_km2 double")

@@ -138,3 +138,35 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
     both = df.join(ranks(a, "ra"), F.col(a).eqNullSafe(F.col("ra_v"))).join(ranks(b, "rb"), F.col(b).eqNullSafe(F.col("rb_v")))
     return both.agg(F.corr("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("n"))
+
+
+def neighbour_spread(df: DataFrame, key: str, columns: list[str], values: DataFrame, value: str, k: int = 5) -> DataFrame:
+    """(key, spread): population deviation of ``value`` over each station and its k - 1 nearest."""
+    near = neighbours(df, key, columns, k - 1).select(F.col("station").alias(key), "neighbour")
+    near = near.unionByName(df.na.drop(subset=columns).select(key, F.col(key).alias("neighbour")))
+    return near.join(values.select(F.col(key).alias("neighbour"), value), "neighbour").groupBy(key).agg(F.stddev_pop(value).alias("spread"))
+
+
+def random_spread(values: DataFrame, value: str, k: int = 5, reps: int = 2000, seed: int = 42) -> DataFrame:
+    """(rep, spread) of random sets of k stations; each draw has a generator of its own, so it
+    is the same wherever it runs.  The values, one a station, go to every task."""
+    x = np.array([r[0] for r in values.select(value).na.drop().orderBy(value).collect()], float)
+    if x.nbytes > BROADCAST_BYTES:
+        raise ValueError(f"{len(x)} stations are too many for every task")
+    spark = values.sparkSession
+    shared = spark.sparkContext.broadcast(x)
+
+    def work(batches):
+        for pdf in batches:
+            draw = lambda rep: np.random.default_rng([seed, int(rep)]).choice(shared.value, k, replace=False).std()
+            yield pdf.assign(spread=[draw(r) for r in pdf["id"]]).rename(columns={"id": "rep"})
+
+    return spark.range(reps if len(x) >= k else 0).mapInPandas(work, "rep long, spread double")
+
+
+def same_distances(a: DataFrame, b: DataFrame, most: float = 1e-6) -> DataFrame:
+    """One row on two tables of all pairs: symmetric, zero diagonal, and the same distances."""
+    back = a.select(F.col("station").alias("neighbour"), F.col("neighbour").alias("station"), F.col("distance").alias("back"))
+    both = a.join(back, ["station", "neighbour"]).join(b.withColumnRenamed("distance", "other"), ["station", "neighbour"])
+    gap = lambda c: F.max(F.abs(F.col("distance") - F.col(c))) <= most
+    return both.agg(gap("back").alias("symmetric"), (F.max(F.when(F.col("station") == F.col("neighbour"), F.abs("distance"))) <= most).alias("zero_diagonal"), gap("other").alias("same"), F.count(F.lit(1)).alias("pairs"))

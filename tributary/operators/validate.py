@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions.distributions import RETURN_PERIODS
-from tributary.operators.homogeneity import fit_region
+from tributary.operators.homogeneity import family_curve, fit_region
 from tributary.operators.roi import Rules, grow, region_members
 
 
@@ -51,3 +51,32 @@ def overlap_with(regions: DataFrame, others: DataFrame) -> DataFrame:
     b = region_members(others).where("member <> station").select("station", "member").withColumn("b", F.lit(1))
     both = a.join(b, ["station", "member"], "full_outer").groupBy("station").agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("shared"), F.count(F.lit(1)).alias("any"))
     return both.select("station", (F.col("shared") / F.col("any")).alias("jaccard"))
+
+
+def curves_without_target(members: DataFrame, pools: DataFrame, family: str, least: int = 5) -> DataFrame:
+    """(station, period, at_site, roi, cluster): growth factors of a station's own record, of
+    its pool, and of its region less itself; null where fewer than ``least`` sites are left.
+
+    Region sums less the station's own terms give its fold, so no fold reads the members again.
+    """
+    w = ["n", "nt", "nt3"]
+    m = members.select("station", "region", "n", "t", "t3").withColumns({"nt": F.col("n") * F.col("t"), "nt3": F.col("n") * F.col("t3")})
+    whole = m.groupBy("region").agg(*(F.sum(c).alias(f"all_{c}") for c in w), F.count(F.lit(1)).alias("sites"))
+    rest = m.join(whole, "region").where(F.col("sites") > least).select("station", *((F.col(f"all_{c}") - F.col(c)).alias(c) for c in w))
+    pooled = pools.select(F.col("station").alias("target"), F.col("neighbour").alias("station")).join(m, "station").where("station <> target")
+    pooled = pooled.groupBy(F.col("target").alias("station")).agg(*(F.sum(c).alias(c) for c in w), F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= least)
+    parts = {"at_site": m, "roi": pooled, "cluster": rest}
+    tagged = [p.select(F.concat_ws("|", F.lit(k), "station").alias("region"), (F.col("nt") / F.col("n")).alias("t_r"), (F.col("nt3") / F.col("n")).alias("t3_r")) for k, p in parts.items()]
+    curves = family_curve(tagged[0].unionByName(tagged[1]).unionByName(tagged[2]), family)
+    kind, station = F.substring_index("region", "|", 1), F.expr("substring(region, instr(region, '|') + 1)").cast(dict(members.dtypes)["station"])
+    one = lambda k: F.max(F.when(kind == k, F.col("q"))).alias(k)
+    return curves.groupBy(station.alias("station"), "period").agg(*map(one, parts)).where("at_site is not null")
+
+
+def compared(curves: DataFrame) -> DataFrame:
+    """Bias and root mean square of both methods' percent errors by period, and the better."""
+    errors = curves.select("period", *((100 * (F.col(c) / F.col("at_site") - 1)).alias(c) for c in ("roi", "cluster")))
+    rms = lambda c: F.sqrt(F.avg(F.col(c) * F.col(c)))
+    return errors.groupBy("period").agg(
+        F.avg("roi").alias("roi_bias"), rms("roi").alias("roi_rmse"), F.avg("cluster").alias("cluster_bias"), rms("cluster").alias("cluster_rmse"), F.when(rms("roi") < rms("cluster"), "ROI").otherwise("cluster").alias("winner")
+    )
