@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tributary.llm import chunk_dedup, queries, simhash
+from tributary.llm import chunk_dedup, queries, shingle_join, simhash
 
 from .conftest import rows
 
@@ -118,6 +118,41 @@ def test_links_of_clusters(spark, root_rows):
     assert all(k == min(v) for k, v in mine.items())
 
 
+def five_words(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_stage_takes_five_words(spark):
+    """All pairs with similarity 0.8 or more link, however far their fingerprints are apart,
+    and no others; also where a list of candidates is dealt out in blocks."""
+    r = random.Random(3)
+    texts = []
+    for base in range(25):
+        words = [f"w{r.randrange(3000)}" for _ in range(r.choice((3, 30, 60, 300)))]
+        for _ in range(6):
+            changed = list(words)
+            for _ in range(r.choice((0, 1, 1, 2, 5))):
+                changed[r.randrange(len(changed))] = f"x{r.randrange(10**6)}"
+            texts.append(" ".join(changed) + (" and this common line is in many of them too" if base % 2 else ""))
+    sets = [five_words(t) for t in texts]
+    least = list(range(len(texts)))
+    far = 0
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for i, j in near:
+        far += ((simhash.fingerprint(texts[i].encode()) ^ simhash.fingerprint(texts[j].encode())) & (2**64 - 1)).bit_count() > 4
+        a, b = sorted((least[i], least[j]))
+        least = [a if x == b else x for x in least]
+    assert far > 10
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(d.doc_id for d in simhash.deduplicated(docs).collect()) == sorted(set(least))
+    found = shingle_join.shingle_sets(docs, "doc_id", "text")
+    node = {d._id: d.node for d in found.select("_id", "node").collect()}
+    for block in (2, 1024):
+        label = {d.node: d.label for d in simhash.components(shingle_join.links(found, shingle_join.shared_prefixes(found), block)).collect()}
+        assert len({label.get(n, n) for n in node.values()}) == len(set(least))
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(500, 500), (600, 601)], "a long, b long")
     got = {r.node: r.label for r in simhash.components(edges).collect()}

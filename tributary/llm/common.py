@@ -68,6 +68,10 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def text_digest(name: str = "text") -> Column:
+    return F.sha2(whole_text(name), 256)
+
+
 def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """The rows of ``docs`` whose id is not in the one column of ``ids``; a null id is a
     value like any other."""

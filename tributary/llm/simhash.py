@@ -30,23 +30,33 @@ ROOT_ROWS = 20_000
 FRONTIER = 1 << 20
 
 
-def fingerprint(text: bytes) -> int:
-    """Bit k is set if it is in more than half of the shingles' hashes; signed 64 bits."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """The hash of every shingle of so many words; a shorter text is one shingle."""
     import xxhash
 
-    words = text.lower().split()  # bytes: A-Z and the six ASCII white spaces only
-    if not words:
-        return 0
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    k = min(WORDS, len(words))
-    begin = np.concatenate(([0], ends[: len(words) - k])).tolist()
+    found = text.lower().split()  # bytes: A-Z and the six ASCII white spaces only
+    if not found:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+    k = min(words, len(found))
+    begin = np.concatenate(([0], ends[: len(found) - k])).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(line[a : b - 1], SEED) for a, b in zip(begin, ends[k - 1 :].tolist())]
-    bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8)).reshape(-1, 64)
+    return np.array([digest(line[a : b - 1], SEED) for a, b in zip(begin, ends[k - 1 :].tolist())], np.uint64)
+
+
+def folded(hashes: np.ndarray) -> int:
+    """Bit k is set if it is in more than half of the hashes; signed 64 bits."""
+    if not len(hashes):
+        return 0
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64)
     return int(np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(hashes)).view(">i8")[0])
 
 
+def fingerprint(text: bytes) -> int:
+    return folded(shingle_hashes(text, WORDS))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, fp) for each row, null texts as empty; other columns are not read."""
     small_batches(docs.sparkSession)
@@ -126,7 +136,7 @@ def _split(bits: np.ndarray, nodes: np.ndarray, depth: np.ndarray) -> np.ndarray
         low = np.where(open_ & ~one, middle + 1, low)
 
 
-class _Stars:
+class Stars:
     """Links among values, kept as one link from each value to its group's smallest."""
 
     def __init__(self):
@@ -198,7 +208,7 @@ def links(distinct: DataFrame, root_rows: int = ROOT_ROWS) -> DataFrame:
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
-        stars = _Stars()
+        stars = Stars()
         if sum(b.num_rows for b in held):
             table = pa.Table.from_batches(held)
             c = {n: table.column(n).to_numpy() for n in ("pair", "root", "bits", "fp", "s", "t", "mine", "extra")}
@@ -266,6 +276,27 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest, with all their columns."""
-    groups = near_groups(docs, id_col, text_col)
-    return without(docs, groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col), id_col)
+    """The rows of ``docs`` that stay, with all their columns: of texts that pairs with a
+    similarity of 0.8 or more in five-word shingles connect, the one with the smallest id.
+
+    The contract's four bits bind ``near_groups``.  Near copies lie further apart, so beside
+    the tries' groups all sets with a prefix shingle in common are compared, and every link
+    is checked on the whole sets.  Null ids never win against others.
+    """
+    from . import shingle_join
+
+    sets = shingle_join.shingle_sets(docs, id_col, text_col)
+    prints = stored(sets.groupBy("fp").agg(F.min("node").alias("node")), "nodes")
+    tries = stored(components(stored(links(prints), "links")), "tries")
+    grouped = sets.select("fp", "node").distinct().join(tries.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    starred = grouped.join(prints.select(F.col("fp").alias("label"), F.col("node").alias("centre")), "label").where("node <> centre")
+    starred = starred.select(F.xxhash64("centre", "node").alias("list"), F.array("centre", "node").alias("members"))
+    lists = stored(shingle_join.shared_prefixes(sets).unionByName(starred), "lists")
+    labels = components(stored(shingle_join.links(sets, lists), "links"))
+
+    rows = sets.select("_id", "digest", "node").join(labels, "node", "left").select("_id", "digest", F.coalesce("label", "node").alias("label"))
+    rows = stored(rows.distinct(), "labelled")
+    place = F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), F.col("digest").alias("digest"))
+    keep = stored(rows.groupBy("label").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1"), "keep")
+    gone = rows.join(keep, "label").where(~place.eqNullSafe(F.col("keep"))).select("_id")
+    return without(docs, gone, id_col)
