@@ -157,3 +157,13 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(500, 500), (600, 601)], "a long, b long")
     got = {r.node: r.label for r in simhash.components(edges).collect()}
     assert got == {**{i: 0 for i in range(61)}, 600: 600, 601: 600}
+
+
+def test_only_the_judged_row_goes(spark):
+    """Rows that share an id, also a null one, with a dropped row keep their own text."""
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven", "red green blue black white grey brown")
+    data = [(None, a), (None, b), (5, a), (7, c), (9, c), (7, "unlike all others in this table"), (None, "a text with null id alone")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(2)
+    rest = [(None, b), (5, a), (7, "unlike all others in this table"), (None, "a text with null id alone")]
+    for stage, kept in ((chunk_dedup.deduplicated, (9, c)), (simhash.deduplicated, (7, c))):
+        assert sorted(map(repr, map(tuple, stage(docs).collect()))) == sorted(map(repr, [*rest, kept]))

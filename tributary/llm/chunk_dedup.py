@@ -64,4 +64,4 @@ def exact_groups(
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     groups = exact_groups(docs, id_col, text_col)
-    return without(docs, groups.where(~F.col("kept")).select(id_col), id_col)
+    return without(docs, groups.where(~F.col("kept")).select(id_col, "text_sha256"), id_col, text_col)

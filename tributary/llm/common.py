@@ -72,9 +72,10 @@ def text_digest(name: str = "text") -> Column:
     return F.sha2(whole_text(name), 256)
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id is not in the one column of ``ids``; a null id is a
-    value like any other."""
-    name = free_name(docs, "_dropped")
-    gone = stored(ids.toDF(name).distinct(), "dropped")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone[name]), "left_anti")
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id and text together are not in ``gone`` (id, SHA-256 of the
+    text); a null id is a value like any other."""
+    name, digest = free_name(docs, "_dropped"), free_name(docs, "_digest")
+    gone = stored(gone.toDF(name, digest).distinct(), "dropped")
+    same = (text_digest(text_col) == gone[digest]) & docs[id_col].eqNullSafe(gone[name])
+    return docs.join(gone, same, "left_anti")

@@ -298,5 +298,5 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = stored(rows.distinct(), "labelled")
     place = F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), F.col("digest").alias("digest"))
     keep = stored(rows.groupBy("label").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1"), "keep")
-    gone = rows.join(keep, "label").where(~place.eqNullSafe(F.col("keep"))).select("_id")
-    return without(docs, gone, id_col)
+    gone = rows.join(keep, "label").where(~place.eqNullSafe(F.col("keep"))).select("_id", "digest")
+    return without(docs, gone, id_col, text_col)
