@@ -215,3 +215,16 @@ def test_random_spread_repeats(spark):
     one, two = (sorted(map(tuple, space.random_spread(v, "t", reps=40).repartition(n).collect())) for n in (1, 3))
     assert one == two and len(one) == 40
     assert space.random_spread(v.limit(3), "t").count() == 0
+
+
+def test_ungauged_query_runs_all_simulations(spark, sf_dir, monkeypatch):
+    import inspect
+
+    from tributary.operators import validate
+    from tributary.plans import numeric
+
+    call = inspect.signature(validate.ungauged)
+    monkeypatch.setattr(validate, "ungauged", lambda *a, **k: call.bind(*a, **k))
+    bound = numeric.ungauged_test(spark, sf_dir)
+    bound.apply_defaults()
+    assert bound.arguments["nsim"] == 500

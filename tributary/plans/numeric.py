@@ -286,4 +286,4 @@ def mosaic(spark, sf_dir):
 def ungauged_test(spark, sf_dir):
     stations = roi.station_matrix(_z(spark, sf_dir), ATTRIBUTES, moments(spark, sf_dir))
     index = indexflood.leave_one_out(_index(spark, sf_dir), "station", ATTRIBUTES, "y")
-    return validate.ungauged(spark, stations, ATTRIBUTES, index, nsim=200)
+    return validate.ungauged(spark, stations, ATTRIBUTES, index)
