@@ -228,3 +228,14 @@ def test_ungauged_query_runs_all_simulations(spark, sf_dir, monkeypatch):
     bound = numeric.ungauged_test(spark, sf_dir)
     bound.apply_defaults()
     assert bound.arguments["nsim"] == 500
+
+
+def test_ranges_of_cluster_numbers(spark, sf_dir, monkeypatch):
+    """As the reference: its validity table has 2 to 15, its choice is of 3 to 8."""
+    from tributary.plans import regional
+
+    tried = []
+    monkeypatch.setattr(cluster, "validity", lambda df, key, columns, ks, members: tried.append(ks) or spark.createDataFrame([(k, k / 10, 5) for k in ks], "k int, silhouette double, min_size int"))
+    regional.cluster_validity(spark, sf_dir)
+    assert regional.chosen_k(spark, sf_dir).first().k == 8
+    assert tried == [list(range(2, 16)), list(range(3, 9))]

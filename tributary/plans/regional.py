@@ -87,12 +87,12 @@ def top_loadings(spark, sf_dir):
 
 @query()
 def cluster_validity(spark, sf_dir):
-    return cluster.validity(_z(spark, sf_dir), "station", ATTRIBUTES, list(range(2, 7)), moments(spark, sf_dir).withColumn("region", F.lit(0)))
+    return cluster.validity(_z(spark, sf_dir), "station", ATTRIBUTES, list(range(2, 16)), moments(spark, sf_dir).withColumn("region", F.lit(0)))
 
 
 @query()
 def chosen_k(spark, sf_dir):
-    table = cluster.validity(_z(spark, sf_dir), "station", ATTRIBUTES, list(range(2, 7)), moments(spark, sf_dir).withColumn("region", F.lit(0)))
+    table = cluster.validity(_z(spark, sf_dir), "station", ATTRIBUTES, list(range(3, 9)), moments(spark, sf_dir).withColumn("region", F.lit(0)))
     return cluster.best_k(table.select("k", "silhouette", F.col("min_size").alias("min_contrib"), (F.col("min_size") >= 5).alias("testable")))
 
 
