@@ -1,27 +1,92 @@
-"""Cutting the lineage of iterative jobs."""
+"""Tables in the folder that driver and executors share: cutting lineage, and what is left."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that this process wrote and has not deleted, oldest first.
+_WRITTEN: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, or, where none is set (tests), a temporary one."""
+    """``spark.checkpoint.dir`` where it is set.  Otherwise a temporary folder in local mode
+    (tests); on a cluster a machine's own folder would lose data, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-checkpoints-", dir="/tmp")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tributary-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tributary-{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it again: cuts lineage so that a lost
+    executor costs no recomputation, and forgets the partitioning so that adaptive
+    execution may split skewed partitions of a later join.  What the write shuffled is
+    deleted with its end."""
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """Deletes the tables that were written inside, at its end.  What it gives stores a table
+    as ``stored`` does, but for longer."""
+    begin, kept = len(_WRITTEN), []
+
+    def outliving(df: DataFrame, label: str) -> DataFrame:
+        out = stored(df, label)
+        kept.append(_WRITTEN[-1])
+        return out
+
+    try:
+        yield outliving
+    finally:
+        _delete(spark, [p for p in _WRITTEN[begin:] if p not in kept])
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Deletes this process's tables (from the ``since``-th that is left); results that still
+    read them can't be computed any more."""
+    _delete(spark, _WRITTEN[since:])
+
+
+def left() -> int:
+    """How many tables are left."""
+    return len(_WRITTEN)
