@@ -2,50 +2,52 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch; with long texts this bounds a Python worker's memory.
-BATCH_ROWS = 512
+from tributary.functions.lineage import clear, fresh_path, left, scratch, stored
 
+__all__ = ["clear", "fresh_path", "free_name", "left", "ragged", "row_id", "scratch", "slices", "stored", "text_digest", "utf8_list", "whole_text", "without"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where the
-    cluster sets it, otherwise (tests, local mode) a fresh temporary folder."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured.rstrip("/")
+#: What an operator works on at a time, at most: rows, and bytes unless one row has more.
+#: Spark cuts the batches that arrive at 64 MB or one row, whatever their rows.
+SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
 
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tributary-{label}-{uuid.uuid4().hex}"
+def slices(batches: Iterable[pa.RecordBatch], column: str, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of each batch, in order and without copying, by the bytes of a text column."""
+    for b in batches:
+        at = 0
+        for n in part_sizes(b.column(column), rows, size):
+            yield b.slice(at, n)
+            at += n
 
 
-def stored(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again: cuts lineage so that a lost
-    executor costs no recomputation, and forgets the partitioning so that adaptive
-    execution may split skewed partitions of a later join."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds Arrow batches by rows; whole long texts travel in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def part_sizes(texts: pa.Array, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[int]:
+    """How many rows belong to each part of a column."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = int(ends[at - 1]) if at else 0
+        until = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, "right"))))
+        yield until - at
+        at = until
 
 
 def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def row_id(df: DataFrame, name: str) -> Column:
+    """An id as a long; one that is no number is null."""
+    return F.col(name).cast("long") if dict(df.dtypes)[name] in ("tinyint", "smallint", "int", "bigint") else F.col(name).try_cast("long")
+
+
 def utf8_list(texts: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each value, null as empty."""
     return [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
@@ -69,13 +71,22 @@ def free_name(df: DataFrame, base: str) -> str:
 
 
 def text_digest(name: str = "text") -> Column:
-    return F.sha2(whole_text(name), 256)
+    return F.unhex(F.sha2(whole_text(name), 256))
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id and text together are not in ``gone`` (id, SHA-256 of the
-    text); a null id is a value like any other."""
+def without(docs: DataFrame, gone: DataFrame, twice: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id and text together are not in ``gone``; of those in
+    ``twice`` one row each.  Both are small stored tables of ids and SHA-256 digests of
+    texts; a null id is a value like any other."""
     name, digest = free_name(docs, "_dropped"), free_name(docs, "_digest")
-    gone = stored(gone.toDF(name, digest).distinct(), "dropped")
-    same = (text_digest(text_col) == gone[digest]) & docs[id_col].eqNullSafe(gone[name])
-    return docs.join(gone, same, "left_anti")
+
+    def in_(table: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+        table = table.toDF(name, digest)
+        return rows.join(table, (text_digest(text_col) == table[digest]) & rows[id_col].eqNullSafe(table[name]), how)
+
+    kept = in_(gone, "left_anti", docs)
+    if twice.isEmpty():
+        return kept
+    mark = free_name(docs, "_mark")
+    once = in_(twice, "left_semi", kept).withColumn(mark, text_digest(text_col)).dropDuplicates([id_col, mark]).drop(mark)
+    return in_(twice, "left_anti", kept).unionByName(once)

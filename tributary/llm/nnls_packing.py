@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, whole_text
+from .common import row_id, slices, stored, whole_text
 from .vocab import tokenizer
 
 BINS = 64
@@ -157,17 +157,15 @@ def place(lengths: list[int], window: int, recipe: list[tuple[tuple[int, ...], f
 def token_table(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, doc_tokens, ids): each whole text's ids and the end id, as little-endian
     unsigned 32-bit integers, stored in the shared folder."""
-    small_batches(docs.sparkSession)
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "_text"):
             ids = [np.append(x, np.uint32(end_id)).astype("<u4") for x in tokenizer(tokenizer_path).encode(b.column("_text").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column("_id"), pa.array(map(len, ids), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
                 names=["_id", "doc_tokens", "ids"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), whole_text(text_col).alias("_text"))
+    rows = docs.select(row_id(docs, id_col).alias("_id"), whole_text(text_col).alias("_text"))
     return stored(rows.mapInArrow(encode, "_id long, doc_tokens long, ids binary"), "tokens")
 
 
@@ -187,11 +185,9 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
         histogram[k - 1] = n
     total = float(histogram.sum())
     recipe = solve(histogram) if total else []
-    small_batches(docs.sparkSession)
-
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
         ids, lengths, raw, held = [], [], [], 0
-        for b in batches:
+        for b in slices(batches, "ids"):
             for one, n, data in zip(*(b.column(c).to_pylist() for c in ("_id", "doc_tokens", "ids"))):
                 ids.append(one)
                 lengths.append(n)

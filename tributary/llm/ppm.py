@@ -1,162 +1,232 @@
 """Language identification by prediction with partial matching.
 
-For each language a tree of byte contexts of two, one and no bytes is counted on a bounded
-sample, then frozen.  A byte is coded in the longest context that has seen it; otherwise the
-context's escape is coded (as many chances as it has distinct bytes, method C) and the next
-shorter context takes over without the bytes already ruled out, down to all 256 bytes alike.
-The language with the shortest exact code of a text wins.
+For each language a tree of byte contexts, of ``order`` bytes and fewer, is counted on a
+bounded sample, then frozen.  A byte is coded in the longest context that has been seen; if
+the byte has not been seen there, the context's escape is coded (as many chances as it has
+distinct bytes, method C) and the next shorter context takes over without the bytes already
+ruled out, down to all 256 bytes alike.  The language with the shortest exact code of a text
+wins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, small_batches, utf8_list
+from .common import free_name, part_sizes, slices, utf8_list
 
+#: Longest context; at most 6, so that a context and its byte fit into 64 bits.
+ORDER = 3
 #: Expected documents of a language that are learned from, at most.
 TRAIN_DOCS = 1_500
+#: Languages that are learned, the most frequent ones.
+LANGUAGES = 100
 #: Positions that are scored at a time.
-SLICE = 1 << 20
-START = b"\0\0"
+SLICE = 1 << 19
+#: Bytes of code lengths that a worker remembers, about.
+MEMO_BYTES = 32 << 20
 
 
-def _logs(x: np.ndarray) -> np.ndarray:
-    """log2, and 0 where there is nothing."""
-    return np.log2(x, out=np.zeros(x.shape), where=x > 0)
+def _mask(size: int) -> np.uint64:
+    return np.uint64((1 << 8 * size) - 1)
+
+
+def strings(text: bytes, order: int) -> np.ndarray:
+    """Each byte with the ``order`` bytes before it, as a number; zeros come before a text."""
+    a = np.frombuffer(bytes(order) + text, np.uint8).astype(np.uint64)
+    out = np.zeros(len(text), np.uint64)
+    for k in range(order + 1):
+        out = out << np.uint64(8) | a[k : k + len(text)]
+    return out
 
 
 @dataclass
-class Model:
-    """Code lengths in bits for all languages side by side.
+class Level:
+    """Contexts of one length, in order: bytes seen after each and how many distinct ones;
+    the same of the next shorter context without what this one has seen.  ``edges`` are
+    contexts with a byte, and how often."""
 
-    ``codes`` are the three-byte strings that any language has seen, ``known`` their last
-    byte's code lengths.  All others: ``one`` after an escape from two bytes, minus
-    ``seen_one``; where that has not been seen, ``none`` and ``zero`` minus ``seen_none``; or
-    ``none`` and ``last``.
-    """
+    contexts: np.ndarray
+    total: np.ndarray
+    kinds: np.ndarray
+    left: np.ndarray
+    left_kinds: np.ndarray
+    edges: np.ndarray
+    times: np.ndarray
 
+
+@dataclass
+class Model:
     langs: list[str]
-    codes: np.ndarray
-    known: np.ndarray
-    one: np.ndarray
-    none: np.ndarray
-    seen_one: np.ndarray
-    zero: np.ndarray
-    seen_none: np.ndarray
-    last: np.ndarray
-
-
-def freeze(langs: list[str], lang: np.ndarray, code: np.ndarray, count: np.ndarray) -> Model:
-    """From the counts of three-byte strings: language number, string, times."""
-    n = len(langs)
-    codes = np.unique(code)
-    known = np.zeros((len(codes), n), np.float32)
-    one, none = np.zeros((1 << 16, n), np.float32), np.zeros((1 << 16, n), np.float32)
-    seen_one = np.full((1 << 16, n), np.nan, np.float32)
-    zero, last = np.zeros((256, n), np.float32), np.zeros((256, n), np.float32)
-    seen_none = np.full((256, n), np.nan, np.float32)
-    model = Model(langs, codes, known, one, none, seen_one, zero, seen_none, last)
-    for k in range(n):
-        mine = lang == k
-        c, times = code[mine], count[mine].astype(float)
-        c1 = np.bincount(c & 0xFFFF, times, 1 << 16)  # the last two bytes
-        c0 = np.bincount(c & 0xFF, times, 256)
-        total2, kinds2 = np.bincount(c >> 8, times, 1 << 16), np.bincount(c >> 8, minlength=1 << 16)
-        # What the shorter context holds besides the bytes that the longer one has seen.
-        by_first = c1.reshape(256, 256)
-        ctx1 = np.arange(1 << 16) & 0xFF
-        left1 = by_first.sum(1)[ctx1] - np.bincount(c >> 8, c1[c & 0xFFFF], 1 << 16)
-        kinds1 = (by_first > 0).sum(1)[ctx1] - kinds2
-        escape2 = _logs(total2 + kinds2) - _logs(kinds2.astype(float))
-        room1 = _logs(left1 + kinds1)
-        one[:, k] = escape2 + room1
-        none[:, k] = escape2 + np.where(kinds1 > 0, room1 - _logs(kinds1.astype(float)), 0)
-        seen_one[:, k] = np.where(c1 > 0, _logs(c1), np.nan)
-        left0 = c0.sum() - (c0 * (by_first > 0)).sum(1)
-        kinds0 = (c0 > 0).sum() - (by_first > 0).sum(1)
-        room0 = _logs(left0 + kinds0)
-        zero[:, k] = room0
-        last[:, k] = np.where(kinds0 > 0, room0 - _logs(kinds0.astype(float)), 0) + np.log2(max(1, 256 - (c0 > 0).sum()))
-        seen_none[:, k] = np.where(c0 > 0, _logs(c0), np.nan)
-        known[:, k] = _unseen(model, codes)[:, k]
-        at = np.searchsorted(codes, c)
-        known[at, k] = _logs(total2 + kinds2)[c >> 8] - _logs(times)
-    return model
-
-
-def _unseen(m: Model, code: np.ndarray) -> np.ndarray:
-    """Code lengths where the two-byte context has not seen the byte."""
-    two, one, byte = code >> 8, code & 0xFFFF, code & 0xFF
-    first = one >> 8
-    after = m.none[two] + np.where(np.isnan(m.seen_none[byte]), m.last[first], m.zero[first] - m.seen_none[byte])
-    return np.where(np.isnan(m.seen_one[one]), after, m.one[two] - m.seen_one[one])
+    order: int
+    trees: list[list[Level]] = field(default_factory=list)  # by language, then length
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found, at = np.unique(keys, return_inverse=True)
+    return found, np.bincount(at, n, len(found)), np.bincount(at, minlength=len(found)).astype(float)
+
+
+def tree(code: np.ndarray, count: np.ndarray, order: int) -> list[Level]:
+    """From counted strings of order + 1 bytes."""
+    levels: list[Level] = []
+    for k in range(order + 1):
+        edges, times, _ = _summed(code & _mask(k + 1), count)
+        contexts, total, kinds = _summed(edges >> np.uint64(8), times)
+        left, left_kinds = np.zeros(len(contexts)), np.zeros(len(contexts))
+        if k:
+            shorter = levels[-1]
+            suffix = np.searchsorted(shorter.contexts, contexts & _mask(k - 1))
+            owner = np.searchsorted(contexts, edges >> np.uint64(8))
+            again = shorter.times[np.searchsorted(shorter.edges, edges & _mask(k))]
+            left = shorter.total[suffix] - np.bincount(owner, again, len(contexts))
+            left_kinds = shorter.kinds[suffix] - kinds
+        levels.append(Level(contexts, total, kinds, left, left_kinds, edges, times))
+    return levels
+
+
+def freeze(langs: list[str], lang: np.ndarray, code: np.ndarray, count: np.ndarray, order: int) -> Model:
+    """From the counts of strings: language number, string, times."""
+    return Model(langs, order, [tree(code[lang == k].astype(np.uint64), count[lang == k].astype(float), order) for k in range(len(langs))])
+
+
+def _place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+    return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
+
+
+def code_lengths(levels: list[Level], code: np.ndarray) -> np.ndarray:
+    """Bits of the last byte of each string after the others, in one language."""
+    bits = np.zeros(len(code))
+    todo = np.arange(len(code))
+    first = np.ones(len(code), bool)  # no context has been seen so far
+    total, kinds = np.zeros(len(code)), np.zeros(len(code))
+    for k in range(len(levels) - 1, -1, -1):
+        m = levels[k]
+        at, seen = _place(m.contexts, code[todo] >> np.uint64(8) & _mask(k))
+        here, at = todo[seen], at[seen]
+        if not len(here):
+            continue
+        total[here] = np.where(first[here], m.total[at], total[here])
+        kinds[here] = np.where(first[here], m.kinds[at], kinds[here])
+        first[here] = False
+        some = kinds[here] > 0  # else all bytes of this context are ruled out
+        edge, found = _place(m.edges, code[here] & _mask(k + 1))
+        found &= some
+        chances = np.where(found, m.times[edge], np.where(some, kinds[here], 1.0))
+        bits[here] += np.where(some, np.log2(np.maximum(total[here] + kinds[here], 1.0)) - np.log2(chances), 0.0)
+        total[here], kinds[here] = m.left[at], m.left_kinds[at]
+        done = np.zeros(len(code), bool)
+        done[here[found]] = True
+        todo = todo[~done[todo]]
+    bits[todo] += np.log2(max(1, 256 - (len(levels[0].edges) if levels else 0)))
+    return bits
 
 
 class Scorer:
-    """Exact code lengths of whole texts in every language."""
+    """Exact code lengths of whole texts in every language.  The lengths of a string are
+    remembered in one place each, which another string may take over."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.row = np.full(1 << 24, -1, np.int32)
-        self.row[model.codes] = np.arange(len(model.codes), dtype=np.int32)
+        self.slots = 1 << max(10, (MEMO_BYTES // (4 * max(1, len(model.langs)))).bit_length() - 1)
+        self.key = np.full(self.slots, np.iinfo(np.uint64).max, np.uint64)
+        self.cost = np.zeros((self.slots, len(model.langs)), np.float32)
+
+    def _costs(self, code: np.ndarray) -> np.ndarray:
+        mixed = code * np.uint64(0x9E3779B97F4A7C15)
+        slot = (mixed >> np.uint64(64 - (self.slots.bit_length() - 1))).astype(np.int64)
+        out = self.cost[slot]
+        miss = np.flatnonzero(self.key[slot] != code)
+        if len(miss):
+            new, first, at = np.unique(code[miss], return_index=True, return_inverse=True)
+            costs = np.stack([code_lengths(t, new) for t in self.model.trees], 1).astype(np.float32)
+            out[miss] = costs[at]
+            place = slot[miss][first]
+            self.key[place], self.cost[place] = new, costs
+        return out
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
+        """Of each text in each language."""
         out = np.zeros((len(texts), len(self.model.langs)))
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        data = np.frombuffer(b"".join(x for t in texts for x in (START, t)), np.uint8)
-        ends = np.cumsum(sizes + len(START)) - len(START)
-        marks = np.unique(np.concatenate([ends - sizes, ends]))
-        sums = np.zeros((len(marks), out.shape[1]))
-        carry = np.zeros(out.shape[1])
-        for at in range(0, len(data) - 2, SLICE):
-            a = data[at : at + SLICE + 2].astype(np.int32)
-            code = a[:-2] << 16 | a[1:-1] << 8 | a[2:]
-            row = self.row[code]
-            cost = self.model.known[row] if len(self.model.codes) else np.zeros((len(row), out.shape[1]), np.float32)
-            odd = np.flatnonzero(row < 0)
-            if len(odd):
-                cost[odd] = _unseen(self.model, code[odd])
-            running = np.cumsum(cost, axis=0, dtype=np.float64) + carry
-            here = (marks > at) & (marks <= at + len(code))
-            sums[here] = running[marks[here] - at - 1]
-            carry = running[-1]
-        return sums[np.searchsorted(marks, ends)] - sums[np.searchsorted(marks, ends - sizes)]
-
-
-def train(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", docs_per_lang: int = TRAIN_DOCS) -> Model:
+        held, size = [], 0
+        for i, t in enumerate(texts):
+            for at in range(0, len(t), SLICE):
+                before = t[max(0, at - self.model.order) : at].rjust(self.model.order, b"\0")
+                part = t[at : at + SLICE]
+                held.append((i, before, part))
+                size += len(part)
+                if size >= SLICE:
+                    self._add(held, out)
+                    held, size = [], 0
+        self._add(held, out)
+        return out
+
+    def _add(self, held: list[tuple[int, bytes, bytes]], out: np.ndarray) -> None:
+        if not held:
+            return
+        order = self.model.order
+        joined = b"".join(x for _, before, part in held for x in (before, part))
+        code = strings(joined, order)
+        sizes = np.array([len(part) for _, _, part in held])
+        begin = np.cumsum(sizes + order) - sizes
+        inside = np.ones(len(joined), bool)
+        for k in range(1, order + 1):
+            inside[begin - k] = False
+        costs = self._costs(code[inside])
+        starts = np.cumsum(sizes) - sizes
+        np.add.at(out, np.array([i for i, _, _ in held]), np.add.reduceat(costs, starts, axis=0, dtype=np.float64))
+
+
+def scorer_of(model: Model) -> Scorer:
+    """One for each Python worker and model."""
+    if "_scorer" not in model.__dict__:
+        model._scorer = Scorer(model)
+    return model._scorer
+
+
+def train(
+    rows: DataFrame,
+    lang_col: str = "lang",
+    text_col: str = "text",
+    id_col: str = "doc_id",
+    docs_per_lang: int = TRAIN_DOCS,
+    languages: int = LANGUAGES,
+    order: int = ORDER,
+) -> Model:
     """Learns from ``rows`` with a language and a text: about ``docs_per_lang`` whole texts of
-    each language, picked by a hash of the id; all of them where there are fewer."""
-    small_batches(rows.sparkSession)
-    usable = rows.where(F.col(lang_col).isNotNull())
-    found = sorted((r[0], r[1]) for r in usable.groupBy(lang_col).count().collect())  # a row for each language
+    each of the ``languages`` most frequent ones, picked by a hash of the id and the text; all
+    of them where there are fewer."""
+    if not 0 <= order <= 6:
+        raise ValueError("contexts have 0 to 6 bytes")
+    usable = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    most = usable.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(languages)
+    found = sorted((r[0], r[1]) for r in most.collect())
     langs = [lang for lang, _ in found]
-    share = F.lit(0.0)
-    for lang, n in found:
-        share = F.when(F.col(lang_col) == lang, min(1.0, docs_per_lang / n)).otherwise(share)
-    picked = usable.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("ppm")), F.lit(1 << 20)) < share * (1 << 20)).where(F.col(text_col).isNotNull())
+    if not langs:
+        return Model([], order)
+    parts = 1 << 30
+    share = F.create_map(*(F.lit(x) for lang, n in found for x in (lang, int(min(1.0, docs_per_lang / n) * parts))))
+    picked = usable.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(parts)) < F.try_element_at(share, F.col(lang_col)))
     number = {lang: k for k, lang in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = utf8_list(b.column("_text"))
-            lang = b.column("_lang").to_pylist()
-            keys = [np.zeros(0, np.int64)]
-            for t, name in zip(texts, lang):
-                a = np.frombuffer(START + t, np.uint8).astype(np.int64)
-                keys.append(number[name] << 24 | a[:-2] << 16 | a[1:-1] << 8 | a[2:])
-            key, n = np.unique(np.concatenate(keys), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
-
-    counts = picked.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).mapInArrow(count, "key long, n long")
-    table = counts.groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
-    key, n = table.column("key").to_numpy(), table.column("n").to_numpy()
-    return freeze(langs, key >> 24, key & 0xFFFFFF, n)
+        for b in slices(batches, "_text"):
+            keys = {}
+            for t, name in zip(utf8_list(b.column("_text")), b.column("_lang").to_pylist()):
+                keys.setdefault(number[name], []).append(strings(t, order))
+            for k, codes in keys.items():
+                code, n = np.unique(np.concatenate(codes), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), k, np.int32)), pa.array(code.view(np.int64)), pa.array(n, pa.int64())], names=["k", "code", "n"])
+
+    counts = picked.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).mapInArrow(count, "k int, code long, n long")
+    table = counts.groupBy("k", "code").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
+    return freeze(langs, table.column("k").to_numpy(), table.column("code").to_numpy().view(np.uint64), table.column("n").to_numpy(), order)
 
 
 def identify(spark, model: Model, text: Column) -> Column:
@@ -166,7 +236,6 @@ def identify(spark, model: Model, text: Column) -> Column:
     learned.  Equal code lengths: the first language in order.  score is the share of the
     best language among all, were each as likely beforehand.
     """
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # bounded by the sample it is learned from
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
@@ -175,18 +244,21 @@ def identify(spark, model: Model, text: Column) -> Column:
         import regex
 
         letter = regex.compile(r"\p{L}")
-        scorer = Scorer(shared.value) if shared.value.langs else None
-        for texts in batches:
-            rows = []
-            data = utf8_list(texts)
-            bits = scorer.bits(data) if scorer else None
-            for k, (t, raw) in enumerate(zip(texts.to_pylist(), data)):
-                if t is None or scorer is None or not letter.search(t):
-                    rows.append({"lang_pred": "und", "score": 0.0, "bits_per_byte": float(bits[k].min()) / max(1, len(raw)) if scorer else None})
-                    continue
-                best = int(bits[k].argmin())
-                rest = np.exp2(np.maximum(bits[k][best] - bits[k], -1000.0)).sum()
-                rows.append({"lang_pred": scorer.model.langs[best], "score": float(1 / rest), "bits_per_byte": float(bits[k][best]) / len(raw)})
+        scorer = scorer_of(shared.value) if shared.value.langs else None
+        for whole in batches:
+            rows, at = [], 0
+            for n in part_sizes(whole):
+                texts = whole.slice(at, n)
+                at += n
+                data = utf8_list(texts)
+                bits = scorer.bits(data) if scorer else None
+                for k, (t, raw) in enumerate(zip(texts.to_pylist(), data)):
+                    if t is None or scorer is None or not letter.search(t):
+                        rows.append({"lang_pred": "und", "score": 0.0, "bits_per_byte": float(bits[k].min()) / max(1, len(raw)) if scorer else None})
+                        continue
+                    best = int(bits[k].argmin())
+                    rest = np.exp2(np.maximum(bits[k][best] - bits[k], -1000.0)).sum()
+                    rows.append({"lang_pred": scorer.model.langs[best], "score": float(1 / rest), "bits_per_byte": float(bits[k][best]) / len(raw)})
             yield pa.array(rows, kind)
 
     return score.asNondeterministic()(text)

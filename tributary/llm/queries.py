@@ -49,13 +49,19 @@ def op7_suffix_array_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out() -> Column:
-    """Documents that language models may not learn from."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    """Documents that are held out of learning by their id; one without an id is not, though
+    ``learnable`` leaves it out too."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def learnable() -> Column:
+    """Documents that language models may learn from."""
+    return F.col("doc_id").isNotNull() & ~held_out()
 
 
 def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = ppm.train(docs.where(~held_out()))
+    model = ppm.train(docs.where(learnable()))
     found = docs.select("doc_id", held_out().alias("held_out"), ppm.identify(spark, model, F.col("text")).alias("x"))
     return found.select("doc_id", "held_out", "x.lang_pred", "x.score", "x.bits_per_byte")
 

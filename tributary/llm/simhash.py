@@ -3,12 +3,15 @@
 Distinct fingerprints are cut into six blocks of bits.  Two fingerprints that differ in at
 most four bits agree in two whole blocks, so for each of the 15 pairs of blocks the bits are
 reordered with that pair in front, and fingerprints that share it form the root of a trie.
-From each root, pairs of nodes are traversed together, level by level: differing bits are
-added up, and a pair whose sum exceeds the budget is dropped with all that is below it.
+The bits below a root with many fingerprints are cut into six blocks again, and so on; what
+is left of 64 bits after three cuts bounds every trie.  From each root, pairs of nodes are
+traversed together, level by level: differing bits are added up, and a pair whose sum
+exceeds the budget is dropped with all that is below it.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -17,40 +20,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, utf8_list, whole_text, without
+from .common import row_id, scratch, slices, stored, utf8_list, whole_text, without
 
 # Fixed values of the contract.
 WORDS, SEED, BUDGET = 4, 42, 4
 
-WIDTHS = (11, 11, 11, 11, 10, 10)
-PAIRS = tuple(combinations(range(len(WIDTHS)), 2))
-#: A root with more fingerprints than this is dealt out as pairs of its subtrees.
+BLOCKS = 6
+PAIRS = tuple(combinations(range(BLOCKS), 2))
+#: A root with more fingerprints than this is cut again.
 ROOT_ROWS = 20_000
+CUTS = 3
 #: Node pairs that are held at a time.
 FRONTIER = 1 << 20
+#: Bytes of a text that are hashed at a time.
+PART = 1 << 20
+_SPACE = re.compile(rb"[\t-\r ]")
 
 
-def shingle_hashes(text: bytes, words: int) -> np.ndarray:
-    """The hash of every shingle of so many words; a shorter text is one shingle."""
+def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
+    """The hash of every shingle of so many words, part by part; a text of fewer words is
+    one shingle, one of none has no hash."""
     import xxhash
 
-    found = text.lower().split()  # bytes: A-Z and the six ASCII white spaces only
-    if not found:
-        return np.zeros(0, np.uint64)
-    line = b" ".join(found)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
-    k = min(words, len(found))
-    begin = np.concatenate(([0], ends[: len(found) - k])).tolist()
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(line[a : b - 1], SEED) for a, b in zip(begin, ends[k - 1 :].tolist())], np.uint64)
+    text = text.lower()  # bytes: A-Z only, as white space below is the six ASCII signs
+    at, held, first = 0, [], True
+    while at < len(text):
+        end = _SPACE.search(text, at + PART)
+        end = end.start() if end else len(text)
+        held += text[at:end].split()
+        at = end
+        last = at >= len(text)
+        if len(held) < words and not (last and first and held):
+            continue
+        line = b" ".join(held)
+        ends = np.cumsum(np.fromiter(map(len, held), np.int64, len(held)) + 1)
+        k = min(words, len(held))
+        begin = np.concatenate(([0], ends[: len(held) - k])).tolist()
+        yield np.array([digest(line[a : b - 1], SEED) for a, b in zip(begin, ends[k - 1 :].tolist())], np.uint64)
+        held, first = held[len(held) - words + 1 :], False
 
 
-def folded(hashes: np.ndarray) -> int:
+def folded(parts: list[np.ndarray]) -> int:
     """Bit k is set if it is in more than half of the hashes; signed 64 bits."""
-    if not len(hashes):
-        return 0
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64)
-    return int(np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(hashes)).view(">i8")[0])
+    sums, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
+        n += len(hashes)
+        for at in range(0, len(hashes), 1 << 14):
+            sums += np.unpackbits(hashes[at : at + (1 << 14)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return int(np.packbits(sums * 2 > n).view(">i8")[0])
 
 
 def fingerprint(text: bytes) -> int:
@@ -59,26 +77,31 @@ def fingerprint(text: bytes) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, fp) for each row, null texts as empty; other columns are not read."""
-    small_batches(docs.sparkSession)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "_text"):
             values = [fingerprint(t) for t in utf8_list(b.column("_text"))]
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(values, pa.int64())], names=["_id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), whole_text(text_col).alias("_text"))
+    rows = docs.select(row_id(docs, id_col).alias("_id"), whole_text(text_col).alias("_text"))
     return stored(rows.mapInArrow(compute, "_id long, fp long"), "fingerprints")
 
 
-def reordered(fp: np.ndarray, pair: tuple[int, int]) -> np.ndarray:
-    """The bits with the blocks of ``pair`` in front."""
-    out = np.zeros_like(fp)
-    left = 64
-    tops = np.cumsum((0, *WIDTHS))
-    for block in (*pair, *(i for i in range(len(WIDTHS)) if i not in pair)):
-        width = WIDTHS[block]
+def widths(bits: int) -> list[int]:
+    """Six blocks of so many bits, the wider ones first."""
+    return [bits // BLOCKS + (i < bits % BLOCKS) for i in range(BLOCKS)]
+
+
+def reordered(bits: np.ndarray, used: int, pair: tuple[int, int]) -> np.ndarray:
+    """The first ``used`` bits as they are, then the blocks of ``pair`` among the others."""
+    sizes = widths(64 - used)
+    tops = used + np.cumsum((0, *sizes))
+    out = bits >> np.uint64(64 - used) << np.uint64(64 - used) if used else np.zeros_like(bits)
+    left = 64 - used
+    for block in (*pair, *(i for i in range(BLOCKS) if i not in pair)):
+        width = sizes[block]
         left -= width
-        out |= (fp >> np.uint64(64 - tops[block] - width) & np.uint64((1 << width) - 1)) << np.uint64(left)
+        out |= (bits >> np.uint64(64 - tops[block] - width) & np.uint64((1 << width) - 1)) << np.uint64(left)
     return out
 
 
@@ -170,75 +193,88 @@ class Stars:
         return a, b
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each fingerprint under 15 roots below the root that it is in."""
+    for batch in batches:
+        path, used, bits, fp = (batch.column(c).to_numpy() for c in ("path", "used", "bits", "fp"))
+        for before in np.unique(used).tolist():
+            mine = used == before
+            for p, pair in enumerate(PAIRS):
+                width = before + sum(widths(64 - before)[i] for i in pair)
+                new = reordered(bits[mine].view(np.uint64), before, pair)
+                root = (new >> np.uint64(64 - width)).view(np.int64)
+                columns = [path[mine] * 16 + p + 1, np.full(len(new), width, np.int32), root, new.view(np.int64), fp[mine]]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["path", "used", "root", "bits", "fp"])
+
+
+ROOTED = "path long, used int, root long, bits long, fp long"
+
+
+def rooted(distinct: DataFrame, root_rows: int) -> DataFrame:
+    """Fingerprints by root (path of block pairs and the bits that it fixes)."""
+    rows = distinct.select(F.lit(0).cast("long").alias("path"), F.lit(0).alias("used"), F.col("fp").alias("bits"), "fp").mapInArrow(_spread, ROOTED)
+    done = None
+    for level in range(CUTS):
+        heavy = None
+        if level + 1 < CUTS:
+            heavy = stored(rows.groupBy("path", "root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > root_rows).select("path", "root"), "heavy-roots")
+            heavy = None if heavy.isEmpty() else heavy
+        light = rows if heavy is None else rows.join(heavy, ["path", "root"], "left_anti").select("path", "used", "root", "bits", "fp")
+        done = light if done is None else done.unionByName(light)
+        if heavy is None:
+            break
+        rows = rows.join(heavy, ["path", "root"], "left_semi").select("path", "used", "bits", "fp").mapInArrow(_spread, ROOTED)
+    return done
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of sorted batches, cut only where one of ``keys`` changes."""
+    held: list[dict[str, np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = {n: b.column(n).to_numpy() for n in b.schema.names}
+        if held and any(held[-1][k][-1] != new[k][0] for k in keys):
+            yield {n: np.concatenate([h[n] for h in held]) for n in new}
+            held = []
+        change = np.zeros(b.num_rows, bool)
+        for k in keys:
+            change[1:] |= new[k][1:] != new[k][:-1]
+        last = int(np.flatnonzero(change)[-1]) if change.any() else 0
+        if last:
+            held.append({n: x[:last] for n, x in new.items()})
+            yield {n: np.concatenate([h[n] for h in held]) for n in new}
+            held = []
+        held.append({n: x[last:] for n, x in new.items()})
+    if held:
+        yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}
+
+
 def links(distinct: DataFrame, root_rows: int = ROOT_ROWS) -> DataFrame:
     """(a, b) over a table of distinct ``fp``: connects exactly those fingerprints that a
     chain of steps of at most four bits connects.  Within a task, a group of fingerprints is
     linked to its smallest instead of all to all."""
-    small_batches(distinct.sparkSession, 10_000)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
-            for p, pair in enumerate(PAIRS):
-                bits = reordered(fp.view(np.uint64), pair)
-                width = sum(WIDTHS[i] for i in pair)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(fp), p, np.int32)), pa.array((bits >> np.uint64(64 - width)).astype(np.int64)), pa.array(bits.view(np.int64)), pa.array(fp)],
-                    names=["pair", "root", "bits", "fp"],
-                )
-
-    keyed = distinct.select("fp").mapInArrow(spread, "pair int, root long, bits long, fp long")
-    sizes = keyed.groupBy("pair", "root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > root_rows)
-    heavy = stored(sizes, "heavy-roots")
-    tasks = keyed.withColumns({"s": F.lit(0), "t": F.lit(0), "mine": F.lit(0), "extra": F.lit(0)})
-    if not heavy.isEmpty():
-        # A heavy root's subtrees: so many further bits that about root_rows are in each, and
-        # a task for each pair of subtrees that the budget allows.
-        extra = F.least(F.lit(10), F.ceil(F.log2(F.col("n") / root_rows)).cast("int") + 1)
-        joined = keyed.join(heavy, ["pair", "root"], "left")
-        light = joined.where("n is null").select("pair", "root", "bits", "fp", *(F.lit(0).alias(c) for c in ("s", "t", "mine", "extra")))
-        masks = F.array([F.array([F.lit(m) for m in range(1 << k) if m.bit_count() <= BUDGET]) for k in range(11)])
-        width = F.element_at(F.array([F.lit(WIDTHS[i] + WIDTHS[j]) for i, j in PAIRS]), F.col("pair") + 1)
-        dealt = joined.where("n is not null").withColumn("extra", extra).withColumn("width", width)
-        dealt = dealt.withColumn("mine", F.expr("cast(shiftrightunsigned(bits, 64 - width - extra) & (shiftleft(1L, extra) - 1) as int)"))
-        dealt = dealt.withColumn("mask", F.explode(F.element_at(masks, F.col("extra") + 1)))
-        other = F.col("mine").bitwiseXOR(F.col("mask"))
-        dealt = dealt.select("pair", "root", "bits", "fp", F.least("mine", other).alias("s"), F.greatest("mine", other).alias("t"), "mine", "extra")
-        tasks = light.unionByName(dealt)
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
         stars = Stars()
-        if sum(b.num_rows for b in held):
-            table = pa.Table.from_batches(held)
-            c = {n: table.column(n).to_numpy() for n in ("pair", "root", "bits", "fp", "s", "t", "mine", "extra")}
+        for c in whole_groups(batches, ("path", "root")):  # each root is whole and sorted
             bits = c["bits"].view(np.uint64)
-            order = np.lexsort((bits, c["mine"], c["t"], c["s"], c["root"], c["pair"]))
-            c = {n: x[order] for n, x in c.items()}
-            bits = bits[order]
-            change = np.zeros(len(bits), bool)  # where another node begins
-            task = np.zeros(len(bits), bool)
-            for n in ("pair", "root", "s", "t"):
-                task[1:] |= c[n][1:] != c[n][:-1]
-            change[1:] = task[1:] | (c["mine"][1:] != c["mine"][:-1])
+            change = np.zeros(len(bits), bool)
+            for n in ("path", "root"):
+                change[1:] |= c[n][1:] != c[n][:-1]
             begin = np.concatenate(([0], np.flatnonzero(change)))
-            end = np.append(begin[1:], len(bits))
-            node = np.stack([begin, end], 1)
-            width = np.array([WIDTHS[i] + WIDTHS[j] for i, j in PAIRS])
-            depth = width[c["pair"][begin]] + c["extra"][begin]
-            alone = (c["s"][begin] == c["t"][begin]) & (end - begin > 1)
-            cross = np.flatnonzero(~task[begin[1:]] & change[begin[1:]]) if len(begin) > 1 else np.zeros(0, np.int64)
-            first = np.concatenate([node[alone], node[cross]])
-            second = np.concatenate([node[alone], node[cross + 1]])
-            errors = np.concatenate([np.zeros(alone.sum(), np.int64), np.bitwise_count(c["s"][begin[cross]] ^ c["t"][begin[cross]]).astype(np.int64)])
-            depths = np.concatenate([depth[alone], depth[cross]])
-            for x, y in joined_nodes(bits, first, second, depths, errors):
+            node = np.stack([begin, np.append(begin[1:], len(bits))], 1)
+            node = node[node[:, 1] - node[:, 0] > 1]
+            # Unsigned order below a root is that of the signed bits: all share the first.
+            depth = c["used"][node[:, 0]].astype(np.int64)
+            for x, y in joined_nodes(bits, node, node, depth, np.zeros(len(node), np.int64)):
                 stars.add(c["fp"][x], c["fp"][y])
         a, b = stars.reduce()
         for at in range(0, len(a), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 10_000]), pa.array(b[at : at + 10_000])], names=["a", "b"])
 
-    return tasks.repartition("pair", "root", "s", "t").mapInArrow(traverse, "a long, b long").distinct()
+    dealt = rooted(distinct, root_rows).repartition("path", "root").sortWithinPartitions("path", "root", "bits")
+    return dealt.mapInArrow(traverse, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -260,16 +296,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(id, fingerprint, component_id) for each row of ``docs``.
 
     Null and wordless texts have fingerprint zero and link like any other.  component_id is
-    the smallest non-null id that can be reached; repeated rows keep a row each.  Other
-    columns are not read.
+    the smallest non-null id that can be reached; repeated rows keep a row each.  Ids that
+    are no numbers are null.  Other columns are not read.
     """
     prints = fingerprints(docs, id_col, text_col)
-    nodes = stored(prints.groupBy("fp").agg(F.min("_id").alias("least_id")), "nodes")
-    labels = components(stored(links(nodes), "links"))
-    known = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
-    known = stored(known.select("fp", "least_id", F.coalesce("label", "fp").alias("label")), "labelled")
-    smallest = stored(known.groupBy("label").agg(F.min("least_id").alias("component_id")), "smallest")
-    table = stored(known.join(smallest, "label").select("fp", "component_id"), "components")
+    with scratch(docs.sparkSession) as outliving:
+        nodes = stored(prints.groupBy("fp").agg(F.min("_id").alias("least_id")), "nodes")
+        labels = components(stored(links(nodes), "links"))
+        known = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
+        known = stored(known.select("fp", "least_id", F.coalesce("label", "fp").alias("label")), "labelled")
+        smallest = stored(known.groupBy("label").agg(F.min("least_id").alias("component_id")), "smallest")
+        table = outliving(known.join(smallest, "label").select("fp", "component_id"), "components")
     return prints.join(table, "fp").select(
         F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
@@ -277,7 +314,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of texts that pairs with a
-    similarity of 0.8 or more in five-word shingles connect, the one with the smallest id.
+    similarity of 0.8 or more in five-word shingles connect, the one with the smallest id,
+    and one row of it.
 
     The contract's four bits bind ``near_groups``.  Near copies lie further apart, so beside
     the tries' groups all sets with a prefix shingle in common are compared, and every link
@@ -285,18 +323,20 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     from . import shingle_join
 
-    sets = shingle_join.shingle_sets(docs, id_col, text_col)
-    prints = stored(sets.groupBy("fp").agg(F.min("node").alias("node")), "nodes")
-    tries = stored(components(stored(links(prints), "links")), "tries")
-    grouped = sets.select("fp", "node").distinct().join(tries.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    starred = grouped.join(prints.select(F.col("fp").alias("label"), F.col("node").alias("centre")), "label").where("node <> centre")
-    starred = starred.select(F.xxhash64("centre", "node").alias("list"), F.array("centre", "node").alias("members"))
-    lists = stored(shingle_join.shared_prefixes(sets).unionByName(starred), "lists")
-    labels = components(stored(shingle_join.links(sets, lists), "links"))
-
-    rows = sets.select("_id", "digest", "node").join(labels, "node", "left").select("_id", "digest", F.coalesce("label", "node").alias("label"))
-    rows = stored(rows.distinct(), "labelled")
-    place = F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), F.col("digest").alias("digest"))
-    keep = stored(rows.groupBy("label").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1"), "keep")
-    gone = rows.join(keep, "label").where(~place.eqNullSafe(F.col("keep"))).select("_id", "digest")
-    return without(docs, gone, id_col, text_col)
+    with scratch(docs.sparkSession) as outliving:
+        nodes = shingle_join.shingle_nodes(docs, id_col, text_col)
+        prints = stored(nodes.groupBy("fp").agg(F.min("node").alias("node")), "nodes")
+        tries = stored(components(stored(links(prints), "links")), "tries")
+        grouped = nodes.select("fp", "node").distinct().join(tries.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        starred = grouped.join(prints.select(F.col("fp").alias("label"), F.col("node").alias("centre")), "label").where("node <> centre")
+        starred = starred.select(F.xxhash64("centre", "node").alias("list"), F.array("centre", "node").alias("members"))
+        lists = stored(shingle_join.shared_prefixes(docs, text_col).unionByName(starred), "lists")
+        labels = components(stored(shingle_join.links(docs, nodes, lists, text_col), "links"))
+
+        rows = nodes.join(labels, "node", "left").select("_id", "digest", F.coalesce("label", "node").alias("label"))
+        rows = stored(rows.groupBy("_id", "digest", "label").agg(F.count(F.lit(1)).alias("copies")), "labelled")
+        place = F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), F.col("digest").alias("digest"))
+        keep = stored(rows.groupBy("label").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1"), "keep")
+        gone = outliving(rows.join(keep, "label").where(~place.eqNullSafe(F.col("keep"))).select("_id", "digest"), "dropped")
+        twice = outliving(rows.where("copies > 1").select("_id", "digest"), "repeated")
+    return without(docs, gone, twice, id_col, text_col)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, small_batches, whole_text
+from .common import fresh_path, row_id, slices, whole_text
 from .vocab import tokenizer
 
 # Fixed values of the format: ids per word by selector 1..14; selector 0 is the escape.
@@ -136,15 +136,14 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2,
     """Writes the ids of every whole text, each with ``end_id`` after it, in ascending id
     order: parts are ranges of ids, segments follow each other in a part.
 
-    Null ids come first, equal ids in order of their text's digest; null texts are empty.
+    Null ids, and those that are no numbers, come first, equal ids in order of their text's
+    digest; null texts are empty.
     Other columns are not read.
     """
-    small_batches(docs.sparkSession)
-
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         before = 0
-        for b in batches:
+        for b in slices(batches, "_text"):
             ids = tokenizer(tokenizer_path, 1_000_000).encode(b.column("_text").to_pylist())
             lengths = np.fromiter(map(len, ids), np.int64, len(ids)) + 1
             flat = np.full(int(lengths.sum()), end_id, np.uint64)
@@ -158,7 +157,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2,
             )
             before += len(flat)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), whole_text(text_col).alias("_text"))
+    rows = docs.select(row_id(docs, id_col).alias("_id"), whole_text(text_col).alias("_text"))
     rows = rows.repartitionByRange("_id").sortWithinPartitions("_id", F.xxhash64("_text"), F.sha2("_text", 256))
     rows.select("_id", "_text").mapInArrow(build, SEGMENTS).write.option("compression", "zstd").parquet(path)
 
@@ -166,7 +165,6 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2,
 def read_ids(spark, path: str, id_col: str = "doc_id") -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of each document of files that ``write_ids`` wrote;
     start counts the ids of all documents before it."""
-    small_batches(spark, 4)
     segments = spark.read.schema(SEGMENTS).parquet(path)
     # One row for each part, which is a task of the writer: few, whatever the input's size.
     parts = sorted(tuple(r) for r in segments.groupBy("part").agg(F.sum("n_ids")).collect())
@@ -178,7 +176,7 @@ def read_ids(spark, path: str, id_col: str = "doc_id") -> DataFrame:
     placed = segments.join(bases, "part").withColumn("start", F.col("base") + F.col("before"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "ids", 1):  # a segment at a time
             for start, doc_ids, lengths, ids in zip(*(b.column(c).to_pylist() for c in ("start", "doc_ids", "lengths", "ids"))):
                 raw = memoryview(decode(ids).astype("<u4")).cast("B")
                 ends = np.cumsum(np.array(lengths, np.int64))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged, small_batches, whole_text
+from .common import ragged, row_id, slices, whole_text
 
 SPACE = "▁"
 #: Pairs of neighbours that are remembered, one for each slot.
@@ -59,10 +59,19 @@ class Pieces:
 
 @lru_cache(maxsize=2)
 def load(path: str) -> Pieces:
-    """Reads a BPE model with byte fallback and no normalisation but the space's."""
+    """Reads a BPE model with byte fallback and no normalisation but the space's; any other
+    model is an error."""
     import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    stated = sentencepiece_model_pb2.ModelProto.FromString(sp.serialized_model_proto())
+    rules, trained = stated.normalizer_spec, stated.trainer_spec
+    plain = not rules.precompiled_charsmap and rules.add_dummy_prefix and not rules.remove_extra_whitespaces and rules.escape_whitespaces
+    if trained.model_type != trained.BPE or not trained.byte_fallback or not plain or trained.treat_whitespace_as_suffix:
+        raise ValueError("only BPE models with byte fallback and an identity normaliser are encoded here")
+    if any(p.type == p.USER_DEFINED for p in stated.pieces):
+        raise ValueError("user-defined pieces are not encoded here")
     ids, scores, bytes_of, byte_ids = {}, {}, [], [0] * 256
     for i in range(sp.get_piece_size()):
         p = sp.id_to_piece(i)
@@ -260,10 +269,9 @@ def encoder(path: str) -> Encoder:
 def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): each whole text's piece ids.  Null texts count as empty and have none;
     repeated rows and null ids keep a row each; other columns are not read."""
-    small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "_text"):
             ids = [np.frombuffer(x, "<u4") for x in encoder(model_path).encode(b.column("_text").to_pylist())]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32)
@@ -278,11 +286,10 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
 def encoded_and_decoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_pieces, ids_crc32, decoded_sha256, round_trip) for each row:
     round_trip says that decoding gives the text again, with spaces for the piece sign."""
-    small_batches(docs.sparkSession)
     names = ["_id", "n_bytes", "n_pieces", "ids_crc32", "decoded_sha256", "round_trip"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "_text"):
             texts = b.column("_text").to_pylist()
             ids = encoder(model_path).encode(texts)
             back = [decode(load(model_path), np.frombuffer(x, "<u4")) for x in ids]
@@ -298,5 +305,5 @@ def encoded_and_decoded(docs: DataFrame, model_path: str, id_col: str = "doc_id"
                 names=names,
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), whole_text(text_col).alias("_text")).withColumn("n_bytes", F.octet_length("_text").cast("long"))
+    rows = docs.select(row_id(docs, id_col).alias("_id"), whole_text(text_col).alias("_text")).withColumn("n_bytes", F.octet_length("_text").cast("long"))
     return rows.mapInArrow(work, "_id long, n_bytes long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean").withColumnRenamed("_id", id_col)

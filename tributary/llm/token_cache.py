@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, whole_text
+from .common import slices, whole_text
 from .vocab import tokenizer
 
 CACHE = T.StructType(
@@ -55,10 +55,10 @@ def count_tokens(
 
     Null texts count as empty (0 bytes, 0 tokens).  Repeated rows and null ids keep a row
     each.  Equal texts are encoded once; a text in the cache is not encoded.  Other columns
-    of ``docs`` are not read.  The cache takes one writer at a time.
+    of ``docs`` are not read.  The cache is only ever appended to: writers at the same time,
+    or one that is tried again, may store an entry twice, which does no harm.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     version = file_digest(tokenizer_path)
     keyed = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text")).withColumn(
         "content_digest", F.unhex(F.sha2("_text", 256))
@@ -70,7 +70,7 @@ def count_tokens(
         distinct = distinct.join(known, "content_digest", "left_anti")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "_text"):
             counts = tokenizer(tokenizer_path).count(b.column("_text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column("content_digest"), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())],
@@ -79,6 +79,7 @@ def count_tokens(
 
     distinct.select("content_digest", "_text").mapInArrow(encode, CACHE).write.mode("append").parquet(cache_path)
     counts = read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version)
+    counts = counts.groupBy("content_digest").agg(F.min("n_tokens").alias("n_tokens"))
     return (
         keyed.select("_id", "content_digest", F.octet_length("_text").cast("long").alias("n_bytes"))
         .join(counts, "content_digest")

@@ -3,12 +3,14 @@
 A BPE pretoken's ids don't depend on its neighbours, so each distinct pretoken needs the
 library once.  Texts of Latin letters, whose pretokens a plain pattern finds, go through the
 memo; every other text (other scripts, control characters, special strings) goes to the
-library whole.  Both ways give the library's ids.  The memo is bounded: when it is full the
-newest generation is kept for one more round and the rest dropped.
+library whole, and so does every text where the tokenizer's file states other rules than
+those that the patterns follow.  Both ways give the library's ids.  The memo is bounded:
+when it is full it starts anew.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -29,6 +31,30 @@ BYTE_LEVEL = re.compile(rf"{CONTRACTIONS}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{L
 WORD_LEVEL = re.compile(rf"{CONTRACTIONS}|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 JOINED = 4096
 
+# What a file must state for the patterns to hold.
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+_BYTE_RULES = {"normalizer": None, "pre_tokenizer": _BYTES, "end_of_word_suffix": None}
+_WORD_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            _BYTES | {"use_regex": False},
+        ],
+    },
+    "end_of_word_suffix": "</w>",
+}
+
+
+def _rules(stated: dict) -> str | None:
+    """Which pattern fits a tokenizer's file: bytes, words or none."""
+    model = stated["model"]
+    if model.get("type") != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or any(t["normalized"] for t in stated["added_tokens"]):
+        return None
+    mine = {"normalizer": stated["normalizer"], "pre_tokenizer": stated["pre_tokenizer"], "end_of_word_suffix": model.get("end_of_word_suffix") or None}
+    return "bytes" if mine == _BYTE_RULES else "words" if mine == _WORD_RULES else None
+
 
 class _Numbers(dict):
     """Pretoken to number; an unseen pretoken gets the next number and is noted."""
@@ -48,10 +74,14 @@ class MemoTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
         self.capacity = capacity
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         vocabulary = self.library.get_vocab(with_added_tokens=False)
-        self.word_level = any(t.endswith("</w>") for t in vocabulary)
+        with open(path, encoding="utf-8") as f:
+            self.rules = _rules(json.load(f))
+        self.word_level = self.rules == "words"
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.last[i] = token.endswith("</w>")
@@ -67,7 +97,7 @@ class MemoTokenizer:
 
     def pretokens(self, text: str) -> list[str] | None:
         """None where only the library itself can tell."""
-        if UNSAFE.search(text) or any(s in text for s in self.specials):
+        if self.rules is None or UNSAFE.search(text) or any(s in text for s in self.specials):
             return None
         return WORD_LEVEL.findall(text.lower()) if self.word_level else BYTE_LEVEL.findall(text)
 
