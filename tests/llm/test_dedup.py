@@ -149,7 +149,8 @@ def test_near_stage_takes_five_words(spark):
     nodes = shingle_join.shingle_nodes(docs, "doc_id", "text")
     node = {d._id: d.node for d in nodes.select("_id", "node").collect()}
     for block in (2, 1024):
-        links = shingle_join.links(docs, nodes, shingle_join.shared_prefixes(docs, "text"), "text", block)
+        groups = shingle_join.candidates(nodes, shingle_join.shared_prefixes(docs, "text"), block)
+        links = shingle_join.links(docs, nodes, groups, "text", block)
         label = {d.node: d.label for d in simhash.components(links).collect()}
         assert len({label.get(n, n) for n in node.values()}) == len(set(least))
 
@@ -191,6 +192,28 @@ def test_parts_of_long_texts(monkeypatch):
         assert [(simhash.fingerprint(t), shingle_join.shingle_set(list(simhash.shingle_hashes(t, 5))).tolist()) for t in texts] == whole
 
 
+def test_sketches_lose_no_near_pair():
+    r = np.random.default_rng(7)
+    sets = [np.unique(r.integers(-(2**63), 2**63 - 1, int(n))) for n in (0, 1, 3, 20, 21, 90, 400, 3000, 70_000)]
+    for base in list(sets):
+        for share in (0.02, 0.1, 0.13, 0.3):
+            gone = r.random(len(base)) < share
+            sets.append(np.unique(np.concatenate([base[~gone], r.integers(-(2**63), 2**63 - 1, int(gone.sum() * r.random()))])))
+    sizes = np.array(list(map(len, sets)))
+    every = np.arange(len(sets))
+    sketches = [np.frombuffer(shingle_join.sketch_of(s), np.uint8) for s in sets]
+    x, y = shingle_join.sketch_pairs(sizes, sketches, every, every)
+    maybe = set(zip(x.tolist(), y.tolist()))
+    near = 0
+    for i in every.tolist():
+        for j in every.tolist():
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if i != j and 5 * common >= 4 * (sizes[i] + sizes[j] - common):
+                near += 1
+                assert (i, j) in maybe
+    assert near > 40 and len(maybe) < 3 * near
+
+
 def test_scratch_tables_go(spark, docs):
     from tributary.llm import common
 

@@ -318,8 +318,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and one row of it.
 
     The contract's four bits bind ``near_groups``.  Near copies lie further apart, so beside
-    the tries' groups all sets with a prefix shingle in common are compared, and every link
-    is checked on the whole sets.  Null ids never win against others.
+    the tries' groups all sets with a prefix shingle in common are compared, by sketches and
+    then, for every link, on the whole sets.  Null ids never win against others.
     """
     from . import shingle_join
 
@@ -331,7 +331,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         starred = grouped.join(prints.select(F.col("fp").alias("label"), F.col("node").alias("centre")), "label").where("node <> centre")
         starred = starred.select(F.xxhash64("centre", "node").alias("list"), F.array("centre", "node").alias("members"))
         lists = stored(shingle_join.shared_prefixes(docs, text_col).unionByName(starred), "lists")
-        labels = components(stored(shingle_join.links(docs, nodes, lists, text_col), "links"))
+        groups = stored(shingle_join.candidates(nodes, lists), "candidates")
+        labels = components(stored(shingle_join.links(docs, nodes, groups, text_col), "links"))
 
         rows = nodes.join(labels, "node", "left").select("_id", "digest", F.coalesce("label", "node").alias("label"))
         rows = stored(rows.groupBy("_id", "digest", "label").agg(F.count(F.lit(1)).alias("copies")), "labelled")
