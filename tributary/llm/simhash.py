@@ -329,7 +329,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         tries = stored(components(stored(links(prints), "links")), "tries")
         grouped = nodes.select("fp", "node").distinct().join(tries.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
         starred = grouped.join(prints.select(F.col("fp").alias("label"), F.col("node").alias("centre")), "label").where("node <> centre")
-        starred = starred.select(F.xxhash64("centre", "node").alias("list"), F.array("centre", "node").alias("members"))
+        starred = starred.select(F.xxhash64("centre", "node").alias("list"), F.explode(F.array("centre", "node")).alias("node"))
         lists = stored(shingle_join.shared_prefixes(docs, text_col).unionByName(starred), "lists")
         groups = stored(shingle_join.candidates(nodes, lists), "candidates")
         labels = components(stored(shingle_join.links(docs, nodes, groups, text_col), "links"))
