@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tributary.functions import special
-from tributary.functions.distributions import FAMILIES, Fitted, fit_kappa, kappa_ratios, lmoment_ratios
-from tributary.operators import cluster, homogeneity, indexflood, lmoments, names, raster, roi, selection, space
+from tributary.functions import distributions as dist
+from tributary.functions.distributions import FAMILIES, fitted, kappa_ratios, lmoment_ratios, solve_kappa
+from tributary.operators import cluster, homogeneity, indexflood, lmoments, maxima, names, raster, roi, selection, space, validate
+from tributary.operators.homogeneity import Sites, heterogeneity
 from tributary.streaming import maxima as streaming
 
 
@@ -19,32 +21,57 @@ def test_tails():
 
 
 def test_kappa_round_trip():
-    for k, h in ((0.1, 0.0), (-0.1, -0.5), (0.3, 0.7), (-0.2, 0.3)):
-        got = fit_kappa(*kappa_ratios(k, h))
-        assert got and kappa_ratios(*got) == pytest.approx(kappa_ratios(k, h), abs=1e-5)
-    assert fit_kappa(0.2, 0.5) is None and fit_kappa(math.nan, 0.1) is None
+    for k, h in ((0.1, 0.0), (-0.1, -0.5), (0.3, 0.7), (-0.2, 0.3), (0.05, -0.9), (0.4, 2.0), (-0.4, 0.1), (0.0, 1.0)):
+        got = solve_kappa(*kappa_ratios(k, h))
+        assert got and got == pytest.approx((dist.off_zero(k), h), abs=2e-3)
+        assert kappa_ratios(*got) == pytest.approx(kappa_ratios(k, h), abs=1e-6)
+    assert solve_kappa(0.2, 0.5) is None and solve_kappa(math.nan, 0.1) is None and solve_kappa(0.1, -0.4) is None
+    assert dist.parent(0.2, 0.2, 0.5).family == "GLO"
 
 
-@pytest.mark.parametrize("family", FAMILIES)
-def test_families_keep_moments(family):
-    """Moments of each fitted quantile function, by integration."""
-    t, t3 = 0.3, 0.15
-    fit = Fitted(family, t, t3)
-    u = (np.arange(20_000) + 0.5) / 20_000
-    x = np.array([fit.quantile(float(p)) for p in u[::10]])
-    u = u[::10]
-    l1, l2, l3 = x.mean(), ((2 * u - 1) * x).mean(), ((6 * u**2 - 6 * u + 1) * x).mean()
-    assert (l1, l2 / l1, l3 / l2) == pytest.approx((1, t, t3), abs=8e-3)
-    assert math.isnan(Fitted("GPA", 0.3, -0.4).quantile(0.9))
+def test_kappa_integrals_by_sums():
+    f = (np.arange(400_000) + 0.5) / 400_000
+    for k, h in ((0.2, 0.5), (0.3, -0.4), (0.1, 0.0), (-0.2, 1.5)):
+        y = -np.log(f) if h == 0 else (1 - f**h) / h
+        want = [r * np.mean(f ** (r - 1) * y**k) for r in range(1, 5)]
+        assert dist.kappa_integrals(k, h) == pytest.approx(want, rel=2e-3)
+    assert dist.kappa_integrals(2.0, -0.6) is None
 
 
-def test_normal_limits():
-    assert Fitted("GNO", 0.2, 1e-9).kurtosis == pytest.approx(0.1226, abs=1e-3)
-    assert Fitted("PE3", 0.2, 0.0).kurtosis == pytest.approx(0.1226, abs=1e-3)
+@pytest.mark.parametrize("family", FAMILIES)
+@pytest.mark.parametrize("t3", [-0.1, 0.03, 0.15, 0.5])
+def test_families_keep_moments(family, t3):
+    """Moments of each fitted quantile function, by integration on the grid."""
+    fit = fitted(family, 0.3, t3)
+    if family == "GPA" and t3 < 0.0256:
+        assert fit is None
+        return
+    f = dist.grid_probabilities()[::10] if family == "PE3" else dist.grid_probabilities()
+    step = np.full(len(f), f[1] - f[0])
+    step[[0, -1]] /= 2
+    x = fit.quantile(f) * step
+    l1, l2, l3, l4 = x.sum(), ((2 * f - 1) * x).sum(), ((6 * f**2 - 6 * f + 1) * x).sum(), ((20 * f**3 - 30 * f**2 + 12 * f - 1) * x).sum()
+    near = 2e-2 if t3 == 0.5 else 4e-3  # the grid ends before the tails do
+    assert (l1, l2 / l1, l3 / l2, l4 / l2) == pytest.approx((1, 0.3, t3, fit.kurtosis), abs=near)
+
+
+def test_kurtosis_near_the_published_approximations():
+    for family in FAMILIES:
+        for t3 in (0.05, 0.2, 0.35):
+            assert fitted(family, 0.3, t3).kurtosis == pytest.approx(homogeneity.polynomial_kurtosis(family, t3), abs=1e-3)
+    assert fitted("GNO", 0.2, 1e-9).kurtosis == pytest.approx(0.1226, abs=1e-3)
+    assert fitted("PE3", 0.2, 0.0).kurtosis == pytest.approx(0.1226, abs=1e-4)
+    assert fitted("PE3", 0.2, 1e-5).kurtosis == pytest.approx(fitted("PE3", 0.2, 0.0).kurtosis, abs=1e-3)
+
+
+def test_gev_approximation():
+    fit = fitted("GEV", 0.3, 0.2)
+    location, scale, k = dist.gev_by_approximation(1.0, 0.3, 0.2)
+    assert (location, scale, k) == pytest.approx((fit.location, fit.scale, fit.shape), abs=2e-3)
 
 
 def region(rng, n_sites, n, double=0):
-    fit = Fitted("GEV", 0.25, 0.17)
+    fit = fitted("GEV", 0.25, 0.17)
     out = []
     for i in range(n_sites):
         x = np.array([fit.quantile(float(u)) for u in rng.random(n)])
@@ -57,31 +84,163 @@ def region(rng, n_sites, n, double=0):
 def test_heterogeneity_and_discordancy():
     rng = np.random.default_rng(4)
     ratios, n = region(rng, 15, 40)
-    assert homogeneity.heterogeneity(ratios, n)[0] < 1.5
-    assert homogeneity.heterogeneity(ratios, n) == homogeneity.heterogeneity(ratios, n)
+    assert heterogeneity(Sites(ratios, n)).h1 < 1.5
+    assert heterogeneity(Sites(ratios, n)) == heterogeneity(Sites(ratios, n))
     mixed, n = region(rng, 15, 40, double=7)
-    assert homogeneity.heterogeneity(mixed, n)[0] > 2
-    di = homogeneity.discordancies(ratios)
+    assert heterogeneity(Sites(mixed, n)).h1 > 2
+    assert np.isnan(heterogeneity(Sites(ratios[:1], n[:1])).h1)
+    di = Sites(ratios, n).discordancy()
+    off = ratios - ratios.mean(0)
+    assert di == pytest.approx(15 / 3 * np.einsum("ij,jk,ik->i", off, np.linalg.inv(off.T @ off), off))
     assert di.sum() == pytest.approx(15) and di.argmax() != 3
     ratios[3, 1] = 0.9
-    assert homogeneity.discordancies(ratios).argmax() == 3
-    assert np.isnan(homogeneity.discordancies(ratios[:4])).all()
+    assert Sites(ratios, n).discordancy().argmax() == 3
+    assert np.isnan(Sites(ratios[:4], n[:4]).discordancy()).all()
+
+
+def test_dispersion_by_loops():
+    rng = np.random.default_rng(6)
+    sites = Sites(rng.random((4, 3)), np.array([10.0, 20.0, 30.0, 5.0]))
+    w = sites.years / sites.years.sum()
+    mean = sum(a * r for a, r in zip(w, sites.ratios))
+    v1 = math.sqrt(sum(a * (r[0] - mean[0]) ** 2 for a, r in zip(w, sites.ratios)))
+    v2 = sum(a * math.hypot(r[0] - mean[0], r[1] - mean[1]) for a, r in zip(w, sites.ratios))
+    v3 = sum(a * math.hypot(r[1] - mean[1], r[2] - mean[2]) for a, r in zip(w, sites.ratios))
+    assert sites.dispersion(sites.ratios) == pytest.approx([v1, v2, v3])
+    stacked = np.stack([sites.ratios, sites.ratios * 2])
+    assert sites.dispersion(stacked)[1] == pytest.approx([2 * v1, 2 * v2, 2 * v3])
+
+
+def test_choice_finds_the_family():
+    rng = np.random.default_rng(9)
+    source = fitted("GPA", 0.25, 0.2)
+    ratios = np.concatenate([lmoment_ratios(source.quantile(rng.random((1, 60)))) for _ in range(25)])
+    c = homogeneity.choose(Sites(ratios, np.full(25, 60.0)))
+    assert c.family == "GPA" and c.accepted and abs(c.z["GPA"]) < 1.64 < abs(c.z["GLO"])
+    assert c.curve[100] == pytest.approx(source.quantile(0.99), rel=0.1)
 
 
 def test_growth_rules():
     rng = np.random.default_rng(7)
     ratios, n = region(rng, 20, 40)
     z = rng.normal(size=(20, 3))
-    members, out = roi.grow(0, z, ratios, n)
-    assert members[0] == 0 and n[members].sum() >= 500 and len(members) == len(set(members)) and not set(members) & set(out)
-    masked, _ = roi.grow(0, z, ratios, n, roi.Rules(use_target_flow=False))
+    grown = roi.grow(0, z, ratios, n)
+    members = grown.members
+    assert members[0] == 0 and n[members].sum() >= 500 and len(members) == len(set(members)) and not set(members) & set(grown.excluded())
+    masked = roi.grow(0, z, ratios, n, roi.Rules(use_target_flow=False)).members
     changed = ratios.copy()
     changed[0] = 0.9
-    assert roi.grow(0, z, changed, n, roi.Rules(use_target_flow=False))[0] == masked
+    assert roi.grow(0, z, changed, n, roi.Rules(use_target_flow=False)).members == masked
     wild = ratios.copy()
     wild[:, 0] = np.where(np.arange(20) % 2, 0.1, 0.6)
-    assert roi.grow(0, z, wild, n)[1]
-    assert 5 <= roi.trim_pool(ratios, n, 500) <= 20
+    assert roi.grow(0, z, wild, n).excluded()
+    pool, h1 = roi.trimmed(Sites(ratios, n), 500)
+    assert 5 <= len(pool) <= 20 and h1 == heterogeneity(pool, 200).h1
+
+
+def test_growth_step_by_step():
+    """The record of steps tells the whole story: replayed, it gives the members; each step's
+    candidate was the nearest one untried, and its test says what was done."""
+    rng = np.random.default_rng(12)
+    ratios, n = region(rng, 40, 30, double=9)
+    z = rng.normal(size=(40, 4))
+    rules = roi.Rules(nsim_grow=60)
+    seen = set()
+    for target in range(12):
+        grown = roi.grow(target, z, ratios, n, rules)
+        members, tried = [target], {target}
+        for s in grown.steps:
+            gaps = ((z - z[members].mean(0)) ** 2).sum(1)
+            gaps[list(tried)] = np.inf
+            assert s.candidate == gaps.argmin()
+            tried.add(s.candidate)
+            trial = [*members, s.candidate]
+            if s.reason == "discordant":
+                assert len(trial) >= 7 and s.di > homogeneity.critical(len(trial))
+            if s.reason.startswith("heterogeneous"):
+                assert s.h1 >= 1 and s.h1 == heterogeneity(Sites(ratios[trial], n[trial]), 60).h1 and (len(trial) == 5) == (s.action == "swap")
+            if s.action == "swap":
+                mean = (ratios[trial, 0] * n[trial]).sum() / n[trial].sum()
+                others = [i for i in trial if i != target]
+                assert s.left_out == max(others, key=lambda i: abs(ratios[i, 0] - mean))
+            members = trial if s.action == "add" else [i for i in trial if i != s.left_out] if s.action == "swap" else members
+            assert (s.size, s.years) == (len(members), n[members].sum())
+            seen.add(s.reason)
+        assert members == grown.members
+    assert seen >= {"", "discordant", "heterogeneous", "heterogeneous seed"}
+
+
+def stations_of(spark, ratios, n, z):
+    rows = [(i, *map(float, a), int(k), *map(float, r)) for i, (a, k, r) in enumerate(zip(z, n, ratios))]
+    return spark.createDataFrame(rows, "station long, a double, b double, c double, n long, t double, t3 double, t4 double")
+
+
+def test_regions_to_curves(spark):
+    """The chain from stations to fits, against the same steps by hand."""
+    rng = np.random.default_rng(13)
+    ratios, n = region(rng, 14, 60)
+    z = rng.normal(size=(14, 3))
+    table = roi.station_matrix(stations_of(spark, ratios, n, z), list("abc"))
+    regions = roi.grown_regions(spark, table, list("abc")).cache()
+    by = {r.station: r for r in regions.collect()}
+    for i in (0, 5):
+        grown = roi.grow(i, z, ratios, n)
+        sites = Sites(ratios[grown.members], n[grown.members])
+        assert by[i].members == grown.members and by[i].h1 == heterogeneity(sites).h1 and by[i].discordancy == pytest.approx(sites.discordancy().tolist())
+        assert by[i].tier == (">= 500 station-years" if by[i].pooled_years >= 500 else "candidates exhausted")
+        assert by[i].excluded_discordant + by[i].excluded_heterogeneous == len(grown.excluded())
+    members = roi.region_members(regions)
+    assert members.where("station = 5").orderBy("order_added").select("member").toPandas()["member"].tolist() == by[5].members
+    moments = stations_of(spark, ratios, n, z).select(F.col("station").alias("member"), "n", "t", "t3", "t4")
+    joined = members.join(moments, "member").select(F.col("station").alias("region"), F.col("member").alias("station"), "n", "t", "t3", "t4")
+    fits = {r.region: r for r in homogeneity.region_fits(joined).collect()}
+    order = sorted(by[5].members)
+    want = homogeneity.choose(Sites(ratios[order], n[order].astype(float)))
+    assert fits[5].chosen_distribution == want.family and fits[5].q_t100 == pytest.approx(want.curve[100])
+    steps = roi.step_log(regions)
+    assert steps.groupBy("station").count().count() == 14
+    path = roi.growth_path(regions).where("station = 5").collect()
+    assert all(p.size >= 5 and p.h1 < 1 for p in path)
+    summary = {r.value: r for r in roi.result_summary(regions, "roi_size", "h1").collect()}
+    assert summary["roi_size"].least <= summary["roi_size"].median <= summary["roi_size"].most
+
+
+def test_neighbours_by_brute_force(spark):
+    rng = np.random.default_rng(2)
+    z = np.round(rng.normal(size=(60, 3)), 1)  # with ties
+    df = stations_of(spark, rng.random((60, 3)), np.full(60, 9), z)
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))
+    got = {}
+    for r in space.neighbours(df, "station", list("abc"), 7).collect():
+        got.setdefault(r.station, {})[r["rank"]] = r.neighbour
+    for i in range(60):
+        want = sorted((x for x in range(60) if x != i), key=lambda j: (d[i, j], j))[:7]
+        assert [got[i][k] for k in range(1, 8)] == want
+    assert space.within(df, "station", list("abc"), 1.0).count() == (d <= 1.0).sum()
+    assert space.distances(df, "station", list("abc")).count() == 3600
+    words = df.withColumn("station", F.concat(F.lit("s"), "station"))
+    assert space.neighbours(words, "station", list("abc"), 3).count() == 180
+
+
+def test_spearman_and_silhouette_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    x, y = np.round(rng.normal(size=200), 1), np.round(rng.normal(size=200), 1)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    mean_rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    got = space.spearman(df, "x", "y", 5).first()
+    assert got.rho == pytest.approx(np.corrcoef(mean_rank(x), mean_rank(y))[0, 1]) and got.n == 200
+    z = rng.normal(size=(30, 3))
+    label = np.append(rng.integers(0, 3, 29), 3)  # one alone
+    rows = spark.createDataFrame([(i, *map(float, a), int(c)) for i, (a, c) in enumerate(zip(z, label))], "station long, a double, b double, c double, cluster int")
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))
+    for r in cluster.silhouettes(rows, "station", list("abc")).collect():
+        i = r.station
+        mine = (label == label[i]) & (np.arange(30) != i)
+        if not mine.any():
+            assert r.silhouette == 0
+            continue
+        a, b = d[i, mine].mean(), min(d[i, label == c].mean() for c in set(label) - {label[i]})
+        assert r.silhouette == pytest.approx((b - a) / max(a, b))
 
 
 def test_short_and_flat_series(spark):
@@ -131,9 +290,170 @@ def test_regression(spark):
     assert np.corrcoef(np.log10([full[i] for i in range(40)]), y)[0, 1] > 0.98
 
 
-def test_ward():
+def slow_ward(z, k):
+    groups = [[i] for i in range(len(z))]
+    while len(groups) > k:
+        cost = lambda a, b: len(a) * len(b) / (len(a) + len(b)) * ((z[a].mean(0) - z[b].mean(0)) ** 2).sum()
+        i, j = min(((i, j) for i in range(len(groups)) for j in range(i)), key=lambda p: cost(groups[p[0]], groups[p[1]]))
+        groups[j] += groups.pop(i)
+    return sorted(map(sorted, groups))
+
+
+def test_ward(spark):
     z = np.array([[0, 0], [0, 1], [5, 5], [5, 6], [20, 0]], float)
-    assert cluster.ward_labels(z, 3).tolist() == [0, 0, 1, 1, 2]
+    assert cluster.ward_labels(z, np.ones(5), [3])[3].tolist() == [0, 0, 1, 1, 2]
+    rng = np.random.default_rng(8)
+    z = rng.normal(size=(25, 3))
+    for k, labels in cluster.ward_labels(z, np.ones(25), [2, 4, 25]).items():
+        assert sorted(sorted(np.flatnonzero(labels == c).tolist()) for c in range(k)) == slow_ward(z, k)
+    df = spark.createDataFrame([(i, *map(float, a)) for i, a in enumerate(z)], "station long, a double, b double, c double")
+    got = cluster.ward_kmeans(df, "station", list("abc"), [4]).toPandas().sort_values("station")
+    label = got["ward"].to_numpy()
+    assert sorted(sorted(np.flatnonzero(label == c).tolist()) for c in range(4)) == slow_ward(z, 4)
+    for _ in range(50):
+        centres = np.stack([z[label == c].mean(0) for c in range(4)])
+        new = ((z[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        if (new == label).all():
+            break
+        label = new
+    assert got["cluster"].tolist() == label.tolist()
+
+
+def test_ward_over_centres(spark, monkeypatch):
+    """More stations than centres: clear clusters are still found."""
+    monkeypatch.setattr(cluster, "CENTRES", 30)
+    rng = np.random.default_rng(8)
+    z = np.concatenate([rng.normal(size=(40, 2)) + 30 * k for k in range(3)])
+    df = spark.createDataFrame([(i, *map(float, a)) for i, a in enumerate(z)], "station long, a double, b double")
+    got = cluster.ward_kmeans(df, "station", ["a", "b"], [3]).toPandas().sort_values("station")["cluster"].to_numpy()
+    assert all(len(set(got[40 * k : 40 * k + 40])) == 1 for k in range(3)) and len(set(got)) == 3
+    sweep = {r.k: r for r in cluster.kmeans_sweep(df, "station", ["a", "b"], [2, 3, 4]).collect()}
+    assert sweep[3].silhouette > max(sweep[2].silhouette, sweep[4].silhouette) and sweep[2].inertia > sweep[3].inertia
+
+
+def test_transfers(spark):
+    """A site of another region's kind moves there; the log tells H of both before and after."""
+    rng = np.random.default_rng(5)
+    low, n = region(rng, 9, 80)
+    high, _ = region(rng, 9, 80)
+    high[:, 0] *= 2
+    rows = [(0, i, 80, *map(float, r)) for i, r in enumerate(low)] + [(1, 20 + i, 80, *map(float, r)) for i, r in enumerate(high[:8])] + [(0, 40, 80, *map(float, high[8]))]
+    members = spark.createDataFrame(rows, "region int, station long, n long, t double, t3 double, t4 double")
+    overlap = spark.createDataFrame([(40, m) for m in (40, 20, 21, 22, 1)] + [(1, m) for m in (1, 2, 3, 20)], "station long, member long")
+    proposals = cluster.proposed_transfers(members, overlap)
+    assert [tuple(r) for r in proposals.collect()] == [(40, 0, 1, 0.25)]
+    log = cluster.transfer_log(members, proposals, 200)
+    r = log.first()
+    before = Sites(np.array([x[3:] for x in rows if x[0] == 0]), np.full(10, 80.0))
+    assert r.h1_before_source == pytest.approx(heterogeneity(before, 200).h1) and r.h1_after_source < r.h1_before_source
+    final = cluster.final_regions(members, log)
+    assert final.where("station = 40").first().region == (1 if r.accepted else 0)
+    report = {x.region: x for x in cluster.region_report(final, 100).collect()}
+    assert report[0].sites + report[1].sites == 18 and report[0].advice in ("use", "split", "look at discordant sites")
+    logged = spark.createDataFrame([(5, 2, 3.0, 2.0, 1.5, 1.0), (6, 2, 3.0, 2.0, 1.0, 1.5), (7, 2, 3.0, 4.0, 1.0, 0.5)], "a int, b int, bf double, af double, bt double, at double")
+    assert [x[0] for x in logged.select(cluster.transfer_accepted(F.col("bf"), F.col("af"), F.col("bt"), F.col("at"))).collect()] == [True, False, False]
+
+
+def test_validity_and_best_k(spark):
+    rng = np.random.default_rng(8)
+    z = np.concatenate([rng.normal(size=(12, 3)) + 30 * k for k in range(3)])
+    ratios, n = region(rng, 36, 40)
+    df = stations_of(spark, ratios, n, z)
+    table = cluster.validity(df, "station", list("abc"), [2, 3, 4, 50], df.withColumn("region", F.lit(0)), 50)
+    rows = {r.k: r for r in table.collect()}
+    assert set(rows) == {2, 3, 4} and rows[3].silhouette > 0.9 and rows[3].davies_bouldin < 0.2 and rows[3].min_size == 12
+    assert cluster.best_k(table.select("k", "silhouette", F.col("min_size").alias("min_contrib"), (F.col("min_size") >= 5).alias("testable"))).first().k == 3
+    none = table.select("k", "silhouette", F.col("min_size").alias("min_contrib"), F.lit(False).alias("testable"))
+    assert cluster.best_k(none).first().min_contrib == max(r.min_size for r in rows.values())
+
+
+def slow_fold(x, y, i):
+    """Everything anew without row i: scores, components, selection by p, fit, smearing."""
+    keep = np.arange(len(y)) != i
+    m, s = x[keep].mean(0), x[keep].std(0)
+    values, vectors = np.linalg.eigh(np.corrcoef(x[keep].T))
+    p = (x - m) / s @ vectors[:, ::-1]
+    chosen = []
+    while len(chosen) < p.shape[1]:
+        ps = {}
+        for c in range(p.shape[1]):
+            if c not in chosen:
+                a = np.c_[np.ones(keep.sum()), p[keep][:, [*chosen, c]]]
+                b = np.linalg.lstsq(a, y[keep], rcond=None)[0]
+                dof = keep.sum() - a.shape[1]
+                se = math.sqrt(((y[keep] - a @ b) ** 2).sum() / dof * np.linalg.inv(a.T @ a)[-1, -1])
+                ps[c] = special.t_tail(b[-1] / se, dof)
+        c = min(ps, key=ps.get)
+        if ps[c] >= 0.05:
+            break
+        chosen.append(c)
+    a = np.c_[np.ones(len(y)), p[:, chosen]]
+    b = np.linalg.lstsq(a[keep], y[keep], rcond=None)[0]
+    return np.mean(10 ** (y[keep] - a[keep] @ b)) * 10 ** (a[i] @ b)
+
+
+def test_leave_one_out_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(30, 3)) * [1, 50, 0.1] + [0, 900, 5]
+    y = 1 + 0.3 * x[:, 0] - 0.004 * x[:, 1] + rng.normal(size=30) * 0.1
+    df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))], "station int, a double, b double, c double, y double")
+    folds = indexflood.leave_one_out(df, "station", list("abc"), "y").cache()
+    got = {r.station: r for r in folds.collect()}
+    for i in range(30):
+        assert got[i].estimate == pytest.approx(slow_fold(x, y, i)) and got[i].observed == pytest.approx(10 ** y[i])
+    s = indexflood.leave_one_out_summary(folds).first()
+    e = np.log10([got[i].estimate for i in range(30)])
+    assert s.r2_log10 == pytest.approx(1 - ((y - e) ** 2).sum() / ((y - y.mean()) ** 2).sum()) and 0 < s.agreement <= 1 and s.folds == 30
+
+
+def test_attribute_equation_and_selection(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 3)) * [1, 50, 0.1] + [0, 900, 5]
+    y = 1 + 0.3 * x[:, 0] - 0.004 * x[:, 1] + rng.normal(size=60) * 0.01
+    df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))], "station int, a double, b double, c double, y double")
+    model = space.components(df, list("abc"))
+    assert model.needed(1e-9) == 1 and model.needed(1.0 - 1e-12) == 3
+    pcs = space.scores(df, model, ["station", "y"])
+    fit = indexflood.ols(indexflood.gram(pcs, ["pc1", "pc2", "pc3"], "y"), ["pc1", "pc2", "pc3"])
+    eq = {name: unit for name, unit, _ in indexflood.attribute_equation(model, fit)}
+    assert (eq["a"], eq["b"]) == pytest.approx((0.3, -0.004), rel=0.05) and eq["intercept"] == pytest.approx(1, abs=0.5)
+    both = indexflood.gram(df.withColumn("d", F.col("a") * 2 + F.col("c") * 1e-3), ["a", "b", "c", "d"], "y")
+    chosen = indexflood.forward_adjusted(both)
+    assert len({"a", "d"} & set(chosen)) == 1 and "b" in chosen  # the twin would inflate
+    noise = indexflood.gram(df.withColumn("y", F.rand(3)), ["c"], "y")
+    assert indexflood.forward_adjusted(noise, gain=0.5, fallback="a") == ["a"]
+
+
+def test_ungauged_by_hand(spark):
+    rng = np.random.default_rng(13)
+    ratios, n = region(rng, 12, 60)
+    z = rng.normal(size=(12, 3))
+    table = roi.station_matrix(stations_of(spark, ratios, n, z), list("abc"))
+    index = spark.createDataFrame([(i, 100.0 + i, 90.0) for i in range(12)], "station long, observed double, estimate double")
+    rules = roi.Rules(nsim_grow=50)
+    got = {(r.station, r.period): r for r in validate.ungauged(spark, table, list("abc"), index, rules, 60).collect()}
+    own = set(roi.grow(3, z, ratios, n, rules).members) - {3}
+    pool = roi.grow(3, z, ratios, n, roi.Rules(nsim_grow=50, use_target_flow=False)).members[1:]
+    region_fit, site = homogeneity.choose(Sites(ratios[pool], n[pool]), 60), homogeneity.choose(Sites(ratios[[3]], n[[3]]), 60)
+    r = got[3, 50]
+    assert r.jaccard == pytest.approx(len(own & set(pool)) / len(own | set(pool))) and r.family == region_fit.family
+    assert r.design == pytest.approx(90 * region_fit.curve[50]) and r.computed == pytest.approx(103 * site.curve[50])
+    assert r.percent_error == pytest.approx(100 * (r.design - r.computed) / r.computed)
+    a = spark.createDataFrame([(1, [1, 2, 3], [None] * 3), (2, [2, 1], [None] * 2)], "station long, members array<long>, discordancy array<double>")
+    b = spark.createDataFrame([(1, [1, 2, 4], [None] * 3), (2, [2, 1], [None] * 2)], "station long, members array<long>, discordancy array<double>")
+    assert {r.station: r.jaccard for r in validate.overlap_with(a, b).collect()} == pytest.approx({1: 1 / 3, 2: 1.0})
+    curves = spark.createDataFrame([(1, 10, 2.0, 2.2, 1.0), (2, 10, 2.0, 1.8, 3.0)], "station long, period int, at_site double, roi double, cluster double")
+    c = validate.compared(curves).first()
+    assert (c.roi_bias, c.roi_rmse, c.cluster_rmse, c.winner) == (pytest.approx(0), pytest.approx(10), pytest.approx(50), "ROI")
+
+
+def test_singular_scatter(spark):
+    """Sites on a line: their scatter has no inverse."""
+    rows = [(1, k, 30, 0.1 * k, 0.2 * k, 0.3 * k) for k in range(6)]
+    members = spark.createDataFrame(rows, "region int, station long, n long, t double, t3 double, t4 double")
+    got = {r.station: r.di for r in lmoments.discordancy(members).collect()}
+    want = Sites(np.array([r[3:] for r in rows]), np.ones(6)).discordancy()
+    assert [got[k] for k in range(6)] == pytest.approx(want.tolist())
 
 
 def test_circular_flow(spark):
@@ -162,21 +482,6 @@ def test_stream(spark, tmp_path):
     assert [(r.station, r.ams) for r in spark.table("maxima").collect()] == [(1, 7.0)]
 
 
-def test_sources(spark, tmp_path):
-    from tributary.sources import tables
-
-    (tmp_path / "flow").mkdir()
-    (tmp_path / "flow" / "A one_streamflow.csv").write_text("station, year,n_obs,max_discharge_cumec,max_discharge_date\n,2001,300,5.5,x\n,2002,10,-1,y\n,2003,12,bad,z\n")
-    (tmp_path / "flow" / "B_streamflow.csv").write_text("station, year,n_obs,max_discharge_cumec,max_discharge_date\nBee,2001,300,0,x\n")
-    good, rejects = tables.streamflow(spark, str(tmp_path / "flow"))
-    assert [(r.station, r.year, r.value) for r in good.collect()] == [("A one", 2001, 5.5)]
-    assert rejects.count() == 1
-    (tmp_path / "morph").mkdir()
-    (tmp_path / "morph" / "m.csv").write_text("station;status;area\nA one; success ;1\nB;FAILED;2\nC;SUCCESS;3\n")
-    m = tables.morphometry(spark, str(tmp_path / "morph"))
-    assert sorted((r.station, r.excel_row, r.key) for r in m.collect()) == [("A one", 2, "aone"), ("C", 4, "c")]
-
-
 def test_tested_regions_edges(spark):
     """Four sites are too few; nine alike and one far off are cleaned; an empty table is empty."""
     rows = [(1, k, 30, 0.2 + 0.01 * k, 0.1, 0.15) for k in range(4)]
@@ -220,7 +525,6 @@ def test_random_spread_repeats(spark):
 def test_ungauged_query_runs_all_simulations(spark, sf_dir, monkeypatch):
     import inspect
 
-    from tributary.operators import validate
     from tributary.plans import numeric
 
     call = inspect.signature(validate.ungauged)
@@ -239,3 +543,20 @@ def test_ranges_of_cluster_numbers(spark, sf_dir, monkeypatch):
     regional.cluster_validity(spark, sf_dir)
     assert regional.chosen_k(spark, sf_dir).first().k == 8
     assert tried == [list(range(2, 16)), list(range(3, 9))]
+
+
+def test_small_selections(spark):
+    df = spark.createDataFrame([(1, "b", 2.0), (1, "a", 3.0), (2, None, None)], "g int, o string, x double")
+    assert selection.capped(df, "x", None).count() == 3 and selection.capped(df, "x", 2.5).count() == 1
+    assert [tuple(r) for r in selection.group_summary(df, "g", ["x"], [F.col("o")], ["x"]).orderBy("g").collect()] == [(1, 3.0, 2, 5.0), (2, None, 1, None)]
+    one, two = (selection.sampled(df.repartition(k), "x", 2).collect() for k in (1, 3))
+    assert one == two and len(one) == 2
+    text = spark.createDataFrame([("s", "1899-01-01T00:00:00", 9.0), ("s", "2001-05-01T10:00:00", -2.0), ("s", "2001-06-01T10:00:00", -1.0), ("s", "junk", 5.0), ("s", "2002-01-01T00:00:00", None)], "s string, w string, v double")
+    assert [tuple(r) for r in maxima.annual_maxima(text, "s", "w", "v").collect()] == [("s", 2001, -1.0)]
+    short = spark.createDataFrame([("a", 1, 2.0, 10), ("a", 1, 5.0, 2), ("a", 2, 4.0, 10)], "s string, b int, v double, n int")
+    assert {r.block: r.ams for r in maxima.block_maxima(short, "s", "b", "v", "n", 5).collect()} == {1: 2.0, 2: 4.0}
+    n = spark.createDataFrame([("Koli", "file seven")], "name string, stated string")
+    f = spark.createDataFrame([("koli",), ("File Seven",)], "file string")
+    assert [tuple(r) for r in names.fuzzy_match(n, f, "name", "file", "stated").collect()] == [("Koli", "File Seven", "stated file")]
+    parts = [spark.createDataFrame([(1, "SUCCESS")], "a int, status string"), spark.createDataFrame([(2, "no DEM")], "a int, reason string")]
+    assert selection.outer_statuses(parts).columns == ["a", "status", "reason"]

@@ -65,6 +65,34 @@ def incomplete_gamma(a: float, x: float) -> float:
     return 1 - front * f
 
 
+def incomplete_gammas(a: float, x: np.ndarray) -> np.ndarray:
+    """The same for an array of x, side by side."""
+    out = np.zeros(len(x))
+    front = np.exp(np.minimum(700.0, a * np.log(np.maximum(x, 1e-300)) - x - math.lgamma(a)))
+    low = x < a + 1
+    term = total = np.full(int(low.sum()), 1 / a)
+    k = a
+    while len(term) and (term > total * 1e-16).any():
+        k += 1
+        term = term * x[low] / k
+        total = total + term
+    out[low] = front[low] * total
+    b = x[~low] + 1 - a
+    c, d = np.full(len(b), 1e300), 1 / b
+    f = d.copy()
+    for i in range(1, 1000):
+        if not len(b):
+            break
+        b = b + 2
+        d = 1 / (-i * (i - a) * d + b)
+        c = b - i * (i - a) / c
+        f = f * c * d
+        if (np.abs(c * d - 1) < 1e-15).all():
+            break
+    out[~low] = 1 - front[~low] * f
+    return out
+
+
 def gamma_quantile(a: float, p: float) -> float:
     """Wilson and Hilferty's start, then bisection-guarded Newton steps."""
     z = _NORMAL.inv_cdf(p)
@@ -92,15 +120,28 @@ def f_tail(f: float, d1: float, d2: float) -> float:
     return incomplete_beta(d2 / 2, d1 / 2, d2 / (d2 + d1 * f)) if f > 0 else 1.0
 
 
-def root(f, low: float, high: float, steps: int = 200) -> float | None:
-    """A root between two ends of unlike sign, by bisection; None if the signs agree."""
+def bracketed(f, low: float, high: float, tolerance: float = 1e-13) -> float | None:
+    """A root between two ends of unlike sign; None if the signs agree or an end has no
+    value.  False position, where an end that stays loses half its weight, and a halving
+    wherever that is slow or has no value."""
     a, b = f(low), f(high)
     if not (math.isfinite(a) and math.isfinite(b)) or a * b > 0:
         return None
-    for _ in range(steps):
-        middle = (low + high) / 2
-        c = f(middle)
-        if c == 0 or high - low < 1e-14 * max(1, abs(middle)):
-            return middle
-        low, high, a = (middle, high, c) if a * c > 0 else (low, middle, a)
+    if a == 0 or b == 0:
+        return low if a == 0 else high
+    for step in range(200):
+        x = (low * b - high * a) / (b - a) if step % 4 < 3 and b != a else (low + high) / 2
+        if not min(low, high) < x < max(low, high):
+            x = (low + high) / 2
+        y = f(x)
+        if not math.isfinite(y):
+            x = (low + high) / 2
+            y = f(x)
+        if y == 0 or abs(high - low) <= tolerance * max(1.0, abs(x)) or abs(y) < 1e-14:
+            return x
+        if y * b < 0:
+            low, a = high, b
+        else:
+            a /= 2
+        high, b = x, y
     return (low + high) / 2

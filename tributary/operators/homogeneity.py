@@ -5,145 +5,227 @@ Every call seeds its own generator, so a retried or speculative task gives the s
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import cached_property
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.functions.distributions import FAMILIES, RETURN_PERIODS, Fitted, RegionalKappa, lmoment_ratios
-from tributary.operators.lmoments import CRITICAL
+from tributary.functions.distributions import FAMILIES, RETURN_PERIODS, Fit, fitted, lmoment_ratios, parent
+from tributary.operators.lmoments import CRITICAL, KURTOSIS
 
+# The seed, and the sizes and bounds of tests.
 SEED = 20260924
 NSIM = 500
 ACCEPT = 1.64
+#: Discordancy needs so many sites.
+LEAST_SITES = 5
+
+
+@dataclass
+class Sites:
+    """A region: (t, t3, t4) and record length of each site."""
+
+    ratios: np.ndarray
+    years: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.years)
+
+    def only(self, which) -> Sites:
+        return Sites(self.ratios[which], self.years[which])
+
+    @cached_property
+    def share(self) -> np.ndarray:
+        return self.years / self.years.sum()
+
+    @cached_property
+    def means(self) -> np.ndarray:
+        return self.share @ self.ratios
+
+    def dispersion(self, ratios: np.ndarray) -> np.ndarray:
+        """V1, V2, V3 of the sites' ratios, or of simulations of them in front."""
+        off = (ratios - np.einsum("s,...sk->...k", self.share, ratios)[..., None, :]) ** 2
+        first = np.sqrt(off[..., 0] @ self.share)
+        return np.stack([first, np.sqrt(off[..., :2].sum(-1)) @ self.share, np.sqrt(off[..., 1:].sum(-1)) @ self.share], -1)
+
+    def simulated(self, nsim: int, seed: int) -> tuple[np.ndarray, str] | None:
+        """Ratios of simulated regions (simulation, site, ratio) and the parent's name; each
+        site's draws follow those of the site before in one stream."""
+        source = parent(*self.means)
+        if source is None:
+            return None
+        rng = np.random.default_rng(seed)
+        return np.stack([lmoment_ratios(source.quantile(rng.random((nsim, int(n))))) for n in self.years], 1), source.family
+
+    def discordancy(self) -> np.ndarray:
+        """Each site's distance from the region's centre in units of its scatter; a singular
+        scatter is solved in the least-squares sense.  NaN for too few sites."""
+        if len(self) < LEAST_SITES:
+            return np.full(len(self), np.nan)
+        off = self.ratios - self.ratios.mean(0)
+        solved = np.linalg.lstsq(off.T @ off, off.T, rcond=None)[0]
+        return len(self) / 3 * (off.T * solved).sum(0)
+
+
+def critical(sites: int) -> float:
+    return CRITICAL[sites - LEAST_SITES] if LEAST_SITES <= sites < LEAST_SITES + len(CRITICAL) else 3.0 if sites > LEAST_SITES else np.nan
+
+
+@dataclass(frozen=True)
+class Heterogeneity:
+    h1: float = np.nan
+    h2: float = np.nan
+    h3: float = np.nan
+    source: str = "none"
+
+
+def heterogeneity(sites: Sites, nsim: int = NSIM, seed: int = SEED) -> Heterogeneity:
+    """How far the sites' dispersion lies over that of homogeneous regions."""
+    found = sites.simulated(nsim, seed) if len(sites) > 1 else None
+    if found is None:
+        return Heterogeneity()
+    by_chance = sites.dispersion(found[0])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        h = (sites.dispersion(sites.ratios) - by_chance.mean(0)) / by_chance.std(0, ddof=1)
+    return Heterogeneity(*map(float, h), found[1])
 
 
-def weighted(ratios: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return (ratios * n[:, None]).sum(0) / n.sum()
+@dataclass(frozen=True)
+class Choice:
+    """All families' Z, the chosen family and its growth curve."""
 
+    means: tuple[float, float, float]
+    z: dict[str, float]
+    family: str | None
+    accepted: bool
+    curve: dict[int, float]
 
-def spread(ratios: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """V1, V2, V3; ``ratios`` may have simulations in front."""
-    w = n / n.sum()
-    mean = (ratios * w[:, None]).sum(-2, keepdims=True)
-    d = ratios - mean
-    return np.stack(
-        [np.sqrt((w * d[..., 0] ** 2).sum(-1)), (w * np.hypot(d[..., 0], d[..., 1])).sum(-1), (w * np.hypot(d[..., 1], d[..., 2])).sum(-1)], -1
-    )
 
+def kurtosis_error(sites: Sites, nsim: int, seed: int) -> tuple[float, float]:
+    """Bias and deviation of the regional L-kurtosis, by simulation."""
+    found = sites.simulated(nsim, seed)
+    if found is None:
+        return np.nan, np.nan
+    t4 = found[0][..., 2] @ sites.share
+    return float(t4.mean() - sites.means[2]), float(t4.std(ddof=1))
 
-def simulated(ratios: np.ndarray, n: np.ndarray, nsim: int, seed: int) -> tuple[np.ndarray, str]:
-    """Ratios of simulated regions: simulation, site, ratio; site by site from one stream."""
-    kappa = RegionalKappa(*weighted(ratios, n))
-    rng = np.random.default_rng(seed)
-    return np.stack([lmoment_ratios(kappa.sample(rng.random((nsim, int(k))))) for k in n], 1), kappa.name
 
+def goodness(sites: Sites, kurtosis: Callable[[str], float], nsim: int, seed: int) -> dict[str, float]:
+    """Z of each family, whose L-kurtosis is given; NaN where it has none or nothing could
+    be simulated."""
+    bias, sigma = kurtosis_error(sites, nsim, seed)
+    return {f: float((kurtosis(f) - sites.means[2] + bias) / sigma) if sigma > 0 else np.nan for f in FAMILIES}
 
-def heterogeneity(ratios: np.ndarray, n: np.ndarray, nsim: int = NSIM, seed: int = SEED) -> tuple[float, float, float, str]:
-    """H1, H2, H3 and the simulating distribution."""
-    try:
-        sims, name = simulated(ratios, n, nsim, seed)
-    except ValueError:
-        return (float("nan"),) * 3 + ("none",)
-    v = spread(sims, n)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        h = (spread(ratios, n) - v.mean(0)) / v.std(0, ddof=1)
-    return float(h[0]), float(h[1]), float(h[2]), name
-
-
-def discordancies(ratios: np.ndarray) -> np.ndarray:
-    d = ratios - ratios.mean(0)
-    if len(ratios) < 5:
-        return np.full(len(ratios), np.nan)
-    return len(ratios) / 3 * np.einsum("ij,jk,ik->i", d, np.linalg.pinv(d.T @ d), d)
-
-
-def fit_region(ratios: np.ndarray, n: np.ndarray, nsim: int = NSIM, seed: int = SEED) -> dict:
-    """Each family's fit and Z; the chosen family and its growth curve."""
-    t, t3, t4 = weighted(ratios, n)
-    try:
-        sims, _ = simulated(ratios, n, nsim, seed)
-        kurtosis = (sims[..., 2] * (n / n.sum())).sum(1)
-        bias, sigma = kurtosis.mean() - t4, kurtosis.std(ddof=1)
-    except ValueError:
-        bias = sigma = np.nan
-    fits, z = {}, {}
-    for family in FAMILIES:
-        fits[family] = fit = Fitted(family, t, t3)
-        z[family] = (fit.kurtosis - t4 + bias) / sigma if fit.shape is not None and sigma > 0 else np.nan
-    usable = [f for f in FAMILIES if np.isfinite(z[f])]
-    accepted = [f for f in usable if abs(z[f]) <= ACCEPT]
-    chosen = min(accepted or usable, key=lambda f: abs(z[f]), default=None)
-    curve = {p: fits[chosen].quantile(1 - 1 / p) if chosen else np.nan for p in RETURN_PERIODS}
-    return {"means": (t, t3, t4), "z": z, "chosen": chosen, "accepted": bool(accepted), "curve": curve}
-
-
-def _arrays(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
-    pdf = pdf.dropna(subset=["t", "t3", "t4"]).sort_values("station")
-    return pdf, pdf[["t", "t3", "t4"]].to_numpy(float), pdf["n"].to_numpy(float)
 
+def choose(sites: Sites, nsim: int = NSIM, seed: int = SEED) -> Choice:
+    """The family with the smallest Z among those accepted, else among all."""
+    t, t3, _ = sites.means
+    fits: dict[str, Fit | None] = {f: fitted(f, t, t3) for f in FAMILIES}
+    z = goodness(sites, lambda f: fits[f].kurtosis if fits[f] else np.nan, nsim, seed)
+    known = [f for f in FAMILIES if np.isfinite(z[f])]
+    accepted = [f for f in known if abs(z[f]) <= ACCEPT]
+    best = min(accepted or known, key=lambda f: abs(z[f]), default=None)
+    curve = {p: fits[best].quantile(1 - 1 / p) if best else np.nan for p in RETURN_PERIODS}
+    return Choice(tuple(map(float, sites.means)), z, best, bool(accepted), curve)
+
+
+def polynomial_kurtosis(family: str, t3: float) -> float:
+    return sum(a * t3**k for k, a in enumerate(KURTOSIS[family]))
 
-def region_heterogeneity(members: DataFrame, region: str = "region", nsim: int = NSIM) -> DataFrame:
-    """(region, sites, pooled, h1, h2, h3, simulated_by) of each region with two sites or
-    more; one task per region, whose members are a few sites' moments, not their data."""
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, ratios, n = _arrays(pdf)
-        h = heterogeneity(ratios, n, nsim) if len(rows) > 1 else (np.nan, np.nan, np.nan, "none")
-        return pd.DataFrame([(pdf[region].iloc[0], len(rows), int(n.sum()), *h)], columns=[region, "sites", "pooled", "h1", "h2", "h3", "simulated_by"])
+def by_region(members: DataFrame, region: str, work: Callable[[pd.DataFrame, Sites], tuple | None], fields: str) -> DataFrame:
+    """One row (region, what ``work`` gives) for each region whose members have ratios; a
+    region is a group of its own, of a few sites' moments, not their data."""
+    names = [region, *(f.split()[0] for f in fields.split(", "))]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.dropna(subset=["t", "t3", "t4"]).sort_values("station")
+        sites = Sites(rows[["t", "t3", "t4"]].to_numpy(float), rows["n"].to_numpy(float))
+        found = work(rows, sites) if len(rows) else None
+        return pd.DataFrame([] if found is None else [(pdf[region].iloc[0], *found)], columns=names)
 
     kind = dict(members.dtypes)[region]
-    return members.select(region, "station", "n", "t", "t3", "t4").groupBy(region).applyInPandas(work, f"{region} {kind}, sites long, pooled long, h1 double, h2 double, h3 double, simulated_by string")
+    return members.select(region, "station", "n", "t", "t3", "t4").groupBy(region).applyInPandas(one, f"{region} {kind}, {fields}")
+
+
+def region_heterogeneity(members: DataFrame, region: str = "region", nsim: int = NSIM) -> DataFrame:
+    """(region, sites, pooled, h1, h2, h3, simulated_by); H is NaN for regions of one site."""
+
+    def work(rows: pd.DataFrame, sites: Sites) -> tuple:
+        h = heterogeneity(sites, nsim)
+        return len(sites), int(sites.years.sum()), h.h1, h.h2, h.h3, h.source
+
+    return by_region(members, region, work, "sites long, pooled long, h1 double, h2 double, h3 double, simulated_by string")
+
+
+FITTED = "t_r double, t3_r double, t4_r double, chosen_distribution string, chosen_accepted boolean, " + ", ".join([f"z_{f.lower()} double" for f in FAMILIES] + [f"q_t{p} double" for p in RETURN_PERIODS])
 
 
 def region_fits(members: DataFrame, region: str = "region", nsim: int = NSIM) -> DataFrame:
     """Means, chosen family, Z of all families and the growth curve of each region."""
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, ratios, n = _arrays(pdf)
-        if not len(rows):
-            return pd.DataFrame(columns=names)
-        r = fit_region(ratios, n, nsim)
-        return pd.DataFrame([(pdf[region].iloc[0], len(rows), *r["means"], r["chosen"], r["accepted"], *(r["z"][f] for f in FAMILIES), *r["curve"].values())], columns=names)
+    def work(rows: pd.DataFrame, sites: Sites) -> tuple:
+        c = choose(sites, nsim)
+        return len(sites), *c.means, c.family, c.accepted, *c.z.values(), *c.curve.values()
 
-    names = [region, "sites", "t_r", "t3_r", "t4_r", "chosen_distribution", "chosen_accepted", *(f"z_{f.lower()}" for f in FAMILIES), *(f"q_t{p}" for p in RETURN_PERIODS)]
-    kind = dict(members.dtypes)[region]
-    schema = f"{region} {kind}, sites long, t_r double, t3_r double, t4_r double, chosen_distribution string, chosen_accepted boolean, " + ", ".join(f"{c} double" for c in names[7:])
-    return members.select(region, "station", "n", "t", "t3", "t4").groupBy(region).applyInPandas(work, schema)
+    return by_region(members, region, work, "sites long, " + FITTED)
+
+
+def curve_rows(fits: DataFrame, region: str = "region") -> DataFrame:
+    """(region, family, period, q) of fitted regions, a row for each return period."""
+    each = F.array(*(F.struct(F.lit(p).alias("period"), F.col(f"q_t{p}").alias("q")) for p in RETURN_PERIODS))
+    return fits.select(region, F.col("chosen_distribution").alias("family"), F.inline(each)).where("family is not null")
+
+
+def polynomial_goodness(members: DataFrame, region: str = "region", nsim: int = NSIM) -> DataFrame:
+    """Z of all families by their polynomials of L-kurtosis, and the best of the accepted
+    ones, else of all."""
+
+    def work(rows: pd.DataFrame, sites: Sites) -> tuple:
+        z = goodness(sites, lambda f: polynomial_kurtosis(f, sites.means[1]), nsim, SEED)
+        known = [f for f in FAMILIES if np.isfinite(z[f])]
+        accepted = [f for f in known if abs(z[f]) <= ACCEPT]
+        return len(sites), min(accepted or known, key=lambda f: abs(z[f]), default=None), len(accepted), *z.values()
+
+    return by_region(members, region, work, "sites long, family string, accepted long, " + ", ".join(f"z_{f.lower()} double" for f in FAMILIES))
 
 
-def family_curve(regions: DataFrame, family: str, region: str = "region") -> DataFrame:
-    """(region, period, q) of one family for all regions that it can be fitted to."""
-    kind = dict(regions.dtypes)[region]
+def family_curve(regions: DataFrame, family: str, *keys: str) -> DataFrame:
+    """(keys..., period, q) of one family for all regions that it can be fitted to; each
+    region is fitted once."""
+    keys = keys or ("region",)
+    names = [*keys, "period", "q"]
 
     def work(batches):
         for pdf in batches:
-            rows = [(r, p, Fitted(family, t, t3).quantile(1 - 1 / p)) for r, t, t3 in zip(pdf[region], pdf["t_r"], pdf["t3_r"]) for p in RETURN_PERIODS]
-            yield pd.DataFrame(rows, columns=[region, "period", "q"])
+            fits = [fitted(family, t, t3) for t, t3 in zip(pdf["t_r"], pdf["t3_r"])]
+            q = [(*row, p, x) for row, f in zip(pdf[list(keys)].itertuples(index=False), fits) if f for p, x in zip(RETURN_PERIODS, f.quantile(1 - 1 / np.array(RETURN_PERIODS)))]
+            yield pd.DataFrame(q, columns=names)
 
-    return regions.select(region, "t_r", "t3_r").mapInPandas(work, f"{region} {kind}, period int, q double").where(~F.isnan("q"))
+    kinds = dict(regions.dtypes)
+    return regions.select(*keys, "t_r", "t3_r").mapInPandas(work, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", period int, q double")
 
 
 def tested_regions(members: DataFrame, region: str = "region", nsim: int = NSIM) -> DataFrame:
     """Fixed regions: discordant sites, H with and without them, and the distribution that fits
     the cleaned region.  A region is cleaned where five sites or more remain; one of fewer
     than five sites is not tested, as ``note`` says."""
-    names = [region, "sites", "pooled", "critical", "max_di", "discordant", "h1_all", "h1", "h2", "h3", "simulated_by", "chosen_distribution", "note"]
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, ratios, n = _arrays(pdf)
-        head = (pdf[region].iloc[0], len(rows), int(n.sum()))
-        if len(rows) < 5:
-            return pd.DataFrame([(*head, np.nan, np.nan, [], *(np.nan,) * 4, "none", None, "too few sites to test")], columns=names)
-        critical, di = CRITICAL[len(rows) - 5] if len(rows) < 15 else 3.0, discordancies(ratios)
-        fine = di <= critical
-        whole = heterogeneity(ratios, n, nsim)
-        clean = not fine.all() and fine.sum() >= 5
-        use = fine if clean else np.ones(len(rows), bool)
-        h = heterogeneity(ratios[use], n[use], nsim) if clean else whole
-        chosen = fit_region(ratios[use], n[use], nsim)["chosen"]
-        note = "discordant sites removed" if clean else "" if fine.all() else "too few sites left without the discordant ones"
-        return pd.DataFrame([(*head, critical, float(di.max()), rows["station"][~fine].astype(str).tolist(), whole[0], *h, chosen, note)], columns=names)
-
-    schema = f"{region} {dict(members.dtypes)[region]}, sites long, pooled long, critical double, max_di double, discordant array<string>, h1_all double, h1 double, h2 double, h3 double, simulated_by string, chosen_distribution string, note string"
-    return members.select(region, "station", "n", "t", "t3", "t4").groupBy(region).applyInPandas(work, schema)
+    fields = "sites long, pooled long, critical double, max_di double, discordant array<string>, h1_all double, h1 double, h2 double, h3 double, simulated_by string, chosen_distribution string, note string"
+
+    def work(rows: pd.DataFrame, sites: Sites) -> tuple:
+        head = len(sites), int(sites.years.sum())
+        if len(sites) < LEAST_SITES:
+            return *head, np.nan, np.nan, [], *(np.nan,) * 4, "none", None, "too few sites to test"
+        limit, di = critical(len(sites)), sites.discordancy()
+        fine = di <= limit
+        cleaned = sites.only(fine) if not fine.all() and fine.sum() >= LEAST_SITES else sites
+        every = heterogeneity(sites, nsim)
+        h = every if cleaned is sites else heterogeneity(cleaned, nsim)
+        note = "discordant sites removed" if cleaned is not sites else "" if fine.all() else "too few sites left without the discordant ones"
+        return *head, limit, float(di.max()), rows["station"][~fine].astype(str).tolist(), every.h1, h.h1, h.h2, h.h3, h.source, choose(cleaned, nsim).family, note
+
+    return by_region(members, region, work, fields)

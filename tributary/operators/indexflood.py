@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tributary.functions import blocks
+from tributary.functions.lineage import stored
 from tributary.functions.special import f_tail, t_tail
 
 
@@ -82,11 +84,11 @@ def vif(g: Gram, chosen: list[str]) -> dict[str, float]:
     return dict(zip(chosen, np.diag(np.linalg.pinv(cov / np.outer(sd, sd))).tolist()))
 
 
-def forward_adjusted(g: Gram, most_vif: float = 5.0, gain: float = 1e-4) -> list[str]:
+def forward_adjusted(g: Gram, most_vif: float = 5.0, gain: float = 1e-4, fallback: str | None = None) -> list[str]:
     """Adds the column that raises adjusted R2 most, by more than ``gain``, while every
-    chosen column's variance inflation stays in bounds."""
+    chosen column's variance inflation stays in bounds; ``fallback`` where none does."""
     chosen: list[str] = []
-    best = -math.inf
+    best = 0.0 if fallback else -math.inf  # without a column adjusted R2 is zero
     while True:
         options = []
         for c in (c for c in g.columns if c not in chosen):
@@ -94,7 +96,7 @@ def forward_adjusted(g: Gram, most_vif: float = 5.0, gain: float = 1e-4) -> list
             if max(vif(g, trial).values()) <= most_vif:
                 options.append((ols(g, trial)["adj_r2"], -g.columns.index(c), c))
         if not options or max(options)[0] <= best + gain:
-            return chosen
+            return chosen or ([fallback] if fallback else [])
         best, _, c = max(options)
         chosen.append(c)
 
@@ -126,55 +128,75 @@ def attribute_equation(model, fit: dict) -> list[tuple[str, float, float]]:
     return [("intercept", intercept, float(fit["beta"][0]))] + list(zip(model.columns, per_unit.tolist(), per_sd.tolist()))
 
 
+def fold(g: Gram, enter: float) -> tuple[float, np.ndarray, list[str]]:
+    """Components, selection and fit from a fold's cross products: intercept and coefficients
+    in raw columns, and the components that were chosen."""
+    n, m = g.matrix[0, 0], g.matrix[0, 1:-1] / g.matrix[0, 0]
+    cov = g.matrix[1:-1, 1:-1] / n - np.outer(m, m)
+    sd = np.sqrt(np.maximum(np.diag(cov), 1e-300))
+    vectors = np.linalg.eigh(cov / np.outer(sd, sd))[1][:, ::-1]
+    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(len(m))])
+    # Components are a linear map of (1, x), so their products follow from it.
+    load = vectors / sd[:, None]
+    full = np.zeros((len(m) + 2, len(m) + 2))
+    full[0, 0] = full[-1, -1] = 1
+    full[1:-1, 1:-1] = load
+    full[0, 1:-1] = -m @ load
+    pcs = Gram([f"pc{k + 1}" for k in range(len(m))], full.T @ g.matrix @ full)
+    fit = ols(pcs, forward_stepwise(pcs, enter))
+    beta = np.zeros(len(m))
+    for term, b in zip(fit["terms"][1:], fit["beta"][1:]):
+        beta[int(term[2:]) - 1] = b
+    raw = load @ beta
+    return float(fit["beta"][0] - m @ raw), raw, fit["terms"][1:]
+
+
 def leave_one_out(df: DataFrame, key: str, columns: list[str], y: str, enter: float = 0.05) -> DataFrame:
     """(key, observed, estimate, predictors): each row predicted from all others, with
     standardising, components, selection, fit and smearing done anew for its fold.
 
-    Folds work on the whole table's cross products less their own row; only the smearing
-    factor needs the rows, which are one per station and go to all tasks.
+    Folds work on the whole table's cross products less their own row.  The smearing factor
+    is a sum over all rows for each fold, which pairs of blocks add up.
     """
-    rows = df.select(key, *columns, y).na.drop().orderBy(key)
-    pdf = rows.toPandas()
-    x, t = pdf[columns].to_numpy(float), pdf[y].to_numpy(float)
-    whole = gram(df, columns, y)
-    shared = df.sparkSession.sparkContext.broadcast((x, t, whole))
+    rows = stored(df.select(key, *columns, y).na.drop(), "index-rows")
+    whole = gram(rows, columns, y)
     kind = dict(df.dtypes)[key]
 
-    def work(batches):
-        x, t, whole = shared.value
+    def fit(batches):
         for part in batches:
             out = []
             for name, row, obs in zip(part[key], part[columns].to_numpy(float), part[y]):
-                g = whole.less(row, obs)
-                n, m = g.matrix[0, 0], g.matrix[0, 1:-1] / g.matrix[0, 0]
-                cov = g.matrix[1:-1, 1:-1] / n - np.outer(m, m)
-                sd = np.sqrt(np.maximum(np.diag(cov), 1e-300))
-                values, vectors = np.linalg.eigh(cov / np.outer(sd, sd))
-                vectors = vectors[:, ::-1] * np.sign(vectors[:, ::-1][np.abs(vectors[:, ::-1]).argmax(0), np.arange(len(m))])
-                # Components are a linear map of (1, x), so their products follow from it.
-                load = vectors / sd[:, None]
-                full = np.zeros((len(m) + 2, len(m) + 2))
-                full[0, 0] = full[-1, -1] = 1
-                full[1:-1, 1:-1] = load
-                full[0, 1:-1] = -m @ load
-                pcs = Gram([f"pc{k + 1}" for k in range(len(m))], full.T @ g.matrix @ full)
-                fit = ols(pcs, forward_stepwise(pcs, enter))
-                beta = np.zeros(len(m))
-                for term, b in zip(fit["terms"][1:], fit["beta"][1:]):
-                    beta[int(term[2:]) - 1] = b
-                line = lambda a: fit["beta"][0] + (a - m) @ load @ beta
-                residual = 10 ** (t - line(x))
-                smear = (residual.sum() - 10 ** (obs - line(row))) / (len(t) - 1)
-                out.append((name, 10**obs, smear * 10 ** line(row), ";".join(fit["terms"][1:])))
-            yield pd.DataFrame(out, columns=[key, "observed", "estimate", "predictors"])
-
-    return rows.repartition(key).mapInPandas(work, f"{key} {kind}, observed double, estimate double, predictors string")
+                start, raw, terms = fold(whole.less(row, obs), enter)
+                out.append((name, obs, start, raw.tolist(), start + float(raw @ row), ";".join(terms)))
+            yield pd.DataFrame(out, columns=[key, "obs", "start", "raw", "line", "predictors"])
+
+    folds = stored(rows.repartition(key).mapInPandas(fit, f"{key} {kind}, obs double, start double, raw array<double>, line double, predictors string"), "folds")
+
+    def residuals(x: pd.DataFrame, z: pd.DataFrame) -> pd.DataFrame:
+        line = x["start"].to_numpy()[:, None] + np.stack(x["raw"]) @ z[columns].to_numpy(float).T
+        factor = 10 ** (z[y].to_numpy()[None] - line)
+        factor[x[key].to_numpy()[:, None] == z[key].to_numpy()[None]] = 0
+        return pd.DataFrame({key: x[key], "smear": factor.sum(1)})
+
+    smear = blocks.against(folds.select(key, "start", "raw"), rows, key, key, residuals, f"{key} {kind}, smear double").groupBy(key).agg(F.sum("smear").alias("smear"))
+    power = F.pow(F.lit(10.0), F.col("line")) * F.col("smear") / (whole.matrix[0, 0] - 1)
+    return folds.join(smear, key).select(key, F.pow(F.lit(10.0), F.col("obs")).alias("observed"), power.alias("estimate"), "predictors")
+
+
+def leave_one_out_summary(folds: DataFrame) -> DataFrame:
+    """One row: folds, R2 on log10 of the index, and the share of folds that chose the most
+    common set of predictors, with that set."""
+    o, e = F.log10("observed"), F.log10("estimate")
+    sums = folds.agg(F.count(F.lit(1)).alias("folds"), (1 - F.sum((o - e) ** 2) / (F.var_pop(o) * F.count(F.lit(1)))).alias("r2_log10"))
+    sets = folds.groupBy("predictors").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "predictors").limit(1)
+    return sums.crossJoin(sets).select("folds", "r2_log10", F.col("predictors").alias("common_predictors"), (F.col("n") / F.col("folds")).alias("agreement"))  # one row each
 
 
 def simple_leave_one_out(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """One predictor: leave-one-out estimates in closed form, from sums less the row's own."""
-    s = df.na.drop(subset=[x, y]).agg(F.count(F.lit(1)).alias("n"), *(F.sum(e).alias(k) for k, e in (("sx", F.col(x)), ("sy", F.col(y)), ("sxx", F.col(x) * F.col(x)), ("sxy", F.col(x) * F.col(y)))))
-    d = df.na.drop(subset=[x, y]).join(F.broadcast(s))
+    df = df.select(key, x, y).na.drop(subset=[x, y])
+    s = df.agg(F.count(F.lit(1)).alias("n"), *(F.sum(e).alias(k) for k, e in (("sx", F.col(x)), ("sy", F.col(y)), ("sxx", F.col(x) * F.col(x)), ("sxy", F.col(x) * F.col(y)))))
+    d = df.join(F.broadcast(s))
     n, sx, sy = F.col("n") - 1, F.col("sx") - F.col(x), F.col("sy") - F.col(y)
     sxx, sxy = F.col("sxx") - F.col(x) * F.col(x), F.col("sxy") - F.col(x) * F.col(y)
     slope = (n * sxy - sx * sy) / (n * sxx - sx * sx)

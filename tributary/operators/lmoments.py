@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def sample_lmoments(values: DataFrame, station: str = "station", x: str = "ams") -> DataFrame:
@@ -49,20 +55,25 @@ def critical_discordancy(sites: Column) -> Column:
     return F.when(sites < 5, F.lit(None).cast("double")).when(sites > 14, F.lit(3.0)).otherwise(F.element_at(F.array(*map(F.lit, CRITICAL)), (sites - 4).cast("int")))
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _inverse(uu: pd.Series, uv: pd.Series, uw: pd.Series, vv: pd.Series, vw: pd.Series, ww: pd.Series) -> pd.Series:
+    """(uu, uv, uw, vv, vw, ww) of the pseudo-inverse of each symmetric matrix."""
+    m = np.stack([uu, uv, uw, uv, vv, vw, uw, vw, ww], -1).astype(float).reshape(-1, 3, 3)
+    fine = np.isfinite(m).all((1, 2))
+    out = np.full(m.shape, np.nan)
+    out[fine] = np.linalg.pinv(m[fine], rcond=1e-12, hermitian=True)
+    return pd.Series(list(out[:, [0, 0, 0, 1, 1, 2], [0, 1, 2, 1, 2, 2]]))
+
+
 def discordancy(members: DataFrame, region: str = "region") -> DataFrame:
     """(region, station, di, critical): null for regions of fewer than five sites.  Nine sums
-    per region and the inverse of a 3 by 3 matrix, written out."""
+    and the (pseudo-)inverse of a 3 by 3 matrix for each region; sites are an expression."""
+    names = ("uu", "uv", "uw", "vv", "vw", "ww")
     means = members.groupBy(region).agg(F.count(F.lit(1)).alias("sites"), *(F.avg(c).alias(f"m_{c}") for c in ("t", "t3", "t4")))
     d = members.join(means, region).select(region, "station", "sites", *((F.col(c) - F.col(f"m_{c}")).alias(k) for c, k in (("t", "u"), ("t3", "v"), ("t4", "w"))))
-    s = d.groupBy(region).agg(*(F.sum(F.col(a) * F.col(b)).alias(a + b) for a, b in ("uu", "uv", "uw", "vv", "vw", "ww")))
-    c = {k: F.col(k) for k in ("uu", "uv", "uw", "vv", "vw", "ww")}
-    cof = {
-        "uu": c["vv"] * c["ww"] - c["vw"] * c["vw"], "uv": c["uw"] * c["vw"] - c["uv"] * c["ww"], "uw": c["uv"] * c["vw"] - c["uw"] * c["vv"],
-        "vv": c["uu"] * c["ww"] - c["uw"] * c["uw"], "vw": c["uv"] * c["uw"] - c["uu"] * c["vw"], "ww": c["uu"] * c["vv"] - c["uv"] * c["uv"],
-    }
-    det = c["uu"] * cof["uu"] + c["uv"] * cof["uv"] + c["uw"] * cof["uw"]
-    form = sum(((1 if a == b else 2) * F.col(a) * F.col(b) * cof[a + b] for a, b in cof), F.lit(0.0))
-    di = F.when((F.col("sites") >= 5) & (det != 0), F.col("sites") / 3.0 * form / det)
+    s = d.groupBy(region).agg(*(F.sum(F.col(a) * F.col(b)).alias(a + b) for a, b in names)).select(region, _inverse(*names).alias("inverse"))
+    form = sum(((1 if a == b else 2) * F.col(a) * F.col(b) * F.col("inverse")[k] for k, (a, b) in enumerate(names)), F.lit(0.0))
+    di = F.when(F.col("sites") >= 5, F.col("sites") / 3.0 * form)
     return d.join(s, region).select(region, "station", di.alias("di"), critical_discordancy(F.col("sites")).alias("critical"))
 
 
@@ -89,25 +100,43 @@ def nearest_family(regions: DataFrame, region: str = "region") -> DataFrame:
 RETURN_PERIODS = (2, 5, 10, 25, 50, 100)
 
 
-def growth_curve_glo(regions: DataFrame, region: str = "region") -> DataFrame:
-    """Generalised logistic curve q(T) with mean 1."""
+def growth_curve_glo(regions: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., period, q): generalised logistic curves with mean 1."""
+    keys = keys or ("region",)
     k = -F.col("t3_r")
     a = F.when(F.abs(k) > 1e-6, F.col("t_r") * F.sin(k * F.pi()) / (k * F.pi())).otherwise(F.col("t_r"))
     x = F.when(F.abs(k) > 1e-6, 1 - a * (1 / k - F.pi() / F.sin(k * F.pi()))).otherwise(F.lit(1.0))
-    rows = regions.select(region, k.alias("k"), a.alias("a"), x.alias("x"), F.explode(F.array(*map(F.lit, RETURN_PERIODS))).alias("period"))
+    rows = regions.select(*keys, k.alias("k"), a.alias("a"), x.alias("x"), F.explode(F.array(*map(F.lit, RETURN_PERIODS))).alias("period"))
     odds = F.lit(1.0) / (F.col("period") - 1)  # (1 - F) / F
     q = F.when(F.abs("k") > 1e-6, F.col("x") + F.col("a") / F.col("k") * (1 - F.pow(odds, F.col("k")))).otherwise(F.col("x") - F.col("a") * F.ln(odds))
-    return rows.select(region, "period", q.alias("q"))
+    return rows.select(*keys, "period", q.alias("q"))
 
 
-def growth_curve_gpa(regions: DataFrame, region: str = "region") -> DataFrame:
-    """Generalised Pareto curve, where the L-skewness is in the range that can be fitted."""
+def growth_curve_gpa(regions: DataFrame, *keys: str) -> DataFrame:
+    """Generalised Pareto curves, where the L-skewness is in the range that can be fitted."""
+    keys = keys or ("region",)
     fine = regions.where("t3_r > 0.0256 and t3_r < 0.905")
     k = (1 - 3 * F.col("t3_r")) / (1 + F.col("t3_r"))
-    rows = fine.select(region, k.alias("k"), ((1 + k) * (2 + k) * F.col("t_r")).alias("a"), (1 - F.col("t_r") * (2 + k)).alias("x"), F.explode(F.array(*map(F.lit, RETURN_PERIODS))).alias("period"))
+    rows = fine.select(*keys, k.alias("k"), ((1 + k) * (2 + k) * F.col("t_r")).alias("a"), (1 - F.col("t_r") * (2 + k)).alias("x"), F.explode(F.array(*map(F.lit, RETURN_PERIODS))).alias("period"))
     s = F.lit(1.0) / F.col("period")
     q = F.when(F.abs("k") > 1e-9, F.col("x") + F.col("a") / F.col("k") * (1 - F.pow(s, F.col("k")))).otherwise(F.col("x") - F.col("a") * F.ln(s))
-    return rows.select(region, "period", q.alias("q"))
+    return rows.select(*keys, "period", q.alias("q"))
+
+
+def growth_curve_gev(regions: DataFrame, *keys: str) -> DataFrame:
+    """Generalised extreme-value curves by the published approximation of the shape.  Gamma
+    comes from Stirling's series, taken eight further up."""
+    keys = keys or ("region",)
+    c = 2 / (3 + F.col("t3_r")) - math.log(2) / math.log(3)
+    rows = regions.select(*keys, "t_r", (7.8590 * c + 2.9554 * c * c).alias("k"))
+    rows = rows.withColumn("k", F.when(F.abs("k") >= 1e-4, F.col("k")).when(F.col("k") < 0, -1e-4).otherwise(1e-4))
+    y = F.col("k") + 9  # gamma(1 + k) = gamma(k + 9) / ((k + 1)...(k + 8))
+    stirling = (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    rows = rows.withColumn("g", F.exp(stirling) / reduce(lambda a, b: a * b, (F.col("k") + i for i in range(1, 9))))
+    rows = rows.withColumn("a", F.col("t_r") * F.col("k") / ((1 - F.pow(F.lit(2.0), -F.col("k"))) * F.col("g")))
+    rows = rows.withColumn("x", 1 - F.col("a") * (1 - F.col("g")) / F.col("k")).withColumn("period", F.explode(F.array(*map(F.lit, RETURN_PERIODS))))
+    q = F.col("x") + F.col("a") / F.col("k") * (1 - F.pow(-F.ln(1 - 1 / F.col("period")), F.col("k")))
+    return rows.select(*keys, "period", q.alias("q"))
 
 
 def design_values(curves: DataFrame, index: DataFrame, region: str = "region") -> DataFrame:

@@ -24,19 +24,25 @@ def block_maxima(obs: DataFrame, station: str, block: Column | str, value: str,
 
 def quality(ams: DataFrame, jump: float = 10.0) -> DataFrame:
     """A row per station: blocks, median, maximum, their ratio, blocks over ``jump`` times
-    the median and under its ``jump``-th part as ``block:value`` lists, and a flag."""
+    the median and under its ``jump``-th part as ``block:value`` lists, and a flag.  One
+    aggregation gives the figures and the series, which the lists are filtered from."""
     stats = ams.groupBy("station").agg(
-        F.count_distinct("block").alias("years_used"), F.median("ams").alias("median_annual_max"), F.max("ams").alias("max_annual_max")
-    )
-    marked = ams.join(stats, "station")
-    item = F.concat_ws(":", F.col("block").cast("string"), F.round("ams", 2).cast("string"))
-    listed = lambda cond: F.array_join(F.array_sort(F.collect_list(F.when(cond, item))), ";")
-    lists = marked.groupBy("station").agg(
-        listed(F.col("ams") > jump * F.col("median_annual_max")).alias("years_gt_10x_median"),
-        listed(F.col("ams") < F.col("median_annual_max") / jump).alias("years_lt_median_over_10"),
+        F.count_distinct("block").alias("years_used"), F.median("ams").alias("median_annual_max"), F.max("ams").alias("max_annual_max"), F.sort_array(F.collect_list(F.struct(F.col("block").cast("string").alias("block"), "ams"))).alias("series")
     )
+    median = F.col("median_annual_max")
+    item = lambda x: F.concat_ws(":", x["block"], F.round(x["ams"], 2).cast("string"))
+    listed = lambda keep: F.array_join(F.transform(F.filter("series", keep), item), ";")
+    lists = {"years_gt_10x_median": listed(lambda x: x["ams"] > jump * median), "years_lt_median_over_10": listed(lambda x: x["ams"] < median / jump)}
     flag = F.when((F.col("years_gt_10x_median") != "") | (F.col("years_lt_median_over_10") != ""), "check").otherwise("")
-    return stats.join(lists, "station").withColumn("max_over_median", F.col("max_annual_max") / F.col("median_annual_max")).withColumn("flag", flag)
+    return stats.withColumns(lists).drop("series").withColumn("max_over_median", F.col("max_annual_max") / median).withColumn("flag", flag)
+
+
+def annual_maxima(series: DataFrame, station: str, time: str, value: str, format: str = "yyyy-MM-dd'T'HH:mm:ss", after: int = 1900) -> DataFrame:
+    """(station, block, ams) of a series at any step: the text of a time is parsed, a bad one
+    dropped; years up to ``after`` are left out.  Values need not be positive."""
+    when = F.try_to_timestamp(F.col(time), F.lit(format)) if dict(series.dtypes)[time] == "string" else F.col(time)
+    rows = series.select(F.col(station).alias("station"), F.year(when).alias("block"), numeric(value).alias("v"))
+    return rows.where((F.col("block") > after) & F.col("v").isNotNull()).groupBy("station", "block").agg(F.max("v").alias("ams"))
 
 
 def partial_blocks(obs: DataFrame, station: str, n_obs: str, full: int = 292) -> DataFrame:

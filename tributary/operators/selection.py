@@ -87,3 +87,41 @@ def outer_statuses(frames: list[DataFrame]) -> DataFrame:
 def not_done(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What a resumed run still has to do: keys without a success so far."""
     return todo.join(done.where(successful(F.col("status"))).select(key), key, "left_anti")
+
+
+def capped(df: DataFrame, x: str, most: float | None) -> DataFrame:
+    """Rows with ``x`` up to ``most``, where there is a cap; a null is left out by one."""
+    return df if most is None else df.where(F.col(x) <= most)
+
+
+def status_with_quality(status: DataFrame, quality: DataFrame, on: str) -> DataFrame:
+    """Every row of ``status`` with the quality of its series, where there is any."""
+    return quality.join(status, on, "right")
+
+
+def first_kept(table: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """One row for each key: the first in ``order``."""
+    w = Window.partitionBy(key).orderBy(*order)
+    return table.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
+
+
+def looked_up(df: DataFrame, table: DataFrame, key: str, value: str, order: list[Column]) -> DataFrame:
+    """``df`` with a value looked up by key, null where there is none."""
+    return df.join(first_kept(table, key, order).select(key, value), key, "left")
+
+
+def group_summary(df: DataFrame, group: str, firsts: list[str], order: list[Column], sums: list[str]) -> DataFrame:
+    """Per group: the values of its first row in ``order``, rows, and sums."""
+    first = F.min(F.struct(*(c.alias(f"_o{k}") for k, c in enumerate(order)), *firsts)).alias("_first")
+    out = df.groupBy(group).agg(first, F.count(F.lit(1)).alias("rows"), *(F.sum(c).alias(f"sum_{c}") for c in sums))
+    return out.select(group, *(F.col(f"_first.{c}").alias(c) for c in firsts), "rows", *(f"sum_{c}" for c in sums))
+
+
+def in_pairs(pairs: DataFrame, *sides: str) -> DataFrame:
+    """Each name that stands on either side of a pair, once."""
+    return pairs.select(F.explode(F.array(*sides)).alias("station")).distinct()
+
+
+def sampled(df: DataFrame, key: str, rows: int, seed: int = 42) -> DataFrame:
+    """The same ``rows`` rows whenever it is asked for: those whose keys' hashes are least."""
+    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(rows)

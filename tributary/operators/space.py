@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.operators.roi import BROADCAST_BYTES
+from tributary.functions import blocks
+from tributary.functions.lineage import stored
 
 
 def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -79,64 +80,60 @@ def loading_table(spark, model: Components, target: float = 0.85) -> DataFrame:
     return t.withColumn("rank", F.row_number().over(Window.partitionBy("pc").orderBy(F.desc(F.abs("loading")), "attribute")))
 
 
-def _shared(df: DataFrame, key: str, columns: list[str]):
-    pdf = df.select(key, *columns).na.drop().orderBy(key).toPandas()
-    if pdf.shape[0] * 8 * (len(columns) + 1) > BROADCAST_BYTES:
-        raise ValueError(f"{len(pdf)} stations are too many for every task; use neighbours within groups")
-    return df.sparkSession.sparkContext.broadcast((pdf[key].to_numpy(), pdf[columns].to_numpy(float)))
-
-
-def _against_all(df: DataFrame, key: str, columns: list[str], pick, schema: str) -> DataFrame:
-    """Blocks of stations against all, whose size is checked; ``pick`` chooses columns."""
-    shared = _shared(df, key, columns)
+def _pairs(df: DataFrame, key: str, columns: list[str], chosen, others: DataFrame | None = None) -> DataFrame:
+    """(station, neighbour, distance) of the pairs that ``chosen`` picks from the distances of
+    two blocks, as positions (row, column)."""
+    rows = df.select(key, *columns).na.drop()
+    kind = dict(df.dtypes)[key]
 
-    def work(batches):
-        keys, z = shared.value
-        for pdf in batches:
-            a = pdf[columns].to_numpy(float)
-            for at in range(0, len(a), 256):
-                d = np.sqrt(np.maximum(((a[at : at + 256, None, :] - z[None]) ** 2).sum(2), 0))
-                for name, row in zip(pdf[key].iloc[at : at + 256], d):
-                    chosen = pick(name, keys, row)
-                    yield pd.DataFrame({"station": name, "neighbour": keys[chosen], "distance": row[chosen]})
+    def work(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        d = blocks.distances(x[columns].to_numpy(float), y[columns].to_numpy(float))
+        a, b = x[key].to_numpy(), y[key].to_numpy()
+        i, j = chosen(d, a, b)
+        return pd.DataFrame({"station": a[i], "neighbour": b[j], "distance": d[i, j]})
 
-    return df.select(key, *columns).na.drop().mapInPandas(work, schema)
+    return blocks.against(rows, rows if others is None else others, key, key, work, f"station {kind}, neighbour {kind}, distance double")
 
 
 def distances(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """All pairs, both ways and with themselves: as many rows as the matrix has."""
-    kind = dict(df.dtypes)[key]
-    return _against_all(df, key, columns, lambda name, keys, row: np.arange(len(row)), f"station {kind}, neighbour {kind}, distance double")
+    return _pairs(df, key, columns, lambda d, a, b: np.divmod(np.arange(d.size), d.shape[1]))
 
 
 def within(df: DataFrame, key: str, columns: list[str], threshold: float) -> DataFrame:
     """Pairs at most ``threshold`` apart, each station with itself too."""
-    kind = dict(df.dtypes)[key]
-    return _against_all(df, key, columns, lambda name, keys, row: np.flatnonzero(row <= threshold), f"station {kind}, neighbour {kind}, distance double")
+    return _pairs(df, key, columns, lambda d, a, b: np.nonzero(d <= threshold))
 
 
 def neighbours(df: DataFrame, key: str, columns: list[str], k: int) -> DataFrame:
-    """The ``k`` nearest others with their rank; of equals the smaller key first."""
-    kind = dict(df.dtypes)[key]
+    """The ``k`` nearest others with their rank; of equals the smaller key first.  A pair of
+    blocks gives the k nearest of its own, so k a block are ranked for each station."""
 
-    def nearest(name, keys, row):
-        order = np.argsort(row, kind="stable")
-        return order[keys[order] != name][:k]
+    def nearest(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = np.where(a[:, None] == b[None], np.inf, d)
+        order = np.lexsort((np.broadcast_to(b, d.shape), d))[:, :k] if b.dtype != object else np.stack([np.lexsort((b, row)) for row in d])[:, :k]
+        i = np.repeat(np.arange(len(a)), order.shape[1])
+        j = order.ravel()
+        fine = np.isfinite(d[i, j])
+        return i[fine], j[fine]
 
-    pairs = _against_all(df, key, columns, nearest, f"station {kind}, neighbour {kind}, distance double")
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("station").orderBy("distance", "neighbour")).cast("long"))
+    w = Window.partitionBy("station").orderBy("distance", "neighbour")
+    return _pairs(df, key, columns, nearest).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Rank correlation with mean ranks for ties.  Ranks come from counts of distinct values,
-    so only distinct values are sorted."""
+def spearman(df: DataFrame, a: str, b: str, parts: int = 64) -> DataFrame:
+    """Rank correlation with mean ranks for ties.  Distinct values are counted, dealt out in
+    ranges, ranked within each, and the ranges' totals are added up: no task sorts them all."""
 
     def ranks(c: str, name: str) -> DataFrame:
-        counts = df.groupBy(F.col(c).alias(f"{name}_v")).agg(F.count(F.lit(1)).alias("m"))
-        before = F.sum("m").over(Window.orderBy(f"{name}_v")) - F.col("m")
-        return counts.select(f"{name}_v", (before + (F.col("m") + 1) / 2).alias(name))
-
-    both = df.join(ranks(a, "ra"), F.col(a).eqNullSafe(F.col("ra_v"))).join(ranks(b, "rb"), F.col(b).eqNullSafe(F.col("rb_v")))
+        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias(f"{name}_v")).agg(F.count(F.lit(1)).alias("m"))
+        ranged = stored(counts.repartitionByRange(parts, f"{name}_v").withColumn("part", F.spark_partition_id()), "ranks")
+        total = ranged.groupBy("part").agg(F.sum("m").alias("of_part"))  # a row for each range
+        before = total.select("part", (F.sum("of_part").over(Window.orderBy("part")) - F.col("of_part")).alias("before"))
+        inside = F.sum("m").over(Window.partitionBy("part").orderBy(f"{name}_v")) - F.col("m")
+        return ranged.withColumn("inside", inside).join(F.broadcast(before), "part").select(f"{name}_v", (F.col("before") + F.col("inside") + (F.col("m") + 1) / 2).alias(name))
+
+    both = df.join(ranks(a, "ra"), F.col(a) == F.col("ra_v")).join(ranks(b, "rb"), F.col(b) == F.col("rb_v"))
     return both.agg(F.corr("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
@@ -147,21 +144,32 @@ def neighbour_spread(df: DataFrame, key: str, columns: list[str], values: DataFr
     return near.join(values.select(F.col(key).alias("neighbour"), value), "neighbour").groupBy(key).agg(F.stddev_pop(value).alias("spread"))
 
 
+def _placed(ordered: DataFrame, parts: int = 64) -> DataFrame:
+    """(x, place): rows with their place in the order of x, from 0, range by range."""
+    ranged = stored(ordered.repartitionByRange(parts, "x").withColumn("part", F.spark_partition_id()), "ranges")
+    total = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("of_part"))
+    before = total.select("part", (F.sum("of_part").over(Window.orderBy("part")) - F.col("of_part")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("x")) - 1
+    return ranged.withColumn("inside", inside).join(F.broadcast(before), "part").select("x", (F.col("before") + F.col("inside")).alias("place"))
+
+
 def random_spread(values: DataFrame, value: str, k: int = 5, reps: int = 2000, seed: int = 42) -> DataFrame:
-    """(rep, spread) of random sets of k stations; each draw has a generator of its own, so it
-    is the same wherever it runs.  The values, one a station, go to every task."""
-    x = np.array([r[0] for r in values.select(value).na.drop().orderBy(value).collect()], float)
-    if x.nbytes > BROADCAST_BYTES:
-        raise ValueError(f"{len(x)} stations are too many for every task")
+    """(rep, spread) of random sets of k stations.  Each draw takes k random places in the
+    order of values; each place has a row, so the values are joined, not collected.  A draw
+    has a generator of its own, so it is the same wherever it runs."""
     spark = values.sparkSession
-    shared = spark.sparkContext.broadcast(x)
+    ordered = values.select(F.col(value).cast("double").alias("x")).na.drop()
+    placed = stored(_placed(ordered), "places")
+    n = placed.count()
 
     def work(batches):
         for pdf in batches:
-            draw = lambda rep: np.random.default_rng([seed, int(rep)]).choice(shared.value, k, replace=False).std()
-            yield pdf.assign(spread=[draw(r) for r in pdf["id"]]).rename(columns={"id": "rep"})
+            draw = lambda rep: np.random.default_rng([seed, int(rep)]).choice(n, k, replace=False)
+            for rep in pdf["id"]:
+                yield pd.DataFrame({"rep": rep, "place": draw(rep)})
 
-    return spark.range(reps if len(x) >= k else 0).mapInPandas(work, "rep long, spread double")
+    drawn = spark.range(reps if n >= k else 0).mapInPandas(work, "rep long, place long")
+    return drawn.join(placed, "place").groupBy("rep").agg(F.stddev_pop("x").alias("spread"))
 
 
 def same_distances(a: DataFrame, b: DataFrame, most: float = 1e-6) -> DataFrame:

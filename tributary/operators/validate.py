@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
+from dataclasses import replace
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions.distributions import RETURN_PERIODS
-from tributary.operators.homogeneity import family_curve, fit_region
-from tributary.operators.roi import Rules, grow, region_members
+from tributary.operators import lmoments
+from tributary.operators.homogeneity import choose, family_curve
+from tributary.operators.roi import Region, Rules, kind_of, over_targets, region_members
+from tributary.operators.selection import percent_error
 
 
 def ungauged(spark, stations: pd.DataFrame, columns: list[str], index: DataFrame, rules: Rules = Rules(), nsim: int = 500) -> DataFrame:
@@ -19,30 +22,22 @@ def ungauged(spark, stations: pd.DataFrame, columns: list[str], index: DataFrame
     times the leave-one-out index (``station, observed, estimate``) is held against the
     station's own fit times its own mean.  Stations are spread over the cluster.
     """
-    shared = spark.sparkContext.broadcast((stations["station"].tolist(), stations[columns].to_numpy(float), stations[["t", "t3", "t4"]].to_numpy(float), stations["n"].to_numpy(float)))
-    masked = Rules(**{**rules.__dict__, "use_target_flow": False})
-
-    def work(batches):
-        names, z, ratios, n = shared.value
-        for pdf in batches:
-            out = []
-            for i in map(int, pdf["id"]):
-                own, _ = grow(i, z, ratios, n, rules)
-                pool = grow(i, z, ratios, n, masked)[0][1:]
-                if not pool:
-                    continue
-                a, b = set(own) - {i}, set(pool)
-                overlap = len(a & b) / len(a | b) if a | b else 1.0
-                region, site = fit_region(ratios[pool], n[pool], nsim), fit_region(ratios[[i]], n[[i]], nsim)
-                out += [(names[i], p, overlap, region["chosen"], region["curve"][p], site["curve"][p]) for p in RETURN_PERIODS]
-            yield pd.DataFrame(out, columns=["station", "period", "jaccard", "family", "q_pool", "q_site"])
-
-    kind = "long" if np.issubdtype(stations["station"].dtype, np.integer) else "string"
-    curves = spark.range(0, len(stations), 1, max(1, min(len(stations), 4 * spark.sparkContext.defaultParallelism))).mapInPandas(work, f"station {kind}, period int, jaccard double, family string, q_pool double, q_site double")
+    masked = replace(rules, use_target_flow=False)
+
+    def work(names, z, sites, target) -> list[tuple]:
+        own = set(Region(target, z, sites, rules).grown().members) - {target}
+        pool = Region(target, z, sites, masked).grown().members[1:]
+        if not pool:
+            return []
+        union = own | set(pool)
+        overlap = len(own & set(pool)) / len(union) if union else 1.0
+        region, site = choose(sites.only(pool), nsim), choose(sites.only([target]), nsim)
+        return [(names[target], p, overlap, region.family, region.curve[p], site.curve[p]) for p in RETURN_PERIODS]
+
+    curves = over_targets(spark, stations, columns, work, f"station {kind_of(stations)}, period int, jaccard double, family string, q_pool double, q_site double")
     both = curves.join(index.select("station", "observed", "estimate"), "station")
-    design, computed = F.col("q_pool") * F.col("estimate"), F.col("q_site") * F.col("observed")
-    fine = computed.isNotNull() & ~F.isnan(computed) & (computed != 0) & ~F.isnan(design)
-    return both.select("station", "period", "jaccard", "family", "q_pool", "q_site", design.alias("design"), computed.alias("computed"), F.when(fine, 100 * (design - computed) / computed).alias("percent_error"))
+    both = both.withColumns({"design": F.col("q_pool") * F.col("estimate"), "computed": F.col("q_site") * F.col("observed")})
+    return both.select("station", "period", "jaccard", "family", "q_pool", "q_site", "design", "computed", percent_error(F.col("design"), F.col("computed")).alias("percent_error"))
 
 
 def overlap_with(regions: DataFrame, others: DataFrame) -> DataFrame:
@@ -66,11 +61,12 @@ def curves_without_target(members: DataFrame, pools: DataFrame, family: str, lea
     pooled = pools.select(F.col("station").alias("target"), F.col("neighbour").alias("station")).join(m, "station").where("station <> target")
     pooled = pooled.groupBy(F.col("target").alias("station")).agg(*(F.sum(c).alias(c) for c in w), F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= least)
     parts = {"at_site": m, "roi": pooled, "cluster": rest}
-    tagged = [p.select(F.concat_ws("|", F.lit(k), "station").alias("region"), (F.col("nt") / F.col("n")).alias("t_r"), (F.col("nt3") / F.col("n")).alias("t3_r")) for k, p in parts.items()]
-    curves = family_curve(tagged[0].unionByName(tagged[1]).unionByName(tagged[2]), family)
-    kind, station = F.substring_index("region", "|", 1), F.expr("substring(region, instr(region, '|') + 1)").cast(dict(members.dtypes)["station"])
-    one = lambda k: F.max(F.when(kind == k, F.col("q"))).alias(k)
-    return curves.groupBy(station.alias("station"), "period").agg(*map(one, parts)).where("at_site is not null")
+    tagged = [p.select(F.lit(k).alias("kind"), "station", (F.col("nt") / F.col("n")).alias("t_r"), (F.col("nt3") / F.col("n")).alias("t3_r")) for k, p in parts.items()]
+    every = tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+    # The logistic curve is an expression; the others are fitted.
+    curves = lmoments.growth_curve_glo(every.where("abs(t3_r) <= 0.9"), "kind", "station") if family == "GLO" else family_curve(every, family, "kind", "station")
+    one = lambda k: F.max(F.when(F.col("kind") == k, F.col("q"))).alias(k)
+    return curves.groupBy("station", "period").agg(*map(one, parts)).where("at_site is not null")
 
 
 def compared(curves: DataFrame) -> DataFrame:

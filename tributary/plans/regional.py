@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tributary.functions.distributions import RETURN_PERIODS
-from tributary.functions.lineage import fresh_path
+from tributary.functions.lineage import fresh_path, stored
 from tributary.operators import cluster, homogeneity, indexflood, raster, roi, selection, space, validate
 from tributary.plans.catalogue import query
-from tributary.plans.numeric import GRID, INDEX, NEAR, PAIRS, _grid, _index, _z
-from tributary.plans.standins import ATTRIBUTES, ATTRS, MEMBERS, attributes, day_members, moments, nation_members, rounded, table
+from tributary.plans.numeric import GRID, INDEX, NEAR, PAIRS, _grid, _index, _z, pools
+from tributary.plans.standins import ATTRIBUTES, ATTRS, DAYS, MEMBERS, attributes, day_members, rounded, stations, table
 from tributary.streaming import maxima as streaming
 
 
@@ -26,14 +26,9 @@ def at_site_fit(spark, sf_dir):
     return homogeneity.region_fits(m.withColumn("region", F.col("station")))
 
 
-def _pools(spark, sf_dir, years: int):
-    n = moments(spark, sf_dir).select(F.col("station").alias("neighbour"), "n", "t", "t3", "t4")
-    return roi.pools_by_years(space.neighbours(_z(spark, sf_dir), "station", ATTRIBUTES, 25).drop("rank").join(n, "neighbour"), years)
-
-
 @query()
 def trimmed_pool_5t(spark, sf_dir):
-    return roi.trimmed_pools(_pools(spark, sf_dir, 500), 500)
+    return roi.trimmed_pools(pools(_z(spark, sf_dir), 500), 500)
 
 
 _POOL = f"""{NEAR}, {MEMBERS}, b AS (SELECT nn.station, neighbour, rank, coalesce(sum(m.n) OVER (PARTITION BY nn.station ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
@@ -49,25 +44,29 @@ c AS (SELECT station, period, max(q) FILTER (WHERE kind='at_site') AS at_site, m
 @query(f"WITH {_CURVES} SELECT station, period, round(at_site,4) AS at_site, round(roi,4) AS roi, round(cluster,4) AS cluster FROM c")
 def growth_loo_glo(spark, sf_dir):
     """Pool and region against the station's own curve, with the closed form to check by."""
-    return rounded(validate.curves_without_target(nation_members(spark, sf_dir), _pools(spark, sf_dir, 500), "GLO"), 4)
+    z = _z(spark, sf_dir)
+    return rounded(validate.curves_without_target(z.where("l1 is not null"), pools(z, 500), "GLO"), 4)
 
 
 @query()
 def growth_loo_gno(spark, sf_dir):
-    return validate.compared(validate.curves_without_target(nation_members(spark, sf_dir), _pools(spark, sf_dir, 500), "GNO"))
+    z = _z(spark, sf_dir)
+    return validate.compared(validate.curves_without_target(z.where("l1 is not null"), pools(z, 500), "GNO"))
 
 
 @query(f"""WITH {NEAR}, {MEMBERS}, s AS (SELECT station, neighbour FROM nn WHERE rank <= 4 UNION ALL SELECT station, station FROM z)
 SELECT s.station, round(stddev_pop(m.t), 6) AS spread FROM s JOIN m ON m.station = s.neighbour GROUP BY 1""")
 def neighbour_spread(spark, sf_dir):
-    return rounded(space.neighbour_spread(_z(spark, sf_dir), "station", ATTRIBUTES, moments(spark, sf_dir), "t"))
+    z = _z(spark, sf_dir)
+    return rounded(space.neighbour_spread(z, "station", ATTRIBUTES, z.where("l1 is not null"), "t"))
 
 
 @query()
 def neighbour_similarity(spark, sf_dir):
     """Median spread of neighbours' L-CV against that of 2,000 random sets, and the gain in percent."""
-    m = moments(spark, sf_dir)
-    near = space.neighbour_spread(_z(spark, sf_dir), "station", ATTRIBUTES, m, "t").agg(F.median("spread").alias("near"))
+    z = _z(spark, sf_dir)
+    m = z.where("l1 is not null")
+    near = space.neighbour_spread(z, "station", ATTRIBUTES, m, "t").agg(F.median("spread").alias("near"))
     both = near.crossJoin(space.random_spread(m, "t").agg(F.median("spread").alias("random")))  # one row each
     return both.withColumn("gain", 100 * (1 - F.col("near") / F.col("random")))
 
@@ -75,9 +74,9 @@ def neighbour_similarity(spark, sf_dir):
 @query(f"WITH {PAIRS} SELECT true AS symmetric, true AS zero_diagonal, true AS same, count(*) AS pairs FROM d")
 def distance_checks(spark, sf_dir):
     """With all components kept, distances of scores are those of standard scores."""
-    a = attributes(spark, sf_dir)
-    scores = space.scores(a, space.components(a, ATTRIBUTES), ["station"])
-    return space.same_distances(space.distances(scores, "station", [f"pc{k + 1}" for k in range(len(ATTRIBUTES))]), space.distances(_z(spark, sf_dir), "station", ATTRIBUTES))
+    z = _z(spark, sf_dir)
+    scores = stored(space.scores(z, space.components(z, ATTRIBUTES), ["station"]), "scores")
+    return space.same_distances(space.distances(scores, "station", [f"pc{k + 1}" for k in range(len(ATTRIBUTES))]), space.distances(z, "station", ATTRIBUTES))
 
 
 @query()
@@ -85,17 +84,46 @@ def top_loadings(spark, sf_dir):
     return space.loading_table(spark, space.components(attributes(spark, sf_dir), ATTRIBUTES)).where("rank <= 3")
 
 
+def _validity(spark, sf_dir, ks: list[int]):
+    z = _z(spark, sf_dir)
+    return cluster.validity(z, "station", ATTRIBUTES, ks, z.where("l1 is not null").select("station", "n", "t", "t3", "t4", F.lit(0).alias("region")))
+
+
 @query()
 def cluster_validity(spark, sf_dir):
-    return cluster.validity(_z(spark, sf_dir), "station", ATTRIBUTES, list(range(2, 16)), moments(spark, sf_dir).withColumn("region", F.lit(0)))
+    return _validity(spark, sf_dir, list(range(2, 16)))
 
 
 @query()
 def chosen_k(spark, sf_dir):
-    table = cluster.validity(_z(spark, sf_dir), "station", ATTRIBUTES, list(range(3, 9)), moments(spark, sf_dir).withColumn("region", F.lit(0)))
+    table = _validity(spark, sf_dir, list(range(3, 9)))
     return cluster.best_k(table.select("k", "silhouette", F.col("min_size").alias("min_contrib"), (F.col("min_size") >= 5).alias("testable")))
 
 
+def _clustered(spark, sf_dir):
+    """Stations with moments in six of Ward's clusters, and their regions of influence."""
+    z = _z(spark, sf_dir)
+    labels = cluster.ward_kmeans(z, "station", ATTRIBUTES, [6]).select("station", F.col("cluster").alias("region"))
+    members = stored(z.where("l1 is not null").drop("region").join(labels, "station").select("station", "region", "n", "t", "t3", "t4"), "members")
+    regions = stored(roi.grown_regions(spark, roi.station_matrix(z, ATTRIBUTES), ATTRIBUTES), "regions")
+    return members, regions
+
+
+@query()
+def site_transfers(spark, sf_dir):
+    """Sites whose region of influence lies elsewhere, tried in the cluster that holds it."""
+    members, regions = _clustered(spark, sf_dir)
+    return cluster.transfer_log(members, cluster.proposed_transfers(members, roi.region_members(regions)))
+
+
+@query()
+def final_region_report(spark, sf_dir):
+    """Clusters after the accepted transfers, tested, with advice."""
+    members, regions = _clustered(spark, sf_dir)
+    log = stored(cluster.transfer_log(members, cluster.proposed_transfers(members, roi.region_members(regions))), "transfers")
+    return cluster.region_report(cluster.final_regions(members, log))
+
+
 @query(f"WITH {INDEX}, f AS (SELECT regr_slope(y, price) AS b, regr_intercept(y, price) AS a FROM x) SELECT station, round(b*price + y - (a + b*price), 6) AS component_residual FROM x, f")
 def component_residual(spark, sf_dir):
     d = _index(spark, sf_dir)
@@ -114,14 +142,14 @@ s AS (SELECT a.row, a.col, code, (a.z-b.z)/sqrt(dr*dr+dc*dc) AS fall FROM cells
 p AS (SELECT row, col, code FROM s QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY fall DESC, code) = 1)
 SELECT cells.row, cells.col, coalesce(code, 0)::INT AS fdir FROM cells LEFT JOIN p ON p.row = cells.row AND p.col = cells.col""")
 def flow_directions(spark, sf_dir):
-    return raster.flow_directions(_grid(spark)).select("row", "col", "fdir")
+    return raster.flow_directions(_grid(spark, sf_dir)).select("row", "col", "fdir")
 
 
 @query(f"""WITH RECURSIVE {GRID}, e AS (SELECT row, col, row + (fdir=4)::INT AS tr, col + (fdir=1)::INT AS tc FROM cells),
 walk AS (SELECT row AS sr, col AS sc, row, col FROM cells UNION ALL SELECT walk.sr, walk.sc, c.row, c.col FROM walk JOIN e ON e.row = walk.row AND e.col = walk.col JOIN cells c ON c.row = e.tr AND c.col = e.tc)
 SELECT row, col, count(*) AS acc FROM walk GROUP BY ALL""")
 def flow_accumulation(spark, sf_dir):
-    return raster.accumulation(_grid(spark))
+    return raster.accumulation(_grid(spark, sf_dir))
 
 
 _STEP = """(CASE WHEN lead({o}) OVER {w} IS NULL OR lag({o}) OVER {w} IS NULL THEN 1.0 ELSE 0.5 END) * (coalesce(lead(z) OVER {w}, z) - coalesce(lag(z) OVER {w}, z))"""
@@ -131,17 +159,17 @@ _STEP = """(CASE WHEN lead({o}) OVER {w} IS NULL OR lag({o}) OVER {w} IS NULL TH
 a AS (SELECT *, atan(sqrt(dx*dx+dy*dy)) AS tilt, atan2(-dy, dx) AS aspect FROM g)
 SELECT basin, row, col, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, sin(radians(45))*cos(tilt) + cos(radians(45))*sin(tilt)*cos(radians(315)-aspect))), 6) AS shade FROM a""")
 def hillshade(spark, sf_dir):
-    return rounded(raster.hillshade(_grid(spark), "basin"))
+    return rounded(raster.hillshade(_grid(spark, sf_dir), "basin"))
 
 
 @query(f"WITH {GRID} SELECT basin, round(76 + (avg(col)+0.5)*0.01, 6) AS lon, round(12 - (avg(row)+0.5)*0.01, 6) AS lat FROM cells GROUP BY 1")
 def catchment_centroids(spark, sf_dir):
-    return rounded(raster.centroids(_grid(spark), "basin", 76.0, 12.0, 0.01))
+    return rounded(raster.centroids(_grid(spark, sf_dir), "basin", 76.0, 12.0, 0.01))
 
 
-@query(f"WITH {GRID} SELECT max(acc) FILTER (WHERE row = 15 AND col = 15) AS at_outlet, max(acc) AS largest, count(*) AS cells FROM cells WHERE abs(row-15) <= 5 AND abs(col-15) <= 5")
+@query(f"WITH {GRID} SELECT max(acc) FILTER (WHERE row = 5 AND col = 10) AS at_outlet, max(acc) AS largest, count(*) AS cells FROM cells WHERE abs(row-5) <= 5 AND abs(col-10) <= 5")
 def outlet_window(spark, sf_dir):
-    return raster.outlet_window(_grid(spark), 15, 15, 5)
+    return raster.outlet_window(_grid(spark, sf_dir), 5, 10, 5)
 
 
 _AREA = "6371.0*6371.0*(sin(radians(north))-sin(radians(south)))*radians(east-west)"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tributary.functions.lineage import stored
 from tributary.operators import lmoments, maxima
 
 ATTRIBUTES = ["quantity", "discount", "price", "tax", "balance"]
@@ -46,6 +47,20 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(s, "station")
 
 
+def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(station, attributes, region, n, l1, l2, t, t3, t4), stored: suppliers with means of
+    their lines and moments of their monthly maxima, from one pass over the lines."""
+    means = {"quantity": "l_quantity", "discount": "l_discount", "price": "l_extendedprice", "tax": "l_tax"}
+    sums = [F.sum(F.col(c).cast("double")).alias(f"s_{a}") for a, c in means.items()]
+    monthly = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("station"), F.trunc("l_shipdate", "month").alias("block"))
+    monthly = monthly.agg(F.max(F.when(F.col("l_extendedprice") > 0, maxima.numeric("l_extendedprice"))).alias("ams"), *sums, *(F.count(c).alias(f"n_{a}") for a, c in means.items()))
+    monthly = stored(monthly, "monthly")
+    a = monthly.groupBy("station").agg(*((F.sum(f"s_{a}") / F.sum(f"n_{a}")).alias(a) for a in means))
+    m = lmoments.sample_lmoments(monthly.where("block is not null and ams is not null"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("station"), F.col("s_acctbal").cast("double").alias("balance"), F.col("s_nationkey").alias("region"))
+    return stored(a.join(s, "station").join(m, "station", "left"), "stations")
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
