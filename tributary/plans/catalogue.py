@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tributary.plans import numeric, regional  # noqa: F401  register more
+    from tributary.plans import files, numeric, regional  # noqa: F401  register more
 
     return dict(QUERIES)
 
@@ -139,12 +139,17 @@ def dup_keep_false(spark, sf_dir):
     return selection.repeated(table(spark, sf_dir, "part"), ["p_brand", "p_size"], "p_partkey")
 
 
-@query("""WITH e AS (SELECT user_id % 30 AS station, (user_id % 3) AS block, 1.0::DOUBLE AS ams FROM events GROUP BY ALL),
-s AS (SELECT station, list((block, ams) ORDER BY block) AS sig FROM e GROUP BY 1), f AS (SELECT sig, min(station) AS kept, count(*) n FROM s GROUP BY 1)
+_SERIES = """ams AS (SELECT user_id AS station, strftime(ts, '%Y-%m-%d') AS block, max(value) AS ams FROM events WHERE value > 0 GROUP BY ALL)"""
+
+
+@query(f"""WITH {_SERIES}, e AS (SELECT * FROM ams UNION ALL SELECT station + 1000000, block, ams FROM ams WHERE ams < 50 OR station % 2 = 0),
+s AS (SELECT station, list((block, round(ams, 6)) ORDER BY block) AS sig FROM e GROUP BY 1), f AS (SELECT sig, min(station) AS kept, count(*) n FROM s GROUP BY 1)
 SELECT station, kept FROM s JOIN f USING (sig) WHERE n > 1 AND station <> kept""")
 def dup_series_signature(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 30).alias("station"), (F.col("user_id") % 3).alias("block"), F.lit(1.0).alias("ams")).distinct()
-    return maxima.identical_series(e)
+    """All users' daily maxima beside copies under new ids, some of which lack days."""
+    ams = maxima.block_maxima(table(spark, sf_dir, "events"), "user_id", F.date_format("ts", "yyyy-MM-dd"), "value")
+    copies = ams.where("ams < 50 or station % 2 = 0").withColumn("station", F.col("station") + 1_000_000)
+    return maxima.identical_series(ams.unionByName(copies))
 
 
 @query("SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_name) > 1 THEN p_name || '__row' || p_partkey ELSE p_name END AS unique_name FROM part")
@@ -237,6 +242,55 @@ def design_flood(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
+@query(f"WITH {MEMBERS} SELECT station, region, round(t, 6) AS t FROM m WHERE t <= 0.12")
+def lcv_cap(spark, sf_dir):
+    return rounded(selection.capped(nation_members(spark, sf_dir), "t", 0.12).select("station", "region", "t"))
+
+
+@query(f"""WITH {AMS}, q AS (SELECT station, count(DISTINCT block) AS years_used, round(max(ams), 4) AS max_annual_max FROM ams GROUP BY 1 HAVING station % 3 > 0)
+SELECT s_suppkey AS station, CASE WHEN s_acctbal < 0 THEN 'in debt' ELSE 'kept' END AS status, years_used, max_annual_max FROM supplier LEFT JOIN q ON station = s_suppkey""")
+def status_quality_join(spark, sf_dir):
+    """Every station's status with the quality of its series, where one was found."""
+    q = maxima.quality(monthly_maxima(spark, sf_dir)).where("station % 3 > 0").select("station", "years_used", F.round("max_annual_max", 4).alias("max_annual_max"))
+    status = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("station"), F.when(F.col("s_acctbal") < 0, "in debt").otherwise("kept").alias("status"))
+    return selection.status_with_quality(status, q, "station").select("station", "status", "years_used", "max_annual_max")
+
+
+@query("""SELECT c_custkey AS o_custkey, o_totalprice FROM customer LEFT JOIN (SELECT o_custkey, arg_min(o_totalprice, (o_orderdate, o_orderkey)) AS o_totalprice FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
+def first_kept_lookup(spark, sf_dir):
+    """Each customer's first order, null where there is none."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    return selection.looked_up(c, table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", [F.col("o_orderdate"), F.col("o_orderkey")])
+
+
+@query("""SELECT o_custkey, arg_min(o_orderstatus, (o_orderdate, o_orderkey)) AS o_orderstatus, arg_min(o_orderpriority, (o_orderdate, o_orderkey)) AS o_orderpriority,
+count(*) AS rows, round(sum(o_totalprice), 2) AS sum_o_totalprice FROM orders GROUP BY 1""")
+def group_first_summary(spark, sf_dir):
+    g = selection.group_summary(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderstatus", "o_orderpriority"], [F.col("o_orderdate"), F.col("o_orderkey")], ["o_totalprice"])
+    return g.withColumn("sum_o_totalprice", F.round("sum_o_totalprice", 2))
+
+
+@query("""WITH p AS (SELECT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_discount > 0.09 AND l_tax > 0.07) SELECT DISTINCT station FROM (SELECT a AS station FROM p UNION ALL SELECT b FROM p)""")
+def bad_stations(spark, sf_dir):
+    """All that stand on either side of a marked pair."""
+    pairs = table(spark, sf_dir, "lineitem").where("l_discount > 0.09 and l_tax > 0.07")
+    return selection.in_pairs(pairs, "l_suppkey", "l_partkey")
+
+
+@query()
+def seeded_sample(spark, sf_dir):
+    return selection.sampled(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey", 15)
+
+
+@query("""WITH e AS (SELECT user_id, CASE WHEN event_id % 7 = 0 THEN 'no time' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS w, value FROM events)
+SELECT user_id AS station, year(try_strptime(w, '%Y-%m-%dT%H:%M:%S'))::INT AS block, round(max(value), 6) AS ams FROM e WHERE try_strptime(w, '%Y-%m-%dT%H:%M:%S') IS NOT NULL AND value IS NOT NULL AND year(try_strptime(w, '%Y-%m-%dT%H:%M:%S')) > 1900 GROUP BY ALL""")
+def parsed_time_maxima(spark, sf_dir):
+    """A series at any step with its times as text, some of them bad."""
+    e = table(spark, sf_dir, "events")
+    when = F.when(F.col("event_id") % 7 == 0, "no time").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    return rounded(maxima.annual_maxima(e.select("user_id", when.alias("w"), "value"), "user_id", "w", "value"))
+
+
 _ERR = "e AS (SELECT l_linenumber AS period, 100*(l_discount - l_tax)/l_tax AS err FROM lineitem WHERE l_tax <> 0)"
 
 
