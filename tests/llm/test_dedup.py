@@ -149,7 +149,7 @@ def test_near_stage_takes_five_words(spark, monkeypatch):
     nodes = shingle_join.shingle_nodes(docs, "doc_id", "text")
     node = {d._id: d.node for d in nodes.select("_id", "node").collect()}
     for block in (3, 1024):
-        monkeypatch.setattr(shingle_join, "BLOCK", block)  # with 3, long lists are passed on row by row
+        monkeypatch.setattr(shingle_join, "LONG", block)  # with 3, long lists are passed on row by row
         groups = shingle_join.candidates(nodes, shingle_join.shared_prefixes(docs, "text"), block)
         links = shingle_join.links(docs, nodes, groups, "text", block)
         label = {d.node: d.label for d in simhash.components(links).collect()}
@@ -193,6 +193,15 @@ def test_parts_of_long_texts(monkeypatch):
         assert [(simhash.fingerprint(t), shingle_join.shingle_set(list(simhash.shingle_hashes(t, 5))).tolist()) for t in texts] == whole
 
 
+def test_partners_by_brute_force():
+    r = random.Random(6)
+    for n in (1, 2, 3, 30, 700):
+        pairs = [(size, r.randrange(max(1, size // 3))) for size in (r.choice((5, 50, 52, 200)) for _ in range(n))]
+        got = shingle_join.partners(np.array([s << 32 | p for s, p in pairs], np.int64))
+        for i, (s, p) in enumerate(pairs):
+            assert got[i] == any(9 * (min(p, q) + min(s - p, t - q)) >= 4 * (s + t) for j, (t, q) in enumerate(pairs) if j != i)
+
+
 def test_sketches_lose_no_near_pair():
     r = np.random.default_rng(7)
     sets = [np.unique(r.integers(-(2**63), 2**63 - 1, int(n))) for n in (0, 1, 3, 20, 21, 90, 400, 3000, 70_000)]

@@ -76,12 +76,13 @@ def text_digest(name: str = "text") -> Column:
 
 def without(docs: DataFrame, gone: DataFrame, twice: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id and text together are not in ``gone``; of those in
-    ``twice`` one row each.  Both are small stored tables of ids and SHA-256 digests of
-    texts; a null id is a value like any other."""
+    ``twice`` one row each.  Both are stored tables of ids and SHA-256 digests of texts; a
+    null id is a value like any other.  They grow with ``docs``, so they are joined by
+    sorting, never broadcast."""
     name, digest = free_name(docs, "_dropped"), free_name(docs, "_digest")
 
     def in_(table: DataFrame, how: str, rows: DataFrame) -> DataFrame:
-        table = table.toDF(name, digest)
+        table = table.toDF(name, digest).hint("merge")
         return rows.join(table, (text_digest(text_col) == table[digest]) & rows[id_col].eqNullSafe(table[name]), how)
 
     kept = in_(gone, "left_anti", docs)
