@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, mincut_html, nnls_packing, ppm, simhash, simple8b, suffix_pieces, token_cache, transport_stream, weak_quality
+from . import chunk_dedup, mincut_html, nnls_packing, ppm, simhash, simple8b, source_mixing, suffix_pieces, token_cache, transport_stream, turn_repair, weak_quality, whitening
 from .common import fresh_path
 
 
@@ -77,6 +77,18 @@ def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nnls_packing.pack(_table(spark, sf_dir, "documents"), _path("word_bpe_49k.json"))
 
 
+def op11_welford_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.taken(_table(spark, sf_dir, "documents"))
+
+
+def op13_cost_layer_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.damaged_and_repaired(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -90,6 +102,9 @@ QUERIES = {
         op8_ppm_language,
         op9_weak_label_quality,
         op10_nnls_packing,
+        op11_welford_whitening,
+        op12_fair_queue_mix,
+        op13_cost_layer_repair,
     )
 }
 
@@ -99,4 +114,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(text) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY text)""",
+    "op12_fair_queue_mix": source_mixing.reference_sql(),
 }
