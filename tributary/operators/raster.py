@@ -13,28 +13,35 @@ from tributary.functions.lineage import cut
 D8 = {1: (0, 1), 2: (1, 1), 4: (1, 0), 8: (1, -1), 16: (0, -1), 32: (-1, -1), 64: (-1, 0), 128: (-1, 1)}
 
 
-def downstream(cells: DataFrame) -> DataFrame:
-    """(row, col, to_row, to_col) of cells with a flow code ``fdir``."""
+def downstream(cells: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """(key, row, col, to_row, to_col) of cells with a flow code ``fdir``."""
     step = lambda k: F.coalesce(*(F.when(F.col("fdir") == code, d[k]) for code, d in D8.items()))
-    return cells.where(F.col("fdir").isin(*D8)).select("row", "col", (F.col("row") + step(0)).alias("to_row"), (F.col("col") + step(1)).alias("to_col"))
+    return cells.where(F.col("fdir").isin(*D8)).select(*(key or []), "row", "col", (F.col("row") + step(0)).alias("to_row"), (F.col("col") + step(1)).alias("to_col"))
+
+
+def catchments(cells: DataFrame, outlets: DataFrame, key: list[str]) -> DataFrame:
+    """(key, row, col): the cells of each key's grid that drain to the key's outlet, of which
+    ``outlets`` has one.  Every cell points to the next one downstream, the outlet to itself;
+    each round a cell takes over where its target points, so a river of n cells needs about
+    log2 n rounds.  Cells that flow off the grid or in circles drop out."""
+    at = outlets.select(*key, "row", "col").distinct()
+    at = at.join(cells.select(*key, "row", "col"), [*key, "row", "col"], "left_semi")
+    points = downstream(cells, key).dropDuplicates([*key, "row", "col"]).join(at, [*key, "row", "col"], "left_anti").withColumn("there", F.lit(False))
+    points = points.join(at.select(*key), key, "left_semi") if key else points
+    state = cut(points.unionByName(at.select("*", F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.lit(True).alias("there"))))
+    reached = state.where("there").count()
+    while True:
+        onward = state.select(*key, F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("to_row").alias("next_row"), F.col("to_col").alias("next_col"), F.col("there").alias("arrives"))
+        state = cut(state.join(onward, [*key, "to_row", "to_col"]).select(*key, "row", "col", F.col("next_row").alias("to_row"), F.col("next_col").alias("to_col"), F.col("arrives").alias("there")))
+        before, reached = reached, state.where("there").count()
+        if reached == before:
+            return state.where("there").select(*key, "row", "col")
 
 
 def catchment(cells: DataFrame, row: int, col: int) -> DataFrame:
-    """Cells that drain to an outlet.  Every cell points to the next one downstream, the
-    outlet to itself; each round a cell takes over where its target points, so a river of n
-    cells needs about log2 n rounds.  Cells that flow off the grid or in circles drop out."""
-    outlet = (F.col("row") == row) & (F.col("col") == col)
-    here = cells.select("row", "col").distinct()
-    points = downstream(cells).dropDuplicates(["row", "col"]).where(~outlet).unionByName(here.where(outlet).select("row", "col", F.col("row").alias("to_row"), F.col("col").alias("to_col")))
-    points = cut(points)
-    while True:
-        onward = points.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("to_row").alias("next_row"), F.col("to_col").alias("next_col"))
-        far = cut(points.join(onward, ["to_row", "to_col"]).select("row", "col", F.col("next_row").alias("to_row"), F.col("next_col").alias("to_col"), ((F.col("to_row") != F.col("next_row")) | (F.col("to_col") != F.col("next_col"))).alias("moved")))
-        points = far.drop("moved")
-        at_outlet = (F.col("to_row") == row) & (F.col("to_col") == col)
-        new = points.where(at_outlet).count()
-        if far.where("moved").isEmpty() or new == far.where(at_outlet & ~F.col("moved")).count():
-            return points.where(at_outlet).select("row", "col")
+    """Cells that drain to one outlet."""
+    outlet = cells.sparkSession.range(1).select(F.lit(row).alias("row"), F.lit(col).alias("col"), F.lit(0).alias("_grid"))
+    return catchments(cells.withColumn("_grid", F.lit(0)), outlet, ["_grid"]).drop("_grid")
 
 
 def snap_outlet(cells: DataFrame, row: float, col: float, reach: float, thresholds: list[int]) -> DataFrame:
@@ -122,26 +129,27 @@ def flow_directions(cells: DataFrame, key: list[str] | None = None) -> DataFrame
     return cells.drop("fdir").join(best, [*k, "row", "col"], "left").withColumn("fdir", F.coalesce(-F.col("b.code"), F.lit(0))).drop("b")
 
 
-def accumulation(cells: DataFrame) -> DataFrame:
-    """(row, col, acc): how many cells drain through each, itself included.
+def accumulation(cells: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """(key, row, col, acc): how many cells drain through each, itself included.
 
     Cells hand on what has reached them and then point twice as far, so a river of n cells
     needs about log2 n rounds.  Flows must not run in circles.
     """
-    here = cells.select("row", "col").distinct()
-    state = here.join(downstream(cells).dropDuplicates(["row", "col"]), ["row", "col"], "left")
-    inside = here.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.lit(True).alias("inside"))
-    state = state.join(inside, ["to_row", "to_col"], "left")
-    state = cut(state.select("row", "col", *(F.when(F.col("inside"), F.col(c)).alias(c) for c in ("to_row", "to_col")), F.lit(1).cast("long").alias("acc")))
+    k = key or []
+    here = cells.select(*k, "row", "col").distinct()
+    state = here.join(downstream(cells, k).dropDuplicates([*k, "row", "col"]), [*k, "row", "col"], "left")
+    inside = here.select(*k, F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.lit(True).alias("inside"))
+    state = state.join(inside, [*k, "to_row", "to_col"], "left")
+    state = cut(state.select(*k, "row", "col", *(F.when(F.col("inside"), F.col(c)).alias(c) for c in ("to_row", "to_col")), F.lit(1).cast("long").alias("acc")))
     rounds = state.count().bit_length() + 1
     while not state.where("to_row is not null").isEmpty():
         if (rounds := rounds - 1) < 0:
             raise ValueError("cells flow in circles")
-        got = state.where("to_row is not null").groupBy(F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.sum("acc").alias("more"))
-        onward = state.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("to_row").alias("next_row"), F.col("to_col").alias("next_col"))
-        moved = state.join(onward, ["to_row", "to_col"], "left").select("row", "col", F.col("next_row").alias("to_row"), F.col("next_col").alias("to_col"), "acc")
-        state = cut(moved.join(got, ["row", "col"], "left").select("row", "col", "to_row", "to_col", (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc")))
-    return state.select("row", "col", "acc")
+        got = state.where("to_row is not null").groupBy(*k, F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.sum("acc").alias("more"))
+        onward = state.select(*k, F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("to_row").alias("next_row"), F.col("to_col").alias("next_col"))
+        moved = state.join(onward, [*k, "to_row", "to_col"], "left").select(*k, "row", "col", F.col("next_row").alias("to_row"), F.col("next_col").alias("to_col"), "acc")
+        state = cut(moved.join(got, [*k, "row", "col"], "left").select(*k, "row", "col", "to_row", "to_col", (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc")))
+    return state.select(*k, "row", "col", "acc")
 
 
 def hillshade(cells: DataFrame, key: str, azimuth: float = 315.0, altitude: float = 45.0) -> DataFrame:

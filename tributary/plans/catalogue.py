@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tributary.plans import files, numeric, regional  # noqa: F401  register more
+    from tributary.plans import files, numeric, regional, terrain  # noqa: F401  register more
 
     return dict(QUERIES)
 
