@@ -8,7 +8,7 @@ import pytest
 from tests.core.test_terrain import D8, plain
 from tributary.operators import delineation
 
-RULES = delineation.Rules(degrees=0.01, window=0.04, window_step=0.03, window_most=0.13, radius=0.04, radius_least=0.01, least_area=6.0, streams=(25, 8))
+RULES = delineation.Rules(degrees=0.01, window=0.05, window_step=0.05, window_most=0.10, radius=0.04, radius_least=0.01, least_area=6.0, streams=(25, 8))
 
 
 def one_after_another(z, outlets, rules):
@@ -69,7 +69,7 @@ def hills(seed, rows, cols):
     return {(i, j): float(np.round(z[i, j])) for i in range(rows) for j in range(cols)}
 
 
-@pytest.mark.parametrize("seed", [10])
+@pytest.mark.parametrize("seed", [1])
 def test_equals_one_after_another(spark, seed):
     rng = np.random.default_rng(seed)
     z = hills(seed, 40, 40)

@@ -120,6 +120,16 @@ def centroids(outlines: DataFrame, key: list[str]) -> DataFrame:
     return parts.groupBy(*key).agg(*((F.sum(f"_{c}") / (6 * F.sum("area"))).alias(c) for c in ("row", "col")))
 
 
+def as_parts(outlines: DataFrame, key: list[str], west: float, north: float, degrees: float) -> DataFrame:
+    """(key, cells, parts): closed rings of (x, y) of each key, outer ones clockwise, each with
+    its holes, which go the other way, after it."""
+    point = lambda p: F.struct((F.lit(west) + p["col"] * degrees).alias("x"), (F.lit(north) - p["row"] * degrees).alias("y"))
+    closed = F.transform(F.concat("corners", F.slice("corners", 1, 1)), point)
+    ordered = F.struct(F.coalesce("holder", "ring").alias("of"), "hole", "ring", closed.alias("points"))
+    t = outlines.groupBy(*key).agg(F.sum("area").alias("cells"), F.array_sort(F.collect_list(ordered)).alias("r"))
+    return t.select(*key, "cells", F.transform("r", lambda r: r["points"]).alias("parts"))
+
+
 def as_wkt(outlines: DataFrame, key: list[str], west: float, north: float, degrees: float) -> DataFrame:
     """(key, wkt): a multipolygon of each key, its holes in the rings that hold them."""
     num = lambda c: F.round(c.cast("double"), 10).cast("string")

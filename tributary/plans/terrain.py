@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tributary.functions.lineage import fresh_path
 from tributary.operators import delineation, outlines, terrain
 from tributary.plans.catalogue import query
 from tributary.plans.standins import rounded, table
+from tributary.sources import geotiff, shapefile
 
 FIELD = "cells AS (SELECT (p_partkey // 64)::INT AS row, (p_partkey % 64)::INT AS col, p_size::DOUBLE AS z FROM part)"
 _WAYS = "ways AS (SELECT * FROM (VALUES (1,0,1),(2,1,1),(4,1,0),(8,1,-1),(16,0,-1),(32,-1,-1),(64,-1,0),(128,-1,1)) v(code, dr, dc))"
@@ -64,3 +66,37 @@ def delineated_outlets(spark, sf_dir):
     at = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("outlet"), F.expr("int(s_suppkey * 5 div 16)").alias("row"), F.expr("int(s_suppkey * 29 % 64)").alias("col"))
     rules = delineation.Rules(degrees=0.01, window=0.06, window_step=0.04, window_most=0.10, radius=0.02, radius_least=0.01, least_area=6.0, streams=(40, 12, 4))
     return delineation.delineated(field(spark, sf_dir), at, rules)[0]
+
+
+@query(f"WITH {FIELD} SELECT (row // 16)::INT AS basin, count(*) AS cells, round(count(*) * 0.25, 6) AS area FROM cells WHERE z > 15 GROUP BY ALL")
+def shapefile_outlines(spark, sf_dir):
+    """Outlines written as polygons and read again; their area is that of the cells."""
+    cells = field(spark, sf_dir).where("z > 15").select(F.expr("int(row div 16)").alias("basin"), "row", "col")
+    rings = outlines.rings(cells, ["basin"])
+    path = fresh_path(spark, "shapes")
+    shapefile.write_shapes(outlines.as_parts(rings, ["basin"], 70.0, 20.0, 0.5).withColumn("shape", F.lit("polygon")), path)
+    read = shapefile.read_shapes(spark, path)
+    ring = lambda p: F.aggregate(F.sequence(F.lit(1), F.size(p) - 1), F.lit(0.0), lambda s, i: s + p[i - 1]["y"] * p[i]["x"] - p[i]["y"] * p[i - 1]["x"]) / 2
+    area = F.aggregate(F.transform("parts", ring), F.lit(0.0), lambda s, x: s + x)
+    return rounded(read.select(F.col("basin").cast("int").alias("basin"), "cells", area.alias("area")))
+
+
+@query("SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, (c_custkey % 360) - 180.0::DOUBLE AS x, (c_custkey % 180) / 2.0::DOUBLE AS y FROM customer WHERE (c_custkey % 360) - 180 >= -90 AND c_custkey % 180 < 100")
+def shapefile_points(spark, sf_dir):
+    """Customers as points with their columns; what lies outside a box is not decoded."""
+    c = table(spark, sf_dir, "customer").withColumns({"x": F.col("c_custkey") % 360 - 180.0, "y": (F.col("c_custkey") % 180) / 2.0})
+    parts = F.array(F.array(F.struct("x", "y"))).alias("parts")
+    path = fresh_path(spark, "points")
+    shapefile.write_shapes(c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.lit("point").alias("shape"), parts), path)
+    read = shapefile.read_shapes(spark, path).where("xmin >= -90.0 and ymax < 50.0")
+    return read.select("id", "name", "balance", F.col("xmin").alias("x"), F.col("ymin").alias("y"))
+
+
+@query(f"WITH {FIELD} SELECT row, col, z FROM cells WHERE row BETWEEN 3 AND 20 AND col BETWEEN 10 AND 40")
+def raster_window(spark, sf_dir):
+    """Heights written as tiles, of which a window is read by the blocks that it touches."""
+    path = fresh_path(spark, "raster")
+    geotiff.write_raster(field(spark, sf_dir), path, 70.0, 20.0, 0.01, side=32)
+    read = geotiff.read_raster(spark, path, (70.10, 19.79, 70.41, 19.97))
+    place = lambda c, f: F.round((F.col(c) - f) / 0.01 - 0.5).cast("int")
+    return read.select((-F.round((F.col("y") - 20.0) / 0.01 + 0.5)).cast("int").alias("row"), place("x", 70.0).alias("col"), "z")
