@@ -88,6 +88,39 @@ def test_workbooks(spark, tmp_path):
     assert [(r.block, r.ams) for r in maxima.annual_maxima(series, "path", "time", "value").collect()] == [(2001, 4.5)]
 
 
+def test_scratch_of_threads(spark):
+    """A scratch that ends deletes its own tables only, while another is at work."""
+    import threading
+
+    meet, found = threading.Barrier(2), {}
+
+    def work(name):
+        with lineage.scratch(spark) as outliving:
+            lineage.stored(spark.range(5), name)
+            with lineage.scratch(spark) as inner:
+                b = inner(spark.range(3), name)
+            assert b.count() == 3
+            meet.wait()
+            found["kept"] = outliving(spark.range(7), name)
+        meet.wait()
+
+    def second():
+        with lineage.scratch(spark):
+            a = lineage.stored(spark.range(5), "second")
+            meet.wait()  # the first has tables
+            meet.wait()  # the first has ended
+            found["second"] = a.count()
+
+    n = lineage.left()
+    threads = [threading.Thread(target=work, args=("first",)), threading.Thread(target=second)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert found["second"] == 5 and found["kept"].count() == 7 and lineage.left() == n + 1
+    lineage.clear(spark, n)
+
+
 def test_shared_folder(spark, monkeypatch):
     n = lineage.left()
     with lineage.scratch(spark) as outliving:

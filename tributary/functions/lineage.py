@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders that this process wrote and has not deleted, oldest first.
 _WRITTEN: list[str] = []
+#: Those of the innermost ``scratch`` that this thread is in.
+_INSIDE: ContextVar[list[str] | None] = ContextVar("inside", default=None)
+_LOCK = threading.Lock()
+#: Writes that want shuffles deleted, and the setting as it was before the first of them.
+_CLEANING: list[str | None] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -30,7 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/tributary-{label}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    with _LOCK:
+        _WRITTEN.append(path)
+    if (inside := _INSIDE.get()) is not None:
+        inside.append(path)
     return path
 
 
@@ -45,40 +55,60 @@ def stored(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     executor costs no recomputation, and forgets the partitioning so that adaptive
     execution may split skewed partitions of a later join.  What the write shuffled is
     deleted with its end."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    return _stored(df, fresh_path(df.sparkSession, label), compression)
+
+
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """The setting holds from the first of several writes at a time to the last."""
+    with _LOCK:
+        _CLEANING.append(_CLEANING[0] if _CLEANING else spark.conf.get(_CLEANUP, None))
+        spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", compression).parquet(path)
+        yield
     finally:
-        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
+        with _LOCK:
+            before = _CLEANING.pop()
+            if not _CLEANING:
+                spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+
+
+def _stored(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
+    with _cleaning(df.sparkSession):
+        df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _delete(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        if path in _WRITTEN:
-            _WRITTEN.remove(path)
+        with _LOCK:
+            if path in _WRITTEN:
+                _WRITTEN.remove(path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
-    """Deletes the tables that were written inside, at its end.  What it gives stores a table
-    as ``stored`` does, but for longer."""
-    begin, kept = len(_WRITTEN), []
+    """Deletes the tables that were written inside, at its end: those of this thread, so that
+    several can be at work.  What it gives stores a table as ``stored`` does, but for longer:
+    until the scratch around this one ends, if there is one."""
+    mine: list[str] = []
+    token = _INSIDE.set(mine)
+    around = token.old_value if token.old_value is not token.MISSING else None
 
     def outliving(df: DataFrame, label: str) -> DataFrame:
-        out = stored(df, label)
-        kept.append(_WRITTEN[-1])
-        return out
+        path = fresh_path(spark, label)
+        mine.remove(path)
+        if around is not None:
+            around.append(path)
+        return _stored(df, path)
 
     try:
         yield outliving
     finally:
-        _delete(spark, [p for p in _WRITTEN[begin:] if p not in kept])
+        _INSIDE.reset(token)
+        _delete(spark, mine)
 
 
 def clear(spark: SparkSession, since: int = 0) -> None:
