@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tributary.functions.lineage import clear, fresh_path, left, scratch, stored
 
-__all__ = ["clear", "fresh_path", "free_name", "left", "ragged", "row_id", "scratch", "slices", "stored", "text_digest", "utf8_list", "whole_text", "without"]
+__all__ = ["clear", "fresh_path", "free_name", "heavy", "left", "nothing_heavy", "ragged", "row_id", "scratch", "slices", "stored", "text_digest", "utf8_list", "whole_text", "without"]
 
 #: What an operator works on at a time, at most: rows, and bytes unless one row has more.
 #: Spark cuts the batches that arrive at 64 MB or one row, whatever their rows.
@@ -39,6 +39,24 @@ def part_sizes(texts: pa.Array, rows: int = SLICE_ROWS, size: int = SLICE_BYTES)
         at = until
 
 
+#: The one large object of this Python worker, by what it is.
+_HEAVY: dict = {}
+
+
+def heavy(key, make):
+    """What ``make`` gives, kept for later tasks of this worker until one asks for another
+    thing: a worker that goes through the stages of a pipeline holds one stage's at a time."""
+    if key not in _HEAVY:
+        _HEAVY.clear()
+        _HEAVY[key] = make()
+    return _HEAVY[key]
+
+
+def nothing_heavy() -> None:
+    """For tasks that need none."""
+    _HEAVY.clear()
+
+
 def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, part_sizes, slices, utf8_list
+from .common import free_name, nothing_heavy, part_sizes, slices, utf8_list
 
 #: Longest context; at most 6, so that a context and its byte fit into 64 bits.
 ORDER = 3
@@ -244,6 +244,7 @@ def identify(spark, model: Model, text: Column) -> Column:
         import regex
 
         letter = regex.compile(r"\p{L}")
+        nothing_heavy()
         scorer = scorer_of(shared.value) if shared.value.langs else None
         for whole in batches:
             rows, at = [], 0

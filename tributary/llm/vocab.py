@@ -13,11 +13,10 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 
-from .common import ragged
+from .common import heavy, ragged
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -161,7 +160,6 @@ class MemoTokenizer:
         return [len(whole[i]) if x is None else int(self.long[x].sum()) for i, x in enumerate(found)]
 
 
-@lru_cache(maxsize=4)
 def tokenizer(path: str, capacity: int = 400_000) -> MemoTokenizer:
-    """One for each Python worker and file."""
-    return MemoTokenizer(path, capacity)
+    """One for each Python worker and file, until the worker goes on to another stage."""
+    return heavy((path, capacity), lambda: MemoTokenizer(path, capacity))

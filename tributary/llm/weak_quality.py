@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import part_sizes, slices, utf8_list
+from .common import nothing_heavy, part_sizes, slices, utf8_list
 
 #: Expected texts that the scorer is fitted on, at most.
 TRAIN_DOCS = 6_000
@@ -225,6 +225,7 @@ class Model:
 def patterns(docs: DataFrame, text_col: str = "text") -> Column:
     @F.arrow_udf("int")
     def vote(texts: pa.Array) -> pa.Array:
+        nothing_heavy()
         out, at = [], 0
         for n in part_sizes(texts):
             out += [pattern(t) for t in utf8_list(texts.slice(at, n))]
@@ -269,6 +270,7 @@ def quality(spark, model: Model, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        nothing_heavy()
         features, w = Features(), shared.value
         for texts in batches:
             out, at = [], 0
