@@ -158,7 +158,8 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2,
             before += len(flat)
 
     rows = docs.select(row_id(docs, id_col).alias("_id"), whole_text(text_col).alias("_text"))
-    rows = rows.repartitionByRange("_id").sortWithinPartitions("_id", F.xxhash64("_text"), F.sha2("_text", 256))
+    # Rows that share an id, or have none, are dealt out by their text.
+    rows = rows.withColumn("_mark", F.xxhash64("_text")).repartitionByRange("_id", "_mark").sortWithinPartitions("_id", "_mark", "_text")
     rows.select("_id", "_text").mapInArrow(build, SEGMENTS).write.option("compression", "zstd").parquet(path)
 
 
