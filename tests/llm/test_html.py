@@ -74,6 +74,67 @@ def test_small_pages(html, text):
     assert m.main_text(html) == text
 
 
+MENU = "<nav><ul><li><a href=a>Start</a></li><li><a href=b>Contact</a></li></ul></nav>"
+FOOT = "<footer><p>All rights reserved, of course, to all of us here.</p></footer>"
+TWENTY = "This is the one paragraph of the page, and it has about twenty words, which is not many at all."
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<nav>Start Contact</nav><div><p>{TWENTY}</p></div>", TWENTY),
+        (f"{MENU}<div><h1>Bridge closed</h1><p>The old bridge is closed.</p><p>It opens in May.</p></div>{FOOT}", "Bridge closed\nThe old bridge is closed.\nIt opens in May."),
+        (f"{MENU}<div><h2>Things to bring</h2><ul><li>Boots</li><li>A map</li><li>Water</li></ul></div>{FOOT}", "Things to bring\nBoots\nA map\nWater"),
+        (f"{MENU}<div><h2>Heights</h2><table><tr><th>Name</th><th>Metres</th></tr><tr><td>Anai</td><td>2695</td></tr></table></div>{FOOT}", "Heights\nName Metres\nAnai 2695"),
+        (f"{MENU}<main><p>{TWENTY}</p><article class='comment'><p>{TWENTY * 3} I say.</p></article></main>", TWENTY),
+        (f"{MENU}<div><p>{TWENTY}</p><p>{TWENTY} Again.</p><p>{TWENTY} And again.</p></div><form><h1>Subscribe</h1><p>Leave your address here and we will write to you.</p></form>", f"{TWENTY}\n{TWENTY} Again.\n{TWENTY} And again."),
+        (f"<form id=aspnetForm>{MENU}<h1>A title</h1><p>{TWENTY}</p></form>", f"A title\n{TWENTY}"),
+        ("<p>Hi.", "Hi."),
+        ("<div>Hello</div>", "Hello"),
+        (MENU, ""),
+    ],
+)
+def test_pages_without_article_elements(html, text):
+    assert m.main_text(html) == text
+
+
+def test_rewritten_pages():
+    """The table's pages with their article elements made plain: none is empty, and blocks
+    agree with what the elements said."""
+    import duckdb
+
+    pages = duckdb.sql("select html from '/root/testdata/sf0.1/pages.parquet' where page_id % 8 = 1").fetchall()
+    assert len(pages) > 300
+    blocks = agree = whole = 0
+    for (html,) in pages:
+        page = m.parsed(html)
+        inside = []
+        for e in page.elements:
+            inside.append(e.tag == "article" or e.around >= 0 and inside[e.around])
+        truth = [(b.text, inside[b.around]) for b in page.blocks]
+        plain = html.replace("<article", "<div").replace("</article", "</div").replace("<main", "<div").replace("</main", "</div")
+        found, keep = m.labelled(plain)
+        assert any(keep) and [b.text for b in found] == [t for t, _ in truth]
+        same = [k == t for k, (_, t) in zip(keep, truth)]
+        blocks, agree, whole = blocks + len(same), agree + sum(same), whole + all(same)
+    assert agree > 0.99 * blocks and whole > 0.95 * len(pages)
+
+
+def test_long_and_deep_pages_in_time():
+    import time
+
+    begin = time.monotonic()
+    mixed = "".join(f"<p>{TWENTY if i % 2 else 'Short one'}</p><div>Read <a href=x>more of it</a></div>" for i in range(21_000))
+    assert len(mixed) > 2_000_000
+    m.main_text(f"<body>{MENU}<div>{mixed}</div>{FOOT}</body>")
+    long_page = time.monotonic()
+    m.main_text("<div>" * 20_000 + f"<p>{TWENTY}</p>" + "</section>" * 20_000)
+    deep = time.monotonic()
+    m.main_text("".join(f"<section class=comments><p>{TWENTY}</p><article><h1>x</h1>" for _ in range(4_000)))
+    boxed = time.monotonic()
+    assert long_page - begin < 15 and deep - long_page < 5 and boxed - deep < 10  # of seconds, on a busy machine
+
+
 def test_the_flow_decides(monkeypatch):
     """On the table's pages the maximum flow runs, and what it changes is right: all of the
     article and nothing else."""

@@ -6,6 +6,10 @@ either label, which becomes its capacity to one terminal.  Smoothness edges tie
 follow each other, and each block and element to the element around it.  The maximum flow
 separates content from boilerplate at the least total cost: a short line inside an article is
 content though its own words don't say so, and long prose in a sidebar is not.
+
+The border of an element that says it is no content ties nothing, so text beside a menu is
+not drawn to it.  A page on which nothing leans far enough to content is cut again with all
+that lies outside such elements leaning further: its text is not lost for being short.
 """
 
 from __future__ import annotations
@@ -43,6 +47,8 @@ HINTS = {
     "sponsored", "subscribe", "toolbar", "topbar", "widget",
 }
 GOOD_HINTS = {"article", "content", "entry", "main", "post", "story"}
+#: Hints that hold for an article too, which is a reader's then.
+READERS = {"comment", "comments", "disqus", "replies", "reply", "respond"}
 #: Words that say nothing by themselves beside a hint.
 PLAIN_WORDS = {
     "area", "bar", "block", "bottom", "box", "buttons", "container", "group", "holder", "inner", "item", "items", "left", "links", "list", "outer", "page", "panel", "right", "row",
@@ -50,13 +56,17 @@ PLAIN_WORDS = {
 }
 
 # The classifier.  A block: what its text and own tag add to its leaning towards content.
-WEIGHTS = {"bias": -1.5, "words": 0.06, "most_words": 3.0, "sentence": 0.8, "paragraph": 0.8, "heading": 0.3, "links": -4.0}
+WEIGHTS = {"bias": -0.6, "words": 0.06, "most_words": 3.0, "sentence": 0.8, "paragraph": 0.8, "heading": 0.3, "links": -4.0}
 # An element, for each block inside: a tag or role that says what it is, a name that does, a
 # name that has such a word among others.
 FRAMED, NAMED, SUGGESTED, MAINLY, GOOD_NAME = -6.0, -6.0, -1.5, 3.0, 1.0
 # Smoothness: blocks that follow each other; what is tied to the element around it.  For each
 # block that is tied, more: for main text to lose it, for what says boilerplate to hold content.
 NEXT, TIED, HELD, ENCLOSED = 0.5, 0.8, 6.0, 8.0
+#: What blocks outside marked elements gain, in turn, while a page has no content.
+GAINS = (1.0, 2.0, 4.0)
+#: Of all text, the share that a form with the page's title holds if it is the page's frame.
+WHOLE = 0.5
 
 _ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"?+|'[^']*+'?+|[^\s>"'][^\s>]*+|(?=>)|\Z))?+"""
 _TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+>?+|</(?![a-zA-Z])[^>]*+>?+|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ATTRIBUTE})*+)>?+|[^<]++|<", re.S)
@@ -85,7 +95,9 @@ class Element:
     boxed: bool = False
     main: bool = False
     quoted: bool = False
+    titled: bool = False
     blocks: int = 0
+    chars: int = 0
 
 
 @dataclass
@@ -94,18 +106,20 @@ class Page:
     elements: list[Element] = field(default_factory=list)
 
 
-def names_say(value: str) -> tuple[bool, bool, bool]:
-    """Of a class or id: whether a name says boilerplate, only suggests it, or says content."""
-    bad = maybe = good = False
+def names_say(value: str) -> tuple[bool, bool, bool, bool]:
+    """Of a class or id: whether a name says boilerplate, only suggests it, says content, or
+    says that readers wrote it."""
+    bad = maybe = good = readers = False
     for name in value.split():
         words = [w.lower() for w in _WORD.findall(name)]
         known = HINTS.intersection(words)
         if name.lower() in HINTS or known and all(w in HINTS or w in PLAIN_WORDS for w in words):
             bad = True
+            readers |= bool(READERS.intersection(words))
         elif known:
             maybe = True
         good |= bool(GOOD_HINTS.intersection(words))
-    return bad, maybe, good
+    return bad, maybe, good, readers
 
 
 def opened(tag: str, attributes: str, around: int, outer: Element, boxed: bool) -> Element:
@@ -116,19 +130,19 @@ def opened(tag: str, attributes: str, around: int, outer: Element, boxed: bool)
         for name, a, b, c in _NAMED.findall(attributes):
             found.setdefault(name.lower(), unescape(a or b or c))
     role = found.get("role", "").strip().lower()
-    bad = maybe = good = False
+    bad = maybe = good = readers = False
     if tag not in ("body", "html"):
         for key in ("class", "id"):
             if key in found:
-                x, y, z = names_say(found[key])
-                bad, maybe, good = bad or x, maybe or y, good or z
+                x, y, z, r = names_say(found[key])
+                bad, maybe, good, readers = bad or x, maybe or y, good or z, readers or r
     e.main |= role in MAIN
     if tag in MAIN or role in MAIN:
-        e.leaning += MAINLY * (not boxed)
+        e.leaning += MAINLY * (not boxed and not readers)
     elif good:
         e.leaning += GOOD_NAME
     framed = tag in FRAME and not (tag == "footer" and outer.quoted) or tag == "header" and not outer.main or role in ROLES and tag not in MAIN
-    if framed or bad and not (e.tag in MAIN and not outer.marked):
+    if framed or readers or bad and not (e.tag in MAIN and not outer.marked):
         e.leaning += FRAMED if framed else NAMED
         e.marked = True
     elif maybe:
@@ -140,6 +154,9 @@ def parsed(html: str) -> Page:
     """Blocks in page order, without what is never seen, and the elements around them."""
     page = Page(elements=[Element("", -1)])
     stack = [0]
+    boxes = [False]  # whether a marked element is on the stack so far
+    open_tags: dict[str, int] = {}
+    forms: list[int] = []  # places on the stack of forms without main text so far
     parts: list[str] = []
     linked = 0
     link = False
@@ -155,6 +172,13 @@ def parsed(html: str) -> Page:
         parts.clear()
         linked = 0
 
+    def close(k: int) -> None:
+        for i in stack[k:]:
+            open_tags[page.elements[i].tag] -= 1
+        del stack[k:], boxes[k:]
+        while forms and forms[-1] >= k:
+            forms.pop()
+
     at = 0
     while m := _TOKEN.match(html, at):
         at = m.end()
@@ -174,11 +198,11 @@ def parsed(html: str) -> Page:
                 if tag in ("body", "html"):
                     flush()
                     continue
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if open_tags.get(tag) or tag in ("p", "li") else ():
                     mine = page.elements[stack[k]].tag
                     if mine == tag:
                         flush()
-                        del stack[k:]
+                        close(k)
                         link = False
                         break
                     if tag in ("p", "li") and mine not in CLOSED_BY:
@@ -189,8 +213,8 @@ def parsed(html: str) -> Page:
                 parts.append(" ")
         elif tag in UNSEEN:
             if tag != "svg" or not m[3].endswith("/"):
-                close = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?+", re.I).search(html, at)
-                at = close.end() if close else len(html)
+                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?+", re.I).search(html, at)
+                at = end.end() if end else len(html)
         elif tag == "a":
             link = True
         elif tag in ("br", "td", "th"):
@@ -199,48 +223,82 @@ def parsed(html: str) -> Page:
             flush()
             link = False
             while len(stack) > 1 and tag in CLOSED_BY.get(page.elements[stack[-1]].tag, ()):
-                stack.pop()
+                close(len(stack) - 1)
             if tag in VOID:
                 continue
-            if tag in MAIN or tag == "h1":
-                _unframe(page, stack, tag)
-            page.elements.append(opened(tag, m[3], stack[-1], page.elements[stack[-1]], any(page.elements[k].marked for k in stack)))
+            if boxes[-1] and (tag in MAIN or tag == "h1"):
+                _unframe(page, stack, boxes, forms, tag)
+            page.elements.append(opened(tag, m[3], stack[-1], page.elements[stack[-1]], boxes[-1]))
             stack.append(len(page.elements) - 1)
+            boxes.append(boxes[-1] or page.elements[-1].marked)
+            open_tags[tag] = open_tags.get(tag, 0) + 1
+            if tag == "form":
+                forms.append(len(stack) - 1)
     flush()
+    _whole_forms(page)
     return page
 
 
-def _unframe(page: Page, stack: list[int], inside: str) -> None:
-    """A form around main text or its title frames the page, not a form; what holds the
-    page's main element is no part of its frame whatever its name suggests."""
-    for k in stack:
-        e = page.elements[k]
-        if e.tag == "form" or inside == "main" and e.marked and e.tag in ("div", "section"):
+def _unframe(page: Page, stack: list[int], boxes: list[bool], forms: list[int], inside: str) -> None:
+    """A form around main text frames the page, not a form; what holds the page's main
+    element is no part of its frame whatever its name suggests."""
+    if inside == "h1":
+        for k in reversed(forms):
+            if page.elements[stack[k]].titled:
+                break  # so are those around it
+            page.elements[stack[k]].titled = True
+        return
+    plain = forms[:]
+    forms.clear()
+    if inside == "main":
+        plain += [k for k, i in enumerate(stack) if page.elements[i].marked and page.elements[i].tag in ("div", "section")]
+    for k in plain:
+        page.elements[stack[k]].leaning, page.elements[stack[k]].marked = 0.0, False
+    for k in range(min(plain), len(stack)) if plain else ():
+        boxes[k] = page.elements[stack[k]].marked or k > 0 and boxes[k - 1]
+
+
+def _whole_forms(page: Page) -> None:
+    """A form with a title frames the page if it holds most of its text."""
+    if not any(e.titled for e in page.elements):
+        return
+    for b in page.blocks:
+        page.elements[b.around].chars += len(b.text)
+    for e in reversed(page.elements):
+        if e.around >= 0:
+            page.elements[e.around].chars += e.chars
+    for e in page.elements:
+        if e.titled and e.chars >= WHOLE * page.elements[0].chars:
             e.leaning, e.marked = 0.0, False
 
 
 def graph(page: Page) -> tuple[list[float], list[tuple[int, int, float]]]:
     """Leanings of blocks, then of elements, and arcs (i, j, cost): the cost where i is
     content and j is not.  An element that says nothing and holds one block is left out."""
-    n = len(page.blocks)
     elements = page.elements
     for b in page.blocks:
         elements[b.around].blocks += 1
-    for e in elements:  # an element comes after the one around it
+    box = list(range(len(elements)))  # the innermost marked element around, itself included
+    for k, e in enumerate(elements):  # an element comes after the one around it
         e.boxed = e.marked or e.around >= 0 and elements[e.around].boxed
+        if not e.marked:
+            box[k] = box[e.around] if e.around >= 0 else 0
     for e in reversed(elements):
         if e.around >= 0:
             elements[e.around].blocks += e.blocks
     number: list[int] = []
     leaning = [b.leaning for b in page.blocks]
     arcs: list[tuple[int, int, float]] = []
-    for i in range(1, n):
-        arcs += [(i - 1, i, NEXT), (i, i - 1, NEXT)]
+    for i in range(1, len(page.blocks)):
+        if box[page.blocks[i - 1].around] == box[page.blocks[i].around]:
+            arcs += [(i - 1, i, NEXT), (i, i - 1, NEXT)]
 
     def tie(inner: int, around: int, blocks: int, marked: bool) -> None:
         e, outer = elements[around], number[around]
-        arcs.append((outer, inner, HELD * blocks if e.main and not marked else TIED))
-        arcs.append((inner, outer, ENCLOSED * blocks if e.boxed else TIED))
+        if not marked:
+            arcs.append((outer, inner, HELD * blocks if e.main else TIED))
+        if e.boxed or not marked:
+            arcs.append((inner, outer, ENCLOSED * blocks if e.boxed else TIED))
 
     for e in elements:
         if e.around < 0 or e.blocks > 1 or e.blocks and (e.leaning or e.marked):
@@ -309,7 +367,7 @@ def _reached(room: dict[int, dict[int, float]], lean: list[float]) -> set[int]:
                     queue.append(v)
         if sink not in level:
             return set(level) - {source}
-        onward = {u: iter(list(room[u])) for u in level}
+        ways = {u: [v for v in room[u] if level.get(v) == level[u] + 1] for u in level}
         path = [source]
         while path:
             u = path[-1]
@@ -322,21 +380,34 @@ def _reached(room: dict[int, dict[int, float]], lean: list[float]) -> set[int]:
                     if cut is None and room[a][b] <= 1e-12:
                         cut = k
                 del path[cut + 1 :]
-                onward[path[-1]] = iter([v for v in room[path[-1]] if level.get(v) == level[path[-1]] + 1])
                 continue
-            for v in onward[u]:
-                if room[u][v] > 1e-12 and level.get(v) == level[u] + 1:
-                    path.append(v)
-                    break
+            onward = ways[u]
+            while onward and room[u][onward[-1]] <= 1e-12:  # full for the rest of this round
+                onward.pop()
+            if onward:
+                path.append(onward[-1])
             else:
-                level[u] = -1
                 path.pop()
+                if path:
+                    ways[path[-1]].pop()
 
 
 def labelled(html: str | None) -> tuple[list[Block], list[bool]]:
     """A page's blocks and whether the cut calls each of them content."""
     page = parsed(html or "")
-    return page.blocks, minimum_cut(*graph(page))[: len(page.blocks)] if page.blocks else []
+    if not page.blocks:
+        return [], []
+    leaning, arcs = graph(page)
+    keep = minimum_cut(leaning, arcs)[: len(page.blocks)]
+    free = [i for i, b in enumerate(page.blocks) if not page.elements[b.around].boxed]
+    for gain in GAINS if free else ():
+        if any(keep):
+            break
+        raised = list(leaning)
+        for i in free:
+            raised[i] += gain
+        keep = minimum_cut(raised, arcs)[: len(page.blocks)]
+    return page.blocks, keep
 
 
 def main_text(html: str | None) -> str:
