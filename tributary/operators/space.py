@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.functions import blocks
+from tributary.functions import blocks, cells
 from tributary.functions.lineage import stored
 
 
@@ -80,45 +80,28 @@ def loading_table(spark, model: Components, target: float = 0.85) -> DataFrame:
     return t.withColumn("rank", F.row_number().over(Window.partitionBy("pc").orderBy(F.desc(F.abs("loading")), "attribute")))
 
 
-def _pairs(df: DataFrame, key: str, columns: list[str], chosen, others: DataFrame | None = None) -> DataFrame:
-    """(station, neighbour, distance) of the pairs that ``chosen`` picks from the distances of
-    two blocks, as positions (row, column)."""
+def distances(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """All pairs, both ways and with themselves: as many rows as the matrix has."""
     rows = df.select(key, *columns).na.drop()
     kind = dict(df.dtypes)[key]
 
     def work(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         d = blocks.distances(x[columns].to_numpy(float), y[columns].to_numpy(float))
-        a, b = x[key].to_numpy(), y[key].to_numpy()
-        i, j = chosen(d, a, b)
-        return pd.DataFrame({"station": a[i], "neighbour": b[j], "distance": d[i, j]})
-
-    return blocks.against(rows, rows if others is None else others, key, key, work, f"station {kind}, neighbour {kind}, distance double")
-
+        i, j = np.divmod(np.arange(d.size), d.shape[1])
+        return pd.DataFrame({"station": x[key].to_numpy()[i], "neighbour": y[key].to_numpy()[j], "distance": d[i, j]})
 
-def distances(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """All pairs, both ways and with themselves: as many rows as the matrix has."""
-    return _pairs(df, key, columns, lambda d, a, b: np.divmod(np.arange(d.size), d.shape[1]))
+    return blocks.against(rows, rows, key, key, work, f"station {kind}, neighbour {kind}, distance double")
 
 
 def within(df: DataFrame, key: str, columns: list[str], threshold: float) -> DataFrame:
     """Pairs at most ``threshold`` apart, each station with itself too."""
-    return _pairs(df, key, columns, lambda d, a, b: np.nonzero(d <= threshold))
+    return cells.within(df, key, columns, threshold)
 
 
 def neighbours(df: DataFrame, key: str, columns: list[str], k: int) -> DataFrame:
-    """The ``k`` nearest others with their rank; of equals the smaller key first.  A pair of
-    blocks gives the k nearest of its own, so k a block are ranked for each station."""
-
-    def nearest(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d = np.where(a[:, None] == b[None], np.inf, d)
-        order = np.lexsort((np.broadcast_to(b, d.shape), d))[:, :k] if b.dtype != object else np.stack([np.lexsort((b, row)) for row in d])[:, :k]
-        i = np.repeat(np.arange(len(a)), order.shape[1])
-        j = order.ravel()
-        fine = np.isfinite(d[i, j])
-        return i[fine], j[fine]
-
+    """The ``k`` nearest others with their rank; of equals the smaller key first."""
     w = Window.partitionBy("station").orderBy("distance", "neighbour")
-    return _pairs(df, key, columns, nearest).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return cells.nearest(df, key, columns, k).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def spearman(df: DataFrame, a: str, b: str, parts: int = 64) -> DataFrame:
