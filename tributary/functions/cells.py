@@ -71,12 +71,12 @@ class Boxes:
 
 
 class Cells:
-    """Points (key, columns) in blocks; both the points and their boxes are stored."""
+    """Points (key, columns) in blocks, with a ``weight`` where there is one."""
 
-    def __init__(self, df: DataFrame, key: str, columns: list[str], rows: int = ROWS):
+    def __init__(self, df: DataFrame, key: str, columns: list[str], rows: int = ROWS, weight: str | None = None):
         self.key, self.columns = key, columns
         self.kind = dict(df.dtypes)[key]
-        points = stored(df.select(F.col(key).alias("_key"), *(F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns))).na.drop(), "points")
+        points = stored(df.select(F.col(key).alias("_key"), *(F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_weight")).na.drop(), "points")
         self.names = [f"_{i}" for i in range(len(columns))]
         n = points.count()
         depth = min(LEAVES.bit_length() - 1, max(0, math.ceil(math.log2(max(1, n / rows)))))
@@ -89,14 +89,14 @@ class Cells:
             for pdf in batches:
                 yield pdf.assign(_leaf=tree.value.leaf(pdf[names].to_numpy(float)))
 
-        schema = ", ".join([f"_key {self.kind}", *(f"{c} double" for c in names), "_leaf long"])
+        schema = ", ".join([f"_key {self.kind}", *(f"{c} double" for c in names), "_weight double", "_leaf long"])
         placed = stored(points.mapInPandas(place, schema), "leaves")
         # A leaf with many more points, as where many are equal, is cut by their keys.
         most = max(rows, n >> depth)
         parts = F.ceil(F.count(F.lit(1)) / (2 * most)).alias("_parts")
         sizes = placed.groupBy("_leaf").agg(parts)
         block = F.col("_leaf") * (1 << 32) + F.pmod(F.xxhash64("_key"), F.col("_parts"))
-        self.points = stored(placed.join(sizes, "_leaf").select("_key", *names, block.alias("_block")), "blocks")
+        self.points = stored(placed.join(sizes, "_leaf").select("_key", *names, "_weight", block.alias("_block")), "blocks")
         low, high = ([f(c).alias(f"{f.__name__}{c}") for c in names] for f in (F.min, F.max))
         boxes = self.points.groupBy("_block").agg(*low, *high).toPandas()  # LEAVES, and one for each 2 * rows points more
         self.boxes = Boxes(boxes["_block"].to_numpy(np.int64), boxes[[f"min{c}" for c in names]].to_numpy(float), boxes[[f"max{c}" for c in names]].to_numpy(float))
@@ -114,9 +114,26 @@ class Cells:
 
         return stored(reach.mapInPandas(partners, "a long, b long"), "pairs")
 
-    def compared(self, mine: DataFrame, pairs: DataFrame, chosen: Callable) -> DataFrame:
-        """(station, neighbour, distance) of what ``chosen`` picks, as positions, from the
-        distances of each pair of blocks; ``mine`` are the points with more columns."""
+    def bounded(self, farthest: Callable) -> DataFrame:
+        """Points with ``_far``: what ``farthest`` makes of their distances in their own block."""
+        names = self.names
+
+        def bound(pdf: pd.DataFrame) -> pd.DataFrame:
+            x, a = pdf[names].to_numpy(float), pdf["_key"].to_numpy()
+            far = [np.zeros(0)]
+            for at in range(0, len(x), 1024):
+                d = blocks.distances(x[at : at + 1024], x)
+                d[a[at : at + 1024, None] == a[None]] = np.inf
+                far.append(farthest(d, pdf.iloc[at : at + 1024], pdf))
+            return pdf.assign(_far=np.concatenate(far))
+
+        schema = ", ".join([f"_key {self.kind}", *(f"{c} double" for c in names), "_weight double", "_block long", "_far double"])
+        return stored(self.points.groupBy("_block").applyInPandas(bound, schema), "bounds")
+
+    def compared(self, mine: DataFrame, pairs: DataFrame, chosen: Callable, others: bool = True) -> DataFrame:
+        """(station, neighbour, distance) of what ``chosen`` picks, as positions with values,
+        from the distances of each pair of blocks, which are infinite between rows of one key
+        if only ``others`` count; ``mine`` are the points with more columns."""
         names = self.names
         own = lambda df, block: df.select(*(F.col(c).alias(block if c == "_block" else c) for c in df.columns))  # noqa: E731  columns of its own
         left = own(mine, "a").join(own(pairs, ""), "a").groupBy("a", "b")
@@ -127,8 +144,8 @@ class Cells:
                 return pd.DataFrame(columns=["station", "neighbour", "distance"])
             d = blocks.distances(x[names].to_numpy(float), y[names].to_numpy(float))
             a, b = x["_key"].to_numpy(), y["_key"].to_numpy()
-            i, j = chosen(d, a, b, x)
-            return pd.DataFrame({"station": a[i], "neighbour": b[j], "distance": d[i, j]})
+            i, j, value = chosen(np.where(a[:, None] == b[None], np.inf, d) if others else d, x, y)
+            return pd.DataFrame({"station": a[i], "neighbour": b[j], "distance": value})
 
         return left.cogroup(right).applyInPandas(work, f"station {self.kind}, neighbour {self.kind}, distance double")
 
@@ -137,33 +154,25 @@ def within(df: DataFrame, key: str, columns: list[str], threshold: float, rows:
     """(station, neighbour, distance): pairs at most ``threshold`` apart, each with itself too."""
     cells = Cells(df, key, columns, rows)
     reach = cells.points.select("_block").distinct().withColumn("reach", F.lit(float(threshold)))
-    return cells.compared(cells.points, cells.pairs(reach), lambda d, a, b, x: np.nonzero(d <= threshold))
+
+    def chosen(d: np.ndarray, x: pd.DataFrame, y: pd.DataFrame) -> tuple:
+        i, j = np.nonzero(d <= threshold)
+        return i, j, d[i, j]
+
+    return cells.compared(cells.points, cells.pairs(reach), chosen, others=False)
 
 
 def nearest(df: DataFrame, key: str, columns: list[str], k: int, rows: int = ROWS) -> DataFrame:
     """(station, neighbour, distance): the ``k`` nearest others of each point, and some more
     that are as near as the k-th of its own block; to be ranked."""
     cells = Cells(df, key, columns, rows)
-    names = cells.names
-
-    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, a = pdf[names].to_numpy(float), pdf["_key"].to_numpy()
-        far = np.full(len(x), np.inf)
-        for at in range(0, len(x), 1024):
-            d = blocks.distances(x[at : at + 1024], x)
-            d[a[at : at + 1024, None] == a[None]] = np.inf
-            if len(x) > k:
-                far[at : at + 1024] = np.partition(d, k - 1, axis=1)[:, k - 1]
-        return pdf.assign(_far=far)
-
-    schema = ", ".join([f"_key {cells.kind}", *(f"{c} double" for c in names), "_block long", "_far double"])
-    mine = stored(cells.points.groupBy("_block").applyInPandas(bound, schema), "bounds")
+    mine = cells.bounded(lambda d, x, y: np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf))
     pairs = cells.pairs(mine.groupBy("_block").agg(F.max("_far").alias("reach")))
 
-    def chosen(d: np.ndarray, a: np.ndarray, b: np.ndarray, x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        d = np.where(a[:, None] == b[None], np.inf, d)
+    def chosen(d: np.ndarray, x: pd.DataFrame, y: pd.DataFrame) -> tuple:
         if d.shape[1] > k:  # no more than the k nearest of a block, and those as near
             d[d > np.partition(d, k - 1, axis=1)[:, k - 1 : k]] = np.inf
-        return np.nonzero((d <= x["_far"].to_numpy()[:, None]) & np.isfinite(d))
+        i, j = np.nonzero((d <= x["_far"].to_numpy()[:, None]) & np.isfinite(d))
+        return i, j, d[i, j]
 
     return cells.compared(mine, pairs, chosen)
