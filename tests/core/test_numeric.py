@@ -560,3 +560,48 @@ def test_small_selections(spark):
     assert [tuple(r) for r in names.fuzzy_match(n, f, "name", "file", "stated").collect()] == [("Koli", "File Seven", "stated file")]
     parts = [spark.createDataFrame([(1, "SUCCESS")], "a int, status string"), spark.createDataFrame([(2, "no DEM")], "a int, reason string")]
     assert selection.outer_statuses(parts).columns == ["a", "status", "reason"]
+
+
+def test_generalised_normal_by_approximation(spark):
+    """Against the numerical fit, and quantiles from the normal distribution itself."""
+    from statistics import NormalDist
+
+    t3 = [-0.6, -0.2, -1e-12, 0.0, 0.05, 0.3, 0.6, 0.93, 0.97]
+    df = spark.createDataFrame([(i, 0.3, x) for i, x in enumerate(t3)], "region int, t_r double, t3_r double")
+    got = {(r.region, r.period): r.q for r in lmoments.growth_curve_gno(df).collect()}
+    assert {i for i, _ in got} == set(range(8))
+    for i, x in enumerate(t3[:8]):
+        fit = dist.fitted("GNO", 0.3, x)
+        upper, lower = (sum(c * x ** (2 * j) for j, c in enumerate(cs)) for cs in lmoments.NORMAL_SHAPE)
+        k = -x * upper / lower
+        for p in (2, 100):
+            z = NormalDist().inv_cdf(1 - 1 / p)
+            if abs(k) < 1e-8:
+                want = 1 + 0.3 * math.sqrt(math.pi) * z
+            else:
+                a = 0.3 * k * math.exp(-k * k / 2) / math.erf(k / 2)
+                want = 1 - a * (1 - math.exp(k * k / 2)) / k + a * (1 - math.exp(-k * z)) / k
+            assert got[i, p] == pytest.approx(want, rel=1e-12)
+            if fit is not None and abs(x) < 0.7:
+                assert got[i, p] == pytest.approx(fit.quantile(1 - 1 / p), rel=1e-2)  # whose grid cuts the tails
+
+
+def test_components_without_variance_or_independence(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(2, 40))
+    df = spark.createDataFrame([(float(x), 7.0, float(y), float(2 * x - 3 * y)) for x, y in zip(a, b)], "a double, same double, b double, c double")
+    model = space.components(df, ["a", "same", "b", "c"])
+    assert model.columns == ["a", "b", "c"] and np.isfinite(model.values).all() and abs(model.values[-1]) < 1e-9
+    assert model.values.sum() == pytest.approx(3 * 40 / 39)
+    with pytest.raises(ValueError, match="varies"):
+        space.components(df, ["same"])
+
+
+def test_contributing_sites_of_clusters(spark):
+    """Stations without moments count for a cluster's size, not for what it contributes."""
+    rng = np.random.default_rng(6)
+    z = np.concatenate([rng.normal(size=(12, 2)), rng.normal(size=(9, 2)) + 20])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(z)], "station long, a double, b double")
+    members = spark.createDataFrame([(i, 20, 0.3, 0.2, 0.15, 0) for i in range(16)], "station long, n int, t double, t3 double, t4 double, region int")
+    (row,) = cluster.validity(df, "station", ["a", "b"], [2], members, nsim=20).collect()
+    assert (row.min_size, row.min_contrib) == (9, 4)

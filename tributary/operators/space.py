@@ -46,13 +46,19 @@ def components(df: DataFrame, columns: list[str]) -> Components:
     """From one aggregation of means and cross products; the p by p problem is the driver's.
 
     Scores have population deviations, eigenvalues n-1, so they add up to p n / (n - 1).  Of
-    each vector the entry that is largest in size is positive.
+    each vector the entry that is largest in size is positive.  Columns without variance are
+    left out; columns that follow from others give eigenvalues of 0.
     """
     p = len(columns)
     aggs = [F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(columns))]
     aggs += [F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)]
     r = df.na.drop(subset=columns).agg(*aggs).first()
     cov = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)], float)
+    varies = np.diag(cov) > 0
+    if not varies.all():
+        if not varies.any():
+            raise ValueError(f"none of {columns} varies")
+        return components(df.na.drop(subset=columns), [c for c, v in zip(columns, varies) if v])
     sd = np.sqrt(np.diag(cov))
     values, vectors = np.linalg.eigh(cov / np.outer(sd, sd) * r["n"] / (r["n"] - 1))
     values, vectors = values[::-1], vectors[:, ::-1]

@@ -44,6 +44,14 @@ r AS (SELECT region, k, a, 1 - a*(1/k - pi()/sin(k*pi())) AS x FROM q)
 SELECT region, period, round(x + a/k*(1 - pow(1.0/(period-1), k)), 6) AS q FROM r, (SELECT unnest([2,5,10,25,50,100])::INT AS period)"""
 
 
+@query("""WITH o AS (SELECT l_suppkey AS station, strftime(l_shipdate, '%Y') AS block, date_trunc('month', l_shipdate) AS m, count(*) AS n, max(l_extendedprice) AS v FROM lineitem GROUP BY ALL)
+SELECT station, block, max(v) AS ams FROM o WHERE n >= 3 AND v > 0 GROUP BY ALL""")
+def least_observations(spark, sf_dir):
+    """Yearly maxima of months that count three lines or more."""
+    months = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.trunc("l_shipdate", "month").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.max("l_extendedprice").alias("v"))
+    return maxima.block_maxima(months, "l_suppkey", F.date_format("month", "yyyy"), "v", "n", 3)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Design values of every station: maxima, L-moments, regional curve, Q(T) = mu q(T)."""
     members = nation_members(spark, sf_dir)

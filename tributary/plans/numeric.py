@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from tributary.functions.distributions import RETURN_PERIODS
@@ -182,6 +184,17 @@ g AS (SELECT region, t_r, k, gamma(1+k) AS g FROM k), a AS (SELECT *, t_r*k/((1-
 SELECT region, period, round(1 - a*(1-g)/k + a/k*(1 - pow(-ln(1-1.0/period), k)), {{digits}}) AS q FROM a, (SELECT unnest({list(RETURN_PERIODS)})::INT AS period)"""
 
 
+_NORMALS = ", ".join(f"({p}, {NormalDist().inv_cdf(1 - 1 / p)!r}::DOUBLE)" for p in RETURN_PERIODS)
+
+
+# erf from its alternating series, term by term.
+@query(f"""WITH {DAYS}, {REGIONS}, s AS (SELECT region, t_r, -t3_r*(2.0466534-3.6544371*pow(t3_r,2)+1.8396733*pow(t3_r,4)-0.20360244*pow(t3_r,6))/(1-2.0182173*pow(t3_r,2)+1.2033464*pow(t3_r,4)-0.40077113*pow(t3_r,6)) AS k FROM reg),
+e AS (SELECT *, 2/sqrt(pi())*list_sum(list_transform(range(30), lambda n: pow(-1, n)*pow(k/2, 2*n+1)/(factorial(n::INT)::DOUBLE*(2*n+1)))) AS erf FROM s), a AS (SELECT *, t_r*k*exp(-k*k/2)/erf AS a FROM e)
+SELECT region, period::INT AS period, round(1 - a*(1-exp(k*k/2))/k + a*(1-exp(-k*z))/k, 6) AS q FROM a, (VALUES {_NORMALS}) v(period, z)""")
+def gno_closed_form(spark, sf_dir):
+    return rounded(lmoments.growth_curve_gno(lmoments.regional_means(day_members(spark, sf_dir))))
+
+
 @query(_GEV.format(digits=6))
 def gev_closed_form(spark, sf_dir):
     return rounded(lmoments.growth_curve_gev(lmoments.regional_means(day_members(spark, sf_dir))))

@@ -97,7 +97,7 @@ def cluster_validity(spark, sf_dir):
 @query()
 def chosen_k(spark, sf_dir):
     table = _validity(spark, sf_dir, list(range(3, 9)))
-    return cluster.best_k(table.select("k", "silhouette", F.col("min_size").alias("min_contrib"), (F.col("min_size") >= 5).alias("testable")))
+    return cluster.best_k(table.select("k", "silhouette", "min_contrib", (F.col("min_contrib") >= 5).alias("testable")))
 
 
 def _clustered(spark, sf_dir):
