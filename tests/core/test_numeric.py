@@ -605,3 +605,38 @@ def test_contributing_sites_of_clusters(spark):
     members = spark.createDataFrame([(i, 20, 0.3, 0.2, 0.15, 0) for i in range(16)], "station long, n int, t double, t3 double, t4 double, region int")
     (row,) = cluster.validity(df, "station", ["a", "b"], [2], members, nsim=20).collect()
     assert (row.min_size, row.min_contrib) == (9, 4)
+
+
+def test_passes_of_transfers(spark):
+    """Passes go on until none moves; each is what one pass makes of the regions before it."""
+    rng = np.random.default_rng(15)
+    low, _ = region(rng, 20, 60)
+    scale = np.repeat([1.0, 2.0], 10)
+    ratios = low.copy()
+    ratios[:, 0] *= scale
+    place = [0] * 8 + [1] * 2 + [1] * 8 + [0] * 2  # two of each kind in the other's region
+    members = spark.createDataFrame([(i, place[i], 60, *map(float, r)) for i, r in enumerate(ratios)], "station long, region int, n long, t double, t3 double, t4 double")
+    overlap = spark.createDataFrame([(i, j) for i in range(20) for j in range(20) if scale[i] == scale[j]], "station long, member long")
+    log, final = cluster.transfer_passes(members, overlap, 100)
+    rows, last = log.collect(), final.collect()
+    number = max(r.pass_ for r in rows)
+    assert number > 2 and not any(r.accepted for r in rows if r.pass_ == number)
+    now = members
+    for k in range(1, number + 1):
+        mine = sorted((r.station, r.source, r.goal, r.accepted) for r in rows if r.pass_ == k)
+        alone = cluster.transfer_log(now, cluster.proposed_transfers(now.select("station", "region"), overlap), 100)
+        assert mine == sorted((r.station, r.source, r.goal, r.accepted) for r in alone.collect())
+        now = cluster.stored(cluster.final_regions(now, alone), "test")
+    assert sorted(map(tuple, now.select("station", "region").collect())) == sorted((r.station, r.region) for r in last)
+    assert any(r.region != place[r.station] for r in last)
+    assert cluster.proposed_transfers(final.select("station", "region"), overlap).count() < cluster.proposed_transfers(members.select("station", "region"), overlap).count()
+
+
+def test_moves_do_not_meet_and_published_outcomes(spark):
+    rows = [(1, 10, 20, 3.0, True), (2, 20, 30, 2.0, True), (3, 30, 40, 1.0, True), (4, 50, 60, 9.0, True), (5, 70, 80, 0.1, False), (6, 60, 50, 9.0, True)]
+    log = spark.createDataFrame([(s, a, b, h, 0.0, x) for s, a, b, h, x in rows], "station long, source int, goal int, h1_after_source double, h1_after_goal double, accepted boolean")
+    assert sorted(map(tuple, cluster.free_moves(log).collect())) == [(3, 40), (4, 60)]
+    # Published H of both regions before and after, and what became of the site.
+    known = [(7.896, 6.631, 8.761, 9.088, False), (9.678, 10.103, 7.896, 8.132, False), (8.761, 8.451, 9.678, 9.644, True), (8.688, 9.178, 9.088, 8.990, False), (7.896, 6.631, 8.451, 8.902, False), (10.378, 9.828, 7.896, 8.132, False)]
+    found = spark.createDataFrame(known, "bf double, af double, bt double, at double, accepted boolean")
+    assert found.where(cluster.transfer_accepted(F.col("bf"), F.col("af"), F.col("bt"), F.col("at")) != F.col("accepted")).isEmpty()

@@ -111,17 +111,17 @@ def _clustered(spark, sf_dir):
 
 @query()
 def site_transfers(spark, sf_dir):
-    """Sites whose region of influence lies elsewhere, tried in the cluster that holds it."""
+    """Sites whose region of influence lies elsewhere, tried pass by pass in the cluster that
+    holds it until none moves."""
     members, regions = _clustered(spark, sf_dir)
-    return cluster.transfer_log(members, cluster.proposed_transfers(members, roi.region_members(regions)))
+    return cluster.transfer_passes(members, roi.region_members(regions))[0]
 
 
 @query()
 def final_region_report(spark, sf_dir):
-    """Clusters after the accepted transfers, tested, with advice."""
+    """Clusters after all passes of transfers, tested, with advice."""
     members, regions = _clustered(spark, sf_dir)
-    log = stored(cluster.transfer_log(members, cluster.proposed_transfers(members, roi.region_members(regions))), "transfers")
-    return cluster.region_report(cluster.final_regions(members, log))
+    return cluster.region_report(cluster.transfer_passes(members, roi.region_members(regions))[1])
 
 
 @query(f"WITH {INDEX}, f AS (SELECT regr_slope(y, price) AS b, regr_intercept(y, price) AS a FROM x) SELECT station, round(b*price + y - (a + b*price), 6) AS component_residual FROM x, f")
