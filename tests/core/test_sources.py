@@ -143,3 +143,9 @@ def test_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         lineage.shared_dir(Cluster)
+
+
+def test_written_workbook(spark, tmp_path):
+    rows = [["a & b", 1, None, 2.5], [], [f"c{i}" for i in range(60)], [True]]
+    got = workbooks.first_sheet(workbooks.workbook(rows))
+    assert got == [["a & b", "1", None, "2.5"], [], [f"c{i}" for i in range(60)], ["True"]]

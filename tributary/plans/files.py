@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tributary.functions.lineage import fresh_path
 from tributary.plans.catalogue import query
 from tributary.plans.standins import rounded, table
-from tributary.sources import tables
+from tributary.sources import tables, workbooks
+from tributary.sources.folders import write_files
 
 _FLOW = """f AS (SELECT n_nationkey, n_name, strftime(l_shipdate, '%Y')::INT AS year, count(*) AS n_obs, max(l_extendedprice) AS value
 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL)"""
@@ -99,3 +101,21 @@ def text_report(spark, sf_dir):
     tables.write_report(tables.report_lines("Orders by status", counts, [F.col("status")]), path)
     return spark.read.text(path).select(F.col("value").alias("line"))
 
+
+
+@query(f"WITH {_FLOW} SELECT n_name AS station, n_nationkey::DOUBLE AS latitude, year, value FROM f")
+def source_workbooks(spark, sf_dir):
+    """A workbook a nation, written and read again: its name and a figure by their cells, and
+    a series from the fourth row on."""
+
+    def book(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("year")
+        rows = [["Station", pdf["n_name"].iloc[0]], ["Latitude", int(pdf["n_nationkey"].iloc[0])], [], *([int(y), None, float(v)] for y, v in zip(pdf["year"], pdf["value"]))]
+        return pd.DataFrame({"name": [f"nation {pdf['n_nationkey'].iloc[0]}.xlsx"], "content": [workbooks.workbook(rows)]})
+
+    path = fresh_path(spark, "workbooks")
+    write_files(_flow(spark, sf_dir).groupBy("n_nationkey").applyInPandas(book, "name string, content binary"), path)
+    cells, _ = workbooks.read_workbooks(spark, path)
+    head = workbooks.addressed(cells, station=(0, 1), latitude=(1, 1))
+    series = workbooks.series(cells, 3, year=0, value=2)
+    return head.join(series, "path").select("station", F.col("latitude").cast("double").alias("latitude"), F.col("year").cast("int").alias("year"), F.col("value").cast("double").alias("value"))

@@ -9,7 +9,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyarrow import fs
-from pyspark.sql.datasource import DataSourceWriter, WriterCommitMessage
+from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 STAGING = "_staging"
 
@@ -96,3 +97,25 @@ class FolderWriter(DataSourceWriter):
         staging = f"{at}/{STAGING}-{self.run}"
         if system.get_file_info(staging).type == fs.FileType.Directory:
             system.delete_dir(staging)
+
+
+class WholeFiles(FolderWriter):
+    def files(self, rows: Iterator, task: int) -> Iterator[tuple[str, bytes]]:
+        for row in rows:
+            yield row.name, bytes(row.content)
+
+
+class FilesSource(DataSource):
+    """A sink for rows (name, content), each a file."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "files"
+
+    def writer(self, schema, overwrite: bool) -> FolderWriter:
+        return WholeFiles(self.options["path"], overwrite)
+
+
+def write_files(files: DataFrame, path: str, mode: str = "append") -> None:
+    files.sparkSession.dataSource.register(FilesSource)
+    files.select("name", "content").write.format("files").mode(mode).save(path)
