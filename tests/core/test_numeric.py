@@ -539,7 +539,7 @@ def test_ranges_of_cluster_numbers(spark, sf_dir, monkeypatch):
     from tributary.plans import regional
 
     tried = []
-    monkeypatch.setattr(cluster, "validity", lambda df, key, columns, ks, members: tried.append(ks) or spark.createDataFrame([(k, k / 10, 5) for k in ks], "k int, silhouette double, min_size int"))
+    monkeypatch.setattr(cluster, "validity", lambda df, key, columns, ks, members: tried.append(ks) or spark.createDataFrame([(k, k / 10, 5, 5) for k in ks], "k int, silhouette double, min_size int, min_contrib int"))
     regional.cluster_validity(spark, sf_dir)
     assert regional.chosen_k(spark, sf_dir).first().k == 8
     assert tried == [list(range(2, 16)), list(range(3, 9))]
@@ -582,7 +582,7 @@ def test_generalised_normal_by_approximation(spark):
                 a = 0.3 * k * math.exp(-k * k / 2) / math.erf(k / 2)
                 want = 1 - a * (1 - math.exp(k * k / 2)) / k + a * (1 - math.exp(-k * z)) / k
             assert got[i, p] == pytest.approx(want, rel=1e-12)
-            if fit is not None and abs(x) < 0.7:
+            if fit is not None and abs(x) <= 0.3:
                 assert got[i, p] == pytest.approx(fit.quantile(1 - 1 / p), rel=1e-2)  # whose grid cuts the tails
 
 
