@@ -180,8 +180,8 @@ def test_regions_to_curves(spark):
     rng = np.random.default_rng(13)
     ratios, n = region(rng, 14, 60)
     z = rng.normal(size=(14, 3))
-    table = roi.station_matrix(stations_of(spark, ratios, n, z), list("abc"))
-    regions = roi.grown_regions(spark, table, list("abc")).cache()
+    table = stations_of(spark, ratios, n, z)
+    regions = roi.grown_regions(table, list("abc")).cache()
     by = {r.station: r for r in regions.collect()}
     for i in (0, 5):
         grown = roi.grow(i, z, ratios, n)
@@ -205,6 +205,42 @@ def test_regions_to_curves(spark):
     assert summary["roi_size"].least <= summary["roi_size"].median <= summary["roi_size"].most
 
 
+def test_regions_in_rounds(spark, monkeypatch):
+    """Regions that see few stations at first take the same steps as those that see all; some
+    have to go on for several rounds, one far from all others too.  Ties by equal attributes."""
+    monkeypatch.setattr(roi, "FIRST", 3)
+    monkeypatch.setattr(roi, "MORE", 4)
+    rng = np.random.default_rng(21)
+    ratios, n = region(rng, 24, 30, double=9)
+    z = np.round(rng.normal(size=(24, 3)), 1)
+    z[7], z[20] = 9.0, z[21]
+    table = stations_of(spark, ratios, n, z)
+    with_gaps = table.unionByName(spark.createDataFrame([(99, None, 0.0, 0.0, 30, 0.1, 0.1, 0.1)], table.schema))
+    for rules in (roi.Rules(nsim_grow=50, nsim_final=50), roi.Rules(nsim_grow=50, nsim_final=50, centroid=False, station_years=10_000)):
+        got = {r.station: r for r in roi.grown_regions(with_gaps, list("abc"), rules).collect()}
+        assert sorted(got) == list(range(24))
+        for i in range(24):
+            want = roi.grow(i, z, ratios, n, rules)
+            assert got[i].members == want.members
+            steps = [(s.candidate, s.action, -1 if s.left_out is None else s.left_out, s.reason, s["size"], s.years) for s in got[i].steps]
+            assert steps == [(s.candidate, s.action, s.left_out, s.reason, s.size, s.years) for s in want.steps]
+            assert np.allclose([np.nan if s.h1 is None else s.h1 for s in got[i].steps], [s.h1 for s in want.steps], equal_nan=True)
+    alone = roi.grown_regions(table.where("station = 4"), list("abc"), rules).collect()
+    assert [(r.station, r.members, r.steps) for r in alone] == [(4, [4], [])]
+    assert roi.grown_regions(table.where("station < 0"), list("abc"), rules).collect() == []
+
+
+def test_sight():
+    """A region waits exactly where a station that it doesn't see could be next."""
+    z = np.array([[0.0], [1.0], [2.0], [3.0], [9.0]])
+    ratios, n = np.full((5, 3), 0.1), np.full(5, 10.0)
+    seen = roi.Region(0, z[:4], homogeneity.Sites(ratios[:4], n[:4]), roi.Rules(least_size=9), sight=9.0).grown()
+    assert seen.waiting is True and seen.members == [0, 1, 2, 3]
+    near = roi.Region(0, z[:3], homogeneity.Sites(ratios[:3], n[:3]), roi.Rules(least_size=9), sight=2.4).grown()
+    assert near.waiting and near.members == [0, 1, 2]
+    assert roi.Region(0, z[:3], near.sites, near.rules, sight=2.0).grown().members == [0, 1]  # 1.5 from the centre, which moved by 0.5
+
+
 def test_neighbours_by_brute_force(spark):
     rng = np.random.default_rng(2)
     z = np.round(rng.normal(size=(60, 3)), 1)  # with ties
@@ -428,10 +464,10 @@ def test_ungauged_by_hand(spark):
     rng = np.random.default_rng(13)
     ratios, n = region(rng, 12, 60)
     z = rng.normal(size=(12, 3))
-    table = roi.station_matrix(stations_of(spark, ratios, n, z), list("abc"))
+    table = stations_of(spark, ratios, n, z)
     index = spark.createDataFrame([(i, 100.0 + i, 90.0) for i in range(12)], "station long, observed double, estimate double")
     rules = roi.Rules(nsim_grow=50)
-    got = {(r.station, r.period): r for r in validate.ungauged(spark, table, list("abc"), index, rules, 60).collect()}
+    got = {(r.station, r.period): r for r in validate.ungauged(table, list("abc"), index, rules, 60).collect()}
     own = set(roi.grow(3, z, ratios, n, rules).members) - {3}
     pool = roi.grow(3, z, ratios, n, roi.Rules(nsim_grow=50, use_target_flow=False)).members[1:]
     region_fit, site = homogeneity.choose(Sites(ratios[pool], n[pool]), 60), homogeneity.choose(Sites(ratios[[3]], n[[3]]), 60)

@@ -162,11 +162,14 @@ def within(df: DataFrame, key: str, columns: list[str], threshold: float, rows:
     return cells.compared(cells.points, cells.pairs(reach), chosen, others=False)
 
 
-def nearest(df: DataFrame, key: str, columns: list[str], k: int, rows: int = ROWS) -> DataFrame:
-    """(station, neighbour, distance): the ``k`` nearest others of each point, and some more
-    that are as near as the k-th of its own block; to be ranked."""
-    cells = Cells(df, key, columns, rows)
+def nearest(df: DataFrame, key: str, columns: list[str], k: int, rows: int = ROWS, of: DataFrame | None = None) -> DataFrame:
+    """(station, neighbour, distance): the ``k`` nearest others of each point, or of those
+    whose keys are in ``of``, and some more that are as near as the k-th of its own block; to
+    be ranked.  Blocks hold a few times ``k`` points."""
+    cells = Cells(df, key, columns, max(rows, 4 * k) if rows == ROWS else rows)
     mine = cells.bounded(lambda d, x, y: np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf))
+    if of is not None:
+        mine = mine.join(of.select(F.col(of.columns[0]).alias("_key")), "_key", "left_semi")
     pairs = cells.pairs(mine.groupBy("_block").agg(F.max("_far").alias("reach")))
 
     def chosen(d: np.ndarray, x: pd.DataFrame, y: pd.DataFrame) -> tuple:

@@ -104,10 +104,11 @@ def within(df: DataFrame, key: str, columns: list[str], threshold: float) -> Dat
     return cells.within(df, key, columns, threshold)
 
 
-def neighbours(df: DataFrame, key: str, columns: list[str], k: int) -> DataFrame:
-    """The ``k`` nearest others with their rank; of equals the smaller key first."""
+def neighbours(df: DataFrame, key: str, columns: list[str], k: int, of: DataFrame | None = None) -> DataFrame:
+    """The ``k`` nearest others with their rank; of equals the smaller key first.  For all
+    stations, or those whose keys are in ``of``."""
     w = Window.partitionBy("station").orderBy("distance", "neighbour")
-    return cells.nearest(df, key, columns, k).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return cells.nearest(df, key, columns, k, of=of).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def spearman(df: DataFrame, a: str, b: str, parts: int = 64) -> DataFrame:

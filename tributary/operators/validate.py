@@ -4,37 +4,36 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions.distributions import RETURN_PERIODS
 from tributary.operators import lmoments
 from tributary.operators.homogeneity import choose, family_curve
-from tributary.operators.roi import Region, Rules, kind_of, over_targets, region_members
+from tributary.operators.roi import Region, Rules, over_targets, region_members
 from tributary.operators.selection import percent_error
 
 
-def ungauged(spark, stations: pd.DataFrame, columns: list[str], index: DataFrame, rules: Rules = Rules(), nsim: int = 500) -> DataFrame:
+def ungauged(stations: DataFrame, columns: list[str], index: DataFrame, rules: Rules = Rules(), nsim: int = 500) -> DataFrame:
     """(station, period, jaccard, family, q_pool, q_site, design, computed, percent_error).
 
     For each station the region is grown with and without its own flow; the pool's curve
     times the leave-one-out index (``station, observed, estimate``) is held against the
     station's own fit times its own mean.  Stations are spread over the cluster.
     """
-    masked = replace(rules, use_target_flow=False)
 
-    def work(names, z, sites, target) -> list[tuple]:
-        own = set(Region(target, z, sites, rules).grown().members) - {target}
-        pool = Region(target, z, sites, masked).grown().members[1:]
+    def work(names: list, regions: list[Region]) -> list[dict]:
+        target, sites = regions[0].target, regions[0].sites
+        own, pool = set(regions[0].members) - {target}, regions[1].members[1:]
         if not pool:
             return []
         union = own | set(pool)
         overlap = len(own & set(pool)) / len(union) if union else 1.0
         region, site = choose(sites.only(pool), nsim), choose(sites.only([target]), nsim)
-        return [(names[target], p, overlap, region.family, region.curve[p], site.curve[p]) for p in RETURN_PERIODS]
+        return [{"station": names[target], "period": p, "jaccard": overlap, "family": region.family, "q_pool": region.curve[p], "q_site": site.curve[p]} for p in RETURN_PERIODS]
 
-    curves = over_targets(spark, stations, columns, work, f"station {kind_of(stations)}, period int, jaccard double, family string, q_pool double, q_site double")
+    fields = f"station: {dict(stations.dtypes)['station']}, period: int, jaccard: double, family: string, q_pool: double, q_site: double"
+    curves = over_targets(stations, columns, [rules, replace(rules, use_target_flow=False)], work, fields)
     both = curves.join(index.select("station", "observed", "estimate"), "station")
     both = both.withColumns({"design": F.col("q_pool") * F.col("estimate"), "computed": F.col("q_site") * F.col("observed")})
     return both.select("station", "period", "jaccard", "family", "q_pool", "q_site", "design", "computed", percent_error(F.col("design"), F.col("computed")).alias("percent_error"))

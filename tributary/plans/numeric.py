@@ -114,7 +114,7 @@ def z_polynomials(spark, sf_dir):
 
 def grown(spark, sf_dir, rules: roi.Rules = roi.Rules()):
     z = _z(spark, sf_dir)
-    return z, stored(roi.grown_regions(spark, roi.station_matrix(z, ATTRIBUTES), ATTRIBUTES, rules), "regions")
+    return z, stored(roi.grown_regions(z, ATTRIBUTES, rules), "regions")
 
 
 @query()
@@ -399,4 +399,4 @@ def mosaic(spark, sf_dir):
 def ungauged_test(spark, sf_dir):
     z = _z(spark, sf_dir)
     y = z.where("l1 is not null").withColumn("y", F.log10("l1"))  # scores serve as attributes do
-    return validate.ungauged(spark, roi.station_matrix(z, ATTRIBUTES), ATTRIBUTES, indexflood.leave_one_out(y, "station", ATTRIBUTES, "y"))
+    return validate.ungauged(z, ATTRIBUTES, indexflood.leave_one_out(y, "station", ATTRIBUTES, "y"))

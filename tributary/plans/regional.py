@@ -105,7 +105,7 @@ def _clustered(spark, sf_dir):
     z = _z(spark, sf_dir)
     labels = cluster.ward_kmeans(z, "station", ATTRIBUTES, [6]).select("station", F.col("cluster").alias("region"))
     members = stored(z.where("l1 is not null").drop("region").join(labels, "station").select("station", "region", "n", "t", "t3", "t4"), "members")
-    regions = stored(roi.grown_regions(spark, roi.station_matrix(z, ATTRIBUTES), ATTRIBUTES), "regions")
+    regions = stored(roi.grown_regions(z, ATTRIBUTES), "regions")
     return members, regions
 
 
