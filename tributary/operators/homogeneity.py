@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions.distributions import FAMILIES, RETURN_PERIODS, Fit, fitted, lmoment_ratios, parent
+from tributary.functions.lineage import stored
+from tributary.operators import simulation
 from tributary.operators.lmoments import CRITICAL, KURTOSIS
 
 # The seed, and the sizes and bounds of tests.
@@ -23,6 +25,8 @@ NSIM = 500
 ACCEPT = 1.64
 #: Discordancy needs so many sites.
 LEAST_SITES = 5
+#: Regions of more sites are simulated by blocks; the results agree to about eight digits.
+MOST_SITES = 2048
 
 
 @dataclass
@@ -114,23 +118,31 @@ def kurtosis_error(sites: Sites, nsim: int, seed: int) -> tuple[float, float]:
     return float(t4.mean() - sites.means[2]), float(t4.std(ddof=1))
 
 
-def goodness(sites: Sites, kurtosis: Callable[[str], float], nsim: int, seed: int) -> dict[str, float]:
-    """Z of each family, whose L-kurtosis is given; NaN where it has none or nothing could
-    be simulated."""
-    bias, sigma = kurtosis_error(sites, nsim, seed)
-    return {f: float((kurtosis(f) - sites.means[2] + bias) / sigma) if sigma > 0 else np.nan for f in FAMILIES}
+def goodness(means, error: tuple[float, float], kurtosis: Callable[[str], float]) -> dict[str, float]:
+    """Z of each family, whose L-kurtosis is given, from the region's means and the simulated
+    error of its L-kurtosis; NaN where it has none or nothing could be simulated."""
+    bias, sigma = error
+    return {f: float((kurtosis(f) - means[2] + bias) / sigma) if sigma > 0 else np.nan for f in FAMILIES}
 
 
-def choose(sites: Sites, nsim: int = NSIM, seed: int = SEED) -> Choice:
-    """The family with the smallest Z among those accepted, else among all."""
-    t, t3, _ = sites.means
-    fits: dict[str, Fit | None] = {f: fitted(f, t, t3) for f in FAMILIES}
-    z = goodness(sites, lambda f: fits[f].kurtosis if fits[f] else np.nan, nsim, seed)
+def best(z: dict[str, float]) -> tuple[str | None, int]:
+    """The family with the smallest Z among those accepted, else among all; how many are accepted."""
     known = [f for f in FAMILIES if np.isfinite(z[f])]
     accepted = [f for f in known if abs(z[f]) <= ACCEPT]
-    best = min(accepted or known, key=lambda f: abs(z[f]), default=None)
-    curve = {p: fits[best].quantile(1 - 1 / p) if best else np.nan for p in RETURN_PERIODS}
-    return Choice(tuple(map(float, sites.means)), z, best, bool(accepted), curve)
+    return min(accepted or known, key=lambda f: abs(z[f]), default=None), len(accepted)
+
+
+def chosen(means, error: tuple[float, float]) -> Choice:
+    """The best family of a region with these means and this simulated error, and its curve."""
+    fits: dict[str, Fit | None] = {f: fitted(f, *means[:2]) for f in FAMILIES}
+    z = goodness(means, error, lambda f: fits[f].kurtosis if fits[f] else np.nan)
+    family, accepted = best(z)
+    curve = {p: fits[family].quantile(1 - 1 / p) if family else np.nan for p in RETURN_PERIODS}
+    return Choice(tuple(map(float, means)), z, family, accepted > 0, curve)
+
+
+def choose(sites: Sites, nsim: int = NSIM, seed: int = SEED) -> Choice:
+    return chosen(sites.means, kurtosis_error(sites, nsim, seed))
 
 
 def polynomial_kurtosis(family: str, t3: float) -> float:
@@ -152,14 +164,45 @@ def by_region(members: DataFrame, region: str, work: Callable[[pd.DataFrame, Sit
     return members.select(region, "station", "n", "t", "t3", "t4").groupBy(region).applyInPandas(one, f"{region} {kind}, {fields}")
 
 
+def by_size(members: DataFrame, region: str) -> tuple[DataFrame, DataFrame | None]:
+    """Members, stored, of the regions that a task can hold and of larger ones, if there are any."""
+    rows = stored(members.select(region, "station", "n", "t", "t3", "t4"), "members")
+    large = stored(rows.groupBy(region).agg(F.count(F.lit(1)).alias("_sites")).where(F.col("_sites") > MOST_SITES).select(region), "large")
+    if large.isEmpty():
+        return rows, None
+    large = large.withColumnRenamed(region, "_large")
+    same = F.col(region).eqNullSafe(F.col("_large"))
+    return rows.join(large, same, "left_anti"), rows.join(large, same, "left_semi")
+
+
+def by_kurtosis(blocks: simulation.Blocks, work: Callable[[int, np.ndarray, tuple[float, float]], tuple], fields: str) -> DataFrame:
+    """A row (region, what ``work`` gives of sites, means and error) for each region in blocks."""
+    names = [blocks.region, *(f.split()[0] for f in fields.split(", "))]
+
+    def each(batches):
+        for pdf in batches:
+            yield pd.DataFrame([(r[0], *work(int(r[1]), np.array(r[2:5]), (r[5], r[6]))) for r in pdf.itertuples(index=False)], columns=names)
+
+    return blocks.kurtosis().mapInPandas(each, f"{blocks.region} {blocks.kind}, {fields}")
+
+
 def region_heterogeneity(members: DataFrame, region: str = "region", nsim: int = NSIM) -> DataFrame:
     """(region, sites, pooled, h1, h2, h3, simulated_by); H is NaN for regions of one site."""
+    members, large = by_size(members, region)
 
     def work(rows: pd.DataFrame, sites: Sites) -> tuple:
         h = heterogeneity(sites, nsim)
         return len(sites), int(sites.years.sum()), h.h1, h.h2, h.h3, h.source
 
-    return by_region(members, region, work, "sites long, pooled long, h1 double, h2 double, h3 double, simulated_by string")
+    small = by_region(members, region, work, "sites long, pooled long, h1 double, h2 double, h3 double, simulated_by string")
+    return small.unionByName(simulation.Blocks(large, region, nsim, SEED).heterogeneity()) if large else small
+
+
+def by_error(members: DataFrame, region: str, nsim: int, row: Callable[[int, np.ndarray, tuple[float, float]], tuple], fields: str) -> DataFrame:
+    """What ``row`` gives of each region's number of sites, means and error of L-kurtosis."""
+    members, large = by_size(members, region)
+    small = by_region(members, region, lambda rows, sites: row(len(sites), sites.means, kurtosis_error(sites, nsim, SEED)), fields)
+    return small.unionByName(by_kurtosis(simulation.Blocks(large, region, nsim, SEED), row, fields)) if large else small
 
 
 FITTED = "t_r double, t3_r double, t4_r double, chosen_distribution string, chosen_accepted boolean, " + ", ".join([f"z_{f.lower()} double" for f in FAMILIES] + [f"q_t{p} double" for p in RETURN_PERIODS])
@@ -168,11 +211,11 @@ FITTED = "t_r double, t3_r double, t4_r double, chosen_distribution string, chos
 def region_fits(members: DataFrame, region: str = "region", nsim: int = NSIM) -> DataFrame:
     """Means, chosen family, Z of all families and the growth curve of each region."""
 
-    def work(rows: pd.DataFrame, sites: Sites) -> tuple:
-        c = choose(sites, nsim)
-        return len(sites), *c.means, c.family, c.accepted, *c.z.values(), *c.curve.values()
+    def row(sites: int, means: np.ndarray, error: tuple[float, float]) -> tuple:
+        c = chosen(means, error)
+        return sites, *c.means, c.family, c.accepted, *c.z.values(), *c.curve.values()
 
-    return by_region(members, region, work, "sites long, " + FITTED)
+    return by_error(members, region, nsim, row, "sites long, " + FITTED)
 
 
 def curve_rows(fits: DataFrame, region: str = "region") -> DataFrame:
@@ -185,13 +228,11 @@ def polynomial_goodness(members: DataFrame, region: str = "region", nsim: int =
     """Z of all families by their polynomials of L-kurtosis, and the best of the accepted
     ones, else of all."""
 
-    def work(rows: pd.DataFrame, sites: Sites) -> tuple:
-        z = goodness(sites, lambda f: polynomial_kurtosis(f, sites.means[1]), nsim, SEED)
-        known = [f for f in FAMILIES if np.isfinite(z[f])]
-        accepted = [f for f in known if abs(z[f]) <= ACCEPT]
-        return len(sites), min(accepted or known, key=lambda f: abs(z[f]), default=None), len(accepted), *z.values()
+    def row(sites: int, means: np.ndarray, error: tuple[float, float]) -> tuple:
+        z = goodness(means, error, lambda f: polynomial_kurtosis(f, means[1]))
+        return sites, *best(z), *z.values()
 
-    return by_region(members, region, work, "sites long, family string, accepted long, " + ", ".join(f"z_{f.lower()} double" for f in FAMILIES))
+    return by_error(members, region, nsim, row, "sites long, family string, accepted long, " + ", ".join(f"z_{f.lower()} double" for f in FAMILIES))
 
 
 def family_curve(regions: DataFrame, family: str, *keys: str) -> DataFrame:
