@@ -32,6 +32,21 @@ def test_files_of_many_kinds(spark, tmp_path):
     assert tables.sniffed("a;b ;a") == (";", ["a", "b", "a_2"])
 
 
+def test_lines_of_a_file_in_many_splits(spark, tmp_path):
+    """Lines are numbered in their file's order, however it is cut; files of other lengths beside it."""
+    for name, n in (("a", 4000), ("b", 3), ("c", 1500)):
+        (tmp_path / f"{name}.csv").write_text("station,status,line\n" + "".join(f"{name}{i},{'SUCCESS' if i % 3 else 'FAILED'},{i + 2}\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        rows, _ = tables.morphometry(spark, str(tmp_path))
+        got = rows.select("station", "excel_row", "line").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == sum(1 for n in (4000, 3, 1500) for i in range(n) if i % 3)
+    assert all(r.excel_row == int(r.line) for r in got) and "_split" not in rows.columns
+
+
 def test_morphometry_and_climate(spark, tmp_path):
     (tmp_path / "m").mkdir()
     (tmp_path / "m" / "m.csv").write_text("station;status;area;rain_max\nA one; success ;1;0\nB;FAILED;2;0\nC;SUCCESS;3;0\n")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,7 +184,16 @@ def outlet_window(cells: DataFrame, row: int, col: int, reach: int) -> DataFrame
     return inside.agg(F.max(F.when((F.col("row") == row) & (F.col("col") == col), F.col("acc"))).alias("at_outlet"), F.max("acc").alias("largest"), F.count(F.lit(1)).alias("cells"))
 
 
-def bbox_tiles(spark, box: tuple[float, float, float, float], most: float) -> DataFrame:
-    """The parts of a split box, west to east and south to north, with their areas."""
-    rows = [(*map(float, b), bbox_area(*b)) for b in sorted(split_bbox(box, most))]
-    return spark.createDataFrame(rows, "west double, south double, east double, north double, area_km2 double")
+def bbox_tiles(boxes: DataFrame, key: str, most: float) -> DataFrame:
+    """(key, west, south, east, north, area_km2): the parts of each split box, of (key, west,
+    south, east, north); a box that lacks a side has none."""
+    sides = ["west", "south", "east", "north"]
+    names = [key, *sides, "area_km2"]
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for who, *box in pdf.itertuples(index=False):
+                yield pd.DataFrame([(who, *b, bbox_area(*b)) for b in split_bbox(tuple(box), most)], columns=names)
+
+    rows = boxes.select(key, *(F.col(c).cast("double").alias(c) for c in sides)).dropna(subset=sides)
+    return rows.mapInPandas(split, f"{key} {dict(boxes.dtypes)[key]}, west double, south double, east double, north double, area_km2 double")

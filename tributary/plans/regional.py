@@ -175,13 +175,18 @@ def outlet_window(spark, sf_dir):
 _AREA = "6371.0*6371.0*(sin(radians(north))-sin(radians(south)))*radians(east-west)"
 
 
-@query(f"""WITH RECURSIVE t AS (SELECT 74.0::DOUBLE AS west, 8.0::DOUBLE AS south, 80.0::DOUBLE AS east, 13.0::DOUBLE AS north UNION ALL
-SELECT CASE WHEN wide AND half = 1 THEN (west+east)/2 ELSE west END, CASE WHEN NOT wide AND half = 1 THEN (south+north)/2 ELSE south END,
-CASE WHEN wide AND half = 0 THEN (west+east)/2 ELSE east END, CASE WHEN NOT wide AND half = 0 THEN (south+north)/2 ELSE north END
-FROM (SELECT *, east-west >= north-south AS wide FROM t WHERE {_AREA} > 50000), (SELECT unnest([0,1]) AS half))
-SELECT west, south, east, north, round({_AREA}, 4) AS area_km2 FROM t WHERE {_AREA} <= 50000""")
+@query(f"""WITH RECURSIVE b AS (SELECT s_suppkey AS station, CAST(s_acctbal AS DOUBLE)/60.0::DOUBLE AS lon, (s_suppkey*7919 % 1200)/10.0::DOUBLE - 60.0::DOUBLE AS lat, 1.0::DOUBLE + s_nationkey/10.0::DOUBLE AS half FROM supplier),
+t AS (SELECT station, lon-half AS west, lat-half AS south, lon+half AS east, lat+half AS north FROM b UNION ALL
+SELECT station, CASE WHEN wide AND part = 1 THEN (west+east)/2 ELSE west END, CASE WHEN NOT wide AND part = 1 THEN (south+north)/2 ELSE south END,
+CASE WHEN wide AND part = 0 THEN (west+east)/2 ELSE east END, CASE WHEN NOT wide AND part = 0 THEN (south+north)/2 ELSE north END
+FROM (SELECT *, east-west >= north-south AS wide FROM t WHERE {_AREA} > 50000), (SELECT unnest([0,1]) AS part))
+SELECT station, round(west,6) AS west, round(south,6) AS south, round(east,6) AS east, round(north,6) AS north, round({_AREA}, 4) AS area_km2 FROM t WHERE {_AREA} <= 50000""")
 def bbox_tiles(spark, sf_dir):
-    return rounded(raster.bbox_tiles(spark, (74.0, 8.0, 80.0, 13.0), 50_000.0), 4)
+    """A box around each supplier's place, cut into parts of 50,000 square kilometres or less."""
+    s = table(spark, sf_dir, "supplier")
+    place = s.select(F.col("s_suppkey").alias("station"), (F.col("s_acctbal").cast("double") / 60).alias("lon"), ((F.col("s_suppkey") * 7919 % 1200) / 10 - 60).alias("lat"), (1 + F.col("s_nationkey") / 10).alias("half"))
+    boxes = place.selectExpr("station", "lon - half AS west", "lat - half AS south", "lon + half AS east", "lat + half AS north")
+    return rounded(raster.bbox_tiles(boxes, "station", 50_000.0)).withColumn("area_km2", F.round("area_km2", 4))
 
 
 @query("""WITH b AS (SELECT user_id AS station, date_trunc('day', ts) AS d, max(value) AS ams FROM events WHERE value > 0 GROUP BY ALL)

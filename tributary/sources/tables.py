@@ -24,7 +24,8 @@ DELIMITERS = ",;\t|"
 
 @dataclass
 class Group:
-    """Files with the same first line, as text columns with trimmed names, and ``_path``."""
+    """Files with the same first line, as text columns with trimmed names, with ``_path`` and where
+    the split begins that a row is in."""
 
     columns: list[str]
     delimiter: str
@@ -68,7 +69,7 @@ def read_groups(spark: SparkSession, path: str, pattern: str = "*.csv") -> tuple
         delimiter, columns = sniffed(line)
         schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
         rows = spark.read.option("header", True).option("sep", delimiter).option("ignoreLeadingWhiteSpace", True).schema(schema).csv([re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in paths])
-        groups.append(Group(columns, delimiter, rows.select("*", _path().alias("_path"))))
+        groups.append(Group(columns, delimiter, rows.select("*", _path().alias("_path"), F.col("_metadata.file_block_start").alias("_split"))))
     empty = list_files(spark, path, pattern).join(first.select("path"), "path", "left_anti")
     return groups, empty.select("path", F.lit("no line").alias("reason"))
 
@@ -121,6 +122,17 @@ def climate(spark: SparkSession, path: str, largest: list[str], smallest: list[s
     return rows.groupBy(names.normalised(F.col("station")).alias("key")).agg(F.max("high").alias("largest"), F.min("low").alias("smallest")), rejects
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with ``excel_row``: their place in their split, after the rows of the splits before
+    it, so that no task sorts a whole file."""
+    split = ["_path", "_split"]
+    sizes = rows.groupBy(*split).agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = sizes.select(*(F.col(c).alias(c) for c in split), (F.sum("_rows").over(Window.partitionBy("_path").orderBy("_split")) - F.col("_rows")).alias("_earlier"))
+    inside = F.row_number().over(Window.partitionBy(*split).orderBy("_order"))
+    placed = rows.withColumn("_order", F.monotonically_increasing_id()).withColumn("_inside", inside)
+    return placed.join(earlier, split).withColumn("excel_row", (F.col("_earlier") + F.col("_inside") + 1).cast("int")).drop("_order", "_inside", "_earlier")
+
+
 def morphometry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects): successful rows of all files with a normalised key and ``excel_row``,
     their line in a spreadsheet, counted before filtering."""
@@ -131,9 +143,9 @@ def morphometry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         if not status or not station:
             rejects = rejects.unionByName(_files(g, "no status" if not status else "no station"))
             continue
-        numbered = g.rows.withColumn("_order", F.monotonically_increasing_id()).withColumn("excel_row", F.row_number().over(Window.partitionBy("_path").orderBy("_order")) + 1)
+        numbered = _numbered(g.rows)
         fine = numbered.where(F.upper(F.trim(F.col(status))) == "SUCCESS").withColumn("key", names.normalised(F.col(station)))
-        parts.append(fine.drop("_path", "_order"))
+        parts.append(fine.drop("_path", "_split"))
     if not parts:
         return spark.createDataFrame([], "station string, status string, excel_row int, key string"), rejects
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), rejects
