@@ -25,7 +25,7 @@ NSIM = 500
 ACCEPT = 1.64
 #: Discordancy needs so many sites.
 LEAST_SITES = 5
-#: Regions of more sites are simulated by blocks; the results agree to about eight digits.
+#: Regions of more sites are simulated by blocks; ``simulation`` says how the results agree.
 MOST_SITES = 2048
 
 
