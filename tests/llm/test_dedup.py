@@ -162,6 +162,32 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 0 for i in range(61)}, 600: 600, 601: 600}
 
 
+def test_components_join_edges_about_once(spark, monkeypatch):
+    """A round takes up the edges between the groups that are left, not all of them again."""
+    rng, root = random.Random(5), list(range(3000))
+    edges = {tuple(sorted(rng.sample(range(3000), 2))) for _ in range(2000)} | {(i, 2999) for i in range(50)} | {(i, i + 1) for i in range(1000, 1200)}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    held, kept = [], simhash.stored
+
+    def counted(df, label):
+        out = kept(df, label)
+        held.extend([out.count()] if label == "edges" else [])
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    got = {r.node: r.label for r in simhash.components(spark.createDataFrame([(b, a) for a, b in edges], "a long, b long")).collect()}
+    assert got == {x: find(x) for e in edges for x in e}
+    assert held[0] == len(edges) and held[-1] == 0 and sum(held[1:]) < len(edges) / 2
+
+
 def test_only_the_judged_row_goes(spark):
     """Rows that share an id, also a null one, with a dropped row keep their own text; of a
     row that is there more than once one stays."""

@@ -279,19 +279,36 @@ def links(distinct: DataFrame, root_rows: int = ROOT_ROWS) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b): label is its component's smallest
-    node.  Each round takes the smallest label around a node, then follows it once more."""
-    both = stored(edges.where("a <> b").select("a", "b").union(edges.select("b", "a").where("a <> b")).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).withColumn("label", F.least("node", "label")), "labels")
+    node.  Each round every node points to its smallest neighbour, if that is smaller, and so
+    to the smallest of its tree; trees become nodes, and only edges between them go on.  So
+    edges are joined about once, not in every round."""
+    left = stored(_ordered(edges), "edges")
+    labels = None
     while True:
-        around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
-        near = stored(labels.join(around, "node").select("node", "label", F.least("label", "seen").alias("new")), "labels")
-        onward = near.select(F.col("node").alias("new"), F.col("new").alias("next"))
-        jumped = stored(near.join(onward, "new").select("node", F.least("new", "next").alias("label"), (F.col("label") != F.least("new", "next")).alias("moved")), "labels")
-        labels = jumped.select("node", "label")
-        if jumped.where("moved").isEmpty():
+        both = left.select(F.col("a").alias("node"), F.col("b").alias("to")).union(left.select("b", "a"))
+        roots = stored(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("label")), "roots")
+        while True:
+            onward = roots.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            jumped = stored(roots.join(onward, "label").select("node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")), "roots")
+            roots = jumped.select("node", "label")
+            if jumped.where("moved").isEmpty():
+                break
+        if labels is None:
+            labels = roots
+        else:
+            onward = roots.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            labels = stored(labels.join(onward, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+        root = lambda end: roots.select(F.col("node").alias(end), F.col("label").alias(f"_{end}"))
+        apart = left.join(root("a"), "a").join(root("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+        left = stored(_ordered(apart), "edges")
+        if left.isEmpty():
             return labels
 
 
+def _ordered(edges: DataFrame) -> DataFrame:
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) for each row of ``docs``.
 
