@@ -541,6 +541,8 @@ def test_accumulation(spark):
 def test_flow_directions(spark):
     z = spark.createDataFrame([(0, 0, 5.0), (0, 1, 3.0), (1, 1, 2.0), (1, 0, None)], "row int, col int, z double")
     assert {(r.row, r.col): r.fdir for r in raster.flow_directions(z).collect()} == {(0, 0): 2, (0, 1): 4, (1, 1): 0, (1, 0): 0}
+    # Eight offers a cell look small to the planner; they must not go through the driver.
+    assert "Broadcast" not in raster.flow_directions(z)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_regression_keeps_digits(spark):

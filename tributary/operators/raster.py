@@ -123,12 +123,13 @@ def flow_directions(cells: DataFrame, key: list[str] | None = None) -> DataFrame
     k = key or []
     ways = F.array(*(F.struct(F.lit(code).alias("code"), F.lit(r).alias("dr"), F.lit(c).alias("dc")) for code, (r, c) in D8.items()))
     # Each cell offers its height to those around it: one equi-join, whatever the grid's size.
+    # Eight offers a cell are taken for few by the planner, which would broadcast them.
     offers = cells.where("z is not null").select(*k, "row", "col", "z", F.explode(ways).alias("w")).select(
         *k, (F.col("row") - F.col("w.dr")).alias("row"), (F.col("col") - F.col("w.dc")).alias("col"), F.col("w.code").alias("code"), F.sqrt(F.col("w.dr") ** 2 + F.col("w.dc") ** 2).alias("far"), F.col("z").alias("low")
     )
     drop = (F.col("z") - F.col("low")) / F.col("far")
-    best = cells.select(*k, "row", "col", "z").join(offers, [*k, "row", "col"]).where(drop > 0).groupBy(*k, "row", "col").agg(F.max(F.struct(drop.alias("drop"), (-F.col("code")).alias("code"))).alias("b"))
-    return cells.drop("fdir").join(best, [*k, "row", "col"], "left").withColumn("fdir", F.coalesce(-F.col("b.code"), F.lit(0))).drop("b")
+    best = cells.select(*k, "row", "col", "z").join(offers.hint("merge"), [*k, "row", "col"]).where(drop > 0).groupBy(*k, "row", "col").agg(F.max(F.struct(drop.alias("drop"), (-F.col("code")).alias("code"))).alias("b"))
+    return cells.drop("fdir").join(best.hint("merge"), [*k, "row", "col"], "left").withColumn("fdir", F.coalesce(-F.col("b.code"), F.lit(0))).drop("b")
 
 
 def accumulation(cells: DataFrame, key: list[str] | None = None) -> DataFrame:
