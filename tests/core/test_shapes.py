@@ -38,6 +38,15 @@ def test_round_trip(spark, tmp_path):
     assert shapefile.read_shapes(spark, path).count() == 3
 
 
+def test_files_end_by_their_tables_too(spark, tmp_path):
+    """Points are small and their rows large: both count, so a task holds what a file may have."""
+    path = str(tmp_path / "points")
+    df = spark.range(400).coalesce(1).selectExpr("id", "concat('n', id) as name", "'point' as shape", "array(array(struct(double(id) as x, 1d as y))) as parts")
+    shapefile.write_shapes(df, path, maxBytes=20_000)
+    assert len(found(path, ".shp")) >= 5 and max(os.path.getsize(f"{path}/{f}") for f in os.listdir(path)) < 21_000
+    assert sorted((r.id, r.name, r.xmin) for r in shapefile.read_shapes(spark, path).collect()) == [(i, f"n{i}", float(i)) for i in range(400)]
+
+
 def test_pushed_bounds_skip_shapes(tmp_path):
     reader = shapefile.Reader(str(tmp_path), shapefile.T.StructType(shapefile.SHAPE), {})
     from pyspark.sql.datasource import EqualTo, GreaterThan

@@ -249,39 +249,52 @@ class Writer(FolderWriter):
             raise ValueError("rows of shapefiles have columns shape and parts")
 
     def files(self, rows: Iterator, task: int) -> Iterator[tuple[str, bytes]]:
-        held: list = []
-        size = number = 0
-        for row in rows:
-            row = row.asDict()
-            content = encoded(row["shape"] or "null", row["parts"])
-            if held and (self.name or size + len(content[0]) > self.most or row["shape"] not in (held[0][0]["shape"], "null", None)):
-                yield from self._file(held, task, number)
-                held, size, number = [], 0, number + 1
-            held.append((row, *content))
-            size += len(content[0]) + 8
-        if held:
-            yield from self._file(held, task, number)
-
-    def _file(self, held: list, task: int, number: int) -> Iterator[tuple[str, bytes]]:
-        stem = f"part-{task:05d}-{number:04d}-{self.run[:8]}"
-        if self.name:
-            stem = "".join(c if c.isalnum() or c in "_-" else "_" for c in str(held[0][0][self.name])) or stem
-        bounds = [b for _, _, b in held if b]
-        whole = tuple(f(c) for f, c in zip((min, min, max, max), zip(*bounds))) if bounds else (0.0,) * 4
-        code = next((struct.unpack("<i", c[:4])[0] for _, c, b in held if b), 0)
-        at, index, shapes = HEAD, [], []
-        for k, (_, content, _) in enumerate(held):
-            index.append(struct.pack(">2i", at // 2, len(content) // 2))
-            shapes.append(struct.pack(">2i", k + 1, len(content) // 2) + content)
-            at += 8 + len(content)
-        yield f"{stem}.shp", _head(at // 2, code, whole) + b"".join(shapes)
-        yield f"{stem}.shx", _head((HEAD + 8 * len(index)) // 2, code, whole) + b"".join(index)
+        """Rows are encoded as they come; a file ends where its shapes and its table together
+        reach ``maxbytes``."""
         fields = fields_of(self.schema) or [Field("id", "N", 11, 0)]
         names = [f.name for f in self.schema.fields if f.name not in {s.name for s in SHAPE}]
-        head = struct.pack("<4BIHH20x", 3, 100, 1, 1, len(held), 33 + 32 * len(fields), 1 + sum(f.size for f in fields))
+        open_, number = None, 0
+        for row in rows:
+            content, bounds = encoded(row["shape"] or "null", row["parts"])
+            if open_ and (self.name or open_.size() + len(content) > self.most or row["shape"] not in (open_.shape, "null", None)):
+                yield from open_.files(self._stem(open_, task, number), fields)
+                open_, number = None, number + 1
+            open_ = open_ or Held(row["shape"], str(row[self.name]) if self.name else None)
+            open_.add(content, bounds, b" " + b"".join(_cell(f, row[n] if names else open_.rows) for f, n in zip(fields, names or ["id"])))
+        if open_:
+            yield from open_.files(self._stem(open_, task, number), fields)
+
+    def _stem(self, held: Held, task: int, number: int) -> str:
+        named = "".join(c if c.isalnum() or c in "_-" else "_" for c in held.name) if self.name else ""
+        return named or f"part-{task:05d}-{number:04d}-{self.run[:8]}"
+
+
+class Held:
+    """A file's records as bytes, the first one's shape and name, and the bounds of all."""
+
+    def __init__(self, shape: str | None, name: str | None):
+        self.shape, self.name, self.rows, self.code, self.bounds = shape, name, 0, 0, None
+        self.shapes, self.index, self.lines = bytearray(), bytearray(), bytearray()
+
+    def size(self) -> int:
+        return len(self.shapes) + len(self.index) + len(self.lines)
+
+    def add(self, content: bytes, bounds: tuple | None, line: bytes) -> None:
+        self.index += struct.pack(">2i", (HEAD + len(self.shapes)) // 2, len(content) // 2)
+        self.rows += 1
+        self.shapes += struct.pack(">2i", self.rows, len(content) // 2) + content
+        self.lines += line
+        if bounds:
+            self.code = self.code or struct.unpack("<i", content[:4])[0]
+            self.bounds = tuple(f(c) for f, c in zip((min, min, max, max), zip(self.bounds or bounds, bounds)))
+
+    def files(self, stem: str, fields: list[Field]) -> Iterator[tuple[str, bytes]]:
+        whole = self.bounds or (0.0,) * 4
+        yield f"{stem}.shp", _head((HEAD + len(self.shapes)) // 2, self.code, whole) + self.shapes
+        yield f"{stem}.shx", _head((HEAD + len(self.index)) // 2, self.code, whole) + self.index
+        head = struct.pack("<4BIHH20x", 3, 100, 1, 1, self.rows, 33 + 32 * len(fields), 1 + sum(f.size for f in fields))
         described = b"".join(struct.pack("<11sc4xBB14x", f.name.encode(), f.kind.encode(), f.size, f.decimals) for f in fields)
-        lines = (b" " + b"".join(_cell(f, row[n] if names else k) for f, n in zip(fields, names or ["id"])) for k, (row, _, _) in enumerate(held))
-        yield f"{stem}.dbf", head + described + b"\r" + b"".join(lines) + b"\x1a"
+        yield f"{stem}.dbf", head + described + b"\r" + self.lines + b"\x1a"
         yield f"{stem}.prj", WGS84.encode()
         yield f"{stem}.cpg", b"UTF-8"
 
