@@ -96,3 +96,11 @@ def test_sums_centres_and_text(spark):
 
 def test_no_cells(spark):
     assert outlined(spark, {}).count() == 0
+
+
+def test_edges_are_not_broadcast(spark):
+    """Compressed files of edges look small; none of them goes through the driver."""
+    cells = spark.range(40).selectExpr("0 as basin", "int(id div 8) as row", "int(id % 8) as col")
+    edges = outlines.boundary(cells, ["basin"])
+    for df in (outlines.linked(edges, ["basin"]), outlines.rings(cells, ["basin"])):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()

@@ -1,4 +1,8 @@
-"""Outlines of sets of cells: unit edges, closed rings, polygons with holes."""
+"""Outlines of sets of cells: unit edges, closed rings, polygons with holes.
+
+Edges lie in compressed files that look small enough to broadcast when their rows are not, so
+tables of edges and rings are joined by sorting, and none goes through the driver.
+"""
 
 from __future__ import annotations
 
@@ -38,7 +42,7 @@ def linked(edges: DataFrame, key: list[str]) -> DataFrame:
     out = edges.groupBy(*key, F.col("r0").alias("r1"), F.col("c0").alias("c1")).agg(F.collect_list(F.struct("row", "col", "edge")).alias("on"))
     same = F.filter("on", lambda e: (e["row"] == F.col("row")) & (e["col"] == F.col("col")))
     after = F.when(F.size("on") == 1, F.col("on")[0]["edge"]).otherwise(same[0]["edge"])
-    return edges.join(out, [*key, "r1", "c1"]).select(*key, "edge", after.alias("next"))
+    return edges.join(out.hint("merge"), [*key, "r1", "c1"]).select(*key, "edge", after.alias("next"))
 
 
 def ringed(links: DataFrame, key: list[str]) -> DataFrame:
@@ -49,14 +53,14 @@ def ringed(links: DataFrame, key: list[str]) -> DataFrame:
     while not state.where("moved").isEmpty():
         far = state.select(*key, F.col("edge").alias("to"), F.col("to").alias("_to"), F.col("ring").alias("_ring"))
         least = F.least("ring", "_ring")
-        state = stored(state.join(far, [*key, "to"]).select(*key, "edge", F.col("_to").alias("to"), least.alias("ring"), (least < F.col("ring")).alias("moved")), "rings")
+        state = stored(state.join(far.hint("merge"), [*key, "to"]).select(*key, "edge", F.col("_to").alias("to"), least.alias("ring"), (least < F.col("ring")).alias("moved")), "rings")
     ring = state.select(*key, "edge", "ring")
     # The ring is cut before its least edge, and each edge counts those up to the cut.
-    chain = links.join(ring, [*key, "edge"]).withColumn("to", F.when(F.col("next") != F.col("ring"), F.col("next")))
+    chain = links.join(ring.hint("merge"), [*key, "edge"]).withColumn("to", F.when(F.col("next") != F.col("ring"), F.col("next")))
     state = stored(chain.select(*key, "edge", "ring", "to", F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("place")), "places")
     while not state.where("to is not null").isEmpty():
         far = state.select(*key, F.col("edge").alias("to"), F.col("to").alias("_to"), F.col("place").alias("_place"))
-        state = stored(state.join(far, [*key, "to"], "left").select(*key, "edge", "ring", F.col("_to").alias("to"), (F.col("place") + F.coalesce("_place", F.lit(0))).alias("place")), "places")
+        state = stored(state.join(far.hint("merge"), [*key, "to"], "left").select(*key, "edge", "ring", F.col("_to").alias("to"), (F.col("place") + F.coalesce("_place", F.lit(0))).alias("place")), "places")
     return state.select(*key, "edge", "ring", "place")
 
 
@@ -77,7 +81,7 @@ def holders(placed: DataFrame, key: list[str]) -> DataFrame:
     state = stored(state, "holders")
     while not state.where("inner").isEmpty():
         far = state.select(*key, F.col("ring").alias("holder"), F.col("holder").alias("_holder"), F.col("inner").alias("_inner"))
-        state = stored(state.join(far, [*key, "holder"], "left").select(*key, "ring", F.coalesce("_holder", "holder").alias("holder"), F.coalesce("_inner", F.lit(False)).alias("inner")), "holders")
+        state = stored(state.join(far.hint("merge"), [*key, "holder"], "left").select(*key, "ring", F.coalesce("_holder", "holder").alias("holder"), F.coalesce("_inner", F.lit(False)).alias("inner")), "holders")
     return state.select(*key, "ring", "holder")
 
 
@@ -91,7 +95,7 @@ def rings(cells: DataFrame, key: list[str]) -> DataFrame:
     """
     cells = cells.dropna(subset=[*key, "row", "col"])
     edges = stored(boundary(cells, key), "edges")
-    placed = stored(edges.join(ringed(linked(edges, key), key), [*key, "edge"]), "placed")
+    placed = stored(edges.join(ringed(linked(edges, key), key).hint("merge"), [*key, "edge"]), "placed")
     # Twice the area by the cross products of corners, as whole numbers.
     twice = F.sum(F.col("c0").cast("long") * F.col("r1") - F.col("c1").cast("long") * F.col("r0"))
     order = Window.partitionBy(*key, "ring").orderBy(F.col("place").desc())
@@ -102,8 +106,8 @@ def rings(cells: DataFrame, key: list[str]) -> DataFrame:
     t = t.withColumn("_points", F.when(F.col("_first") == F.col("_last"), F.slice("_points", 2, F.size("_points"))).otherwise(F.col("_points")))
     area = (F.col("_twice") / 2).cast("long")
     t = stored(t.select(*key, "ring", (area < 0).alias("hole"), area.alias("area"), "perimeter", F.transform("_points", lambda p: F.struct(p["row"].alias("row"), p["col"].alias("col"))).alias("corners")), "outlines")
-    held = holders(placed.join(t.select(*key, "ring", "hole"), [*key, "ring"]), key)
-    return t.join(held, [*key, "ring"], "left").select(*key, "ring", "hole", "holder", "area", "perimeter", "corners")
+    held = holders(placed.join(t.select(*key, "ring", "hole").hint("merge"), [*key, "ring"]), key)
+    return t.join(held.hint("merge"), [*key, "ring"], "left").select(*key, "ring", "hole", "holder", "area", "perimeter", "corners")
 
 
 def outline_sums(outlines: DataFrame, key: list[str]) -> DataFrame:
