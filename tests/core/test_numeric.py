@@ -678,3 +678,18 @@ def test_moves_do_not_meet_and_published_outcomes(spark):
     known = [(7.896, 6.631, 8.761, 9.088, False), (9.678, 10.103, 7.896, 8.132, False), (8.761, 8.451, 9.678, 9.644, True), (8.688, 9.178, 9.088, 8.990, False), (7.896, 6.631, 8.451, 8.902, False), (10.378, 9.828, 7.896, 8.132, False)]
     found = spark.createDataFrame(known, "bf double, af double, bt double, at double, accepted boolean")
     assert found.where(cluster.transfer_accepted(F.col("bf"), F.col("af"), F.col("bt"), F.col("at")) != F.col("accepted")).isEmpty()
+
+
+def test_checked_distances_by_blocks(spark):
+    """The same row as from tables of all pairs, and no table of pairs on the way."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(150, 2))
+    turned = x @ np.array([[0.6, -0.8], [0.8, 0.6]])
+    off = turned + np.where(np.arange(150)[:, None] == 7, 0.01, 0.0)
+    tables = [spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(t)], "station int, a double, b double") for t in (x, turned, off)]
+    for other in tables[1:]:
+        pairs = space.same_distances(space.distances(tables[0], "station", ["a", "b"]), space.distances(other, "station", ["a", "b"])).first()
+        got = space.checked_distances(tables[0], other, "station", ["a", "b"], ["a", "b"], rows=40)
+        assert got.first() == pairs and got.first().pairs == 150 * 150
+    assert not got.first().same
+    assert tuple(space.checked_distances(tables[0].where("false"), other, "station", ["a", "b"], ["a", "b"]).first()) == (None, None, None, 0)
