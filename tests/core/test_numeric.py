@@ -693,3 +693,25 @@ def test_checked_distances_by_blocks(spark):
         assert got.first() == pairs and got.first().pairs == 150 * 150
     assert not got.first().same
     assert tuple(space.checked_distances(tables[0].where("false"), other, "station", ["a", "b"], ["a", "b"]).first()) == (None, None, None, 0)
+
+
+def test_all_numbers_of_clusters_together(spark, monkeypatch):
+    """A table of labels whatever the numbers of clusters and rounds, and silhouettes and
+    scatter of each number as by itself."""
+    rng = np.random.default_rng(11)
+    df = spark.createDataFrame([(i, *map(float, rng.normal(size=2))) for i in range(90)], "station int, a double, b double").localCheckpoint()
+    held, kept = [], cluster.stored
+    monkeypatch.setattr(cluster, "stored", lambda df, label: held.append(label) or kept(df, label))
+    ks = [1, 2, 5, 90]
+    labels = cluster.ward_kmeans(df, "station", ["a", "b"], ks)
+    assert held.count("assigned") == 1
+    means = {r.k: r.silhouette for r in cluster.mean_silhouettes(df, labels, "station", ["a", "b"], block=20).collect()}
+    scatter = {r.k: r.davies_bouldin for r in cluster.davies_bouldin(df.join(labels, "station"), ["a", "b"], by=("k",)).collect()}
+    assert sorted(means) == ks and 1 not in scatter
+    for k in (2, 5):
+        one = df.join(labels.where(F.col("k") == k), "station")
+        alone = cluster.ward_kmeans(df, "station", ["a", "b"], [k])
+        assert one.select("station", "ward", "cluster").exceptAll(alone.select("station", "ward", "cluster")).isEmpty()
+        assert means[k] == pytest.approx(cluster.silhouettes(one, "station", ["a", "b"]).agg(F.avg("silhouette")).first()[0], abs=1e-12)
+        assert scatter[k] == pytest.approx(cluster.davies_bouldin(one, ["a", "b"]).first()[0], rel=1e-12)
+    assert means[1] == 0 and means[90] == 0
