@@ -715,3 +715,11 @@ def test_all_numbers_of_clusters_together(spark, monkeypatch):
         assert means[k] == pytest.approx(cluster.silhouettes(one, "station", ["a", "b"]).agg(F.avg("silhouette")).first()[0], abs=1e-12)
         assert scatter[k] == pytest.approx(cluster.davies_bouldin(one, ["a", "b"]).first()[0], rel=1e-12)
     assert means[1] == 0 and means[90] == 0
+
+
+def test_sweep_takes_distances_once(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    df = spark.createDataFrame([(i, *map(float, rng.normal(size=2))) for i in range(60)], "station int, a double, b double").localCheckpoint()
+    taken, against = [], cluster.blocks.against
+    monkeypatch.setattr(cluster.blocks, "against", lambda *a: taken.append(1) or against(*a))
+    assert sorted(r.k for r in cluster.kmeans_sweep(df, "station", ["a", "b"], [2, 3, 4, 61]).collect()) == [2, 3, 4] and len(taken) == 1
