@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tributary.functions.distributions import parent
+from tributary.functions.distributions import drawn_ratios, lmoment_ratios, parent
 from tributary.operators import homogeneity, simulation
 
 
@@ -48,3 +48,21 @@ def test_blocks_give_the_same_results(spark, monkeypatch):
                 else:
                     assert x == y
     assert want[0]["big"].sites == 70 and np.isfinite(want[0]["big"].h1)
+
+
+@pytest.mark.parametrize("ratios", [(0.2, 0.15, 0.15), (0.2, 0.1, 0.02), (0.2, 0.17, 0.17), (0.2, 0.3, 0.4)])
+def test_draws_are_quantiles_of_the_stream(ratios):
+    source, n, nsim = parent(*ratios), 30, 50
+    stream = np.random.default_rng(5).random(nsim * 70)[nsim * 40 :]
+    want = lmoment_ratios(source.quantile(stream.reshape(nsim, n)))
+    assert np.allclose(drawn_ratios(source, 5, nsim, n, 40), want, rtol=1e-9, atol=1e-12)
+
+
+def test_equal_regions_are_simulated_once(monkeypatch):
+    calls, draws = [], simulation.draws
+    monkeypatch.setattr(simulation, "draws", lambda *args: calls.append(args) or draws(*args))
+    ratios, years = planted(np.random.default_rng(11), 6)
+    found = [homogeneity.heterogeneity(homogeneity.Sites(ratios.copy(), years.astype(float)), 30) for _ in range(3)]
+    other = homogeneity.heterogeneity(homogeneity.Sites(ratios[::-1], years[::-1].astype(float)), 30)
+    assert found[0] == found[1] == found[2] != other
+    assert len(calls) == 2
