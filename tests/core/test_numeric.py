@@ -723,3 +723,21 @@ def test_sweep_takes_distances_once(spark, monkeypatch):
     taken, against = [], cluster.blocks.against
     monkeypatch.setattr(cluster.blocks, "against", lambda *a: taken.append(1) or against(*a))
     assert sorted(r.k for r in cluster.kmeans_sweep(df, "station", ["a", "b"], [2, 3, 4, 61]).collect()) == [2, 3, 4] and len(taken) == 1
+
+
+def test_targets_at_one_place_grow_together(spark, monkeypatch):
+    """Copies of stations: a place is a group of its own, cut up where its targets see too much."""
+    rng = np.random.default_rng(21)
+    z, ratios = np.repeat(rng.normal(size=(12, 2)), 6, axis=0), np.repeat(np.array([0.2, 0.15, 0.15]) + rng.normal(0, 0.02, (12, 3)), 6, axis=0)
+    rows = [(s, *map(float, z[s]), 20 + s // 6, *map(float, ratios[s])) for s in range(72)]
+    stations = spark.createDataFrame(rows, "station long, x double, y double, n long, t double, t3 double, t4 double")
+    rules = roi.Rules(station_years=150, nsim_grow=30, nsim_final=30)
+    want = {}
+    for s in range(72):
+        region = roi.grow(s, z, ratios, np.array([r[3] for r in rows], float), rules)
+        want[s] = (region.members, [x.action for x in region.steps])
+    for together in (1 << 15, 150):
+        monkeypatch.setattr(roi, "TOGETHER", together)
+        monkeypatch.setattr(roi, "FIRST", 30)
+        groups = roi.grown_regions(stations, ["x", "y"], rules)
+        assert {r.station: (r.members, [x.action for x in r.steps]) for r in groups.collect()} == want
