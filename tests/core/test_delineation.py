@@ -91,6 +91,24 @@ def test_equals_one_after_another(spark, seed):
     assert kinds == {"SUCCESS", "FAILED"} and {1, 2, 3} == {x[-1] for x in want.values() if len(x) > 1}
 
 
+def test_small_windows_are_one_task_each(spark, monkeypatch):
+    """No rounds over all windows' cells, and the same results."""
+
+    def no_rounds(*args, **kwargs):
+        raise AssertionError("tiles")
+
+    z = hills(2, 40, 40)
+    outlets = {i: (8 + 5 * i % 24, 8 + 7 * i % 24) for i in range(12)}
+    want, cells = one_after_another(z, outlets, RULES)
+    df = spark.createDataFrame([(r, c, h) for (r, c), h in z.items()], "row int, col int, z double")
+    given = spark.createDataFrame([(o, r, c) for o, (r, c) in outlets.items()], "outlet int, row int, col int")
+    monkeypatch.setattr(delineation.terrain, "conditioned", no_rounds)
+    table, inside = delineation.delineated(df, given, RULES)
+    got = {r.outlet: ("SUCCESS", r.window, r.radius, r.snap_row, r.snap_col, r.threshold, r.cells, r.tries) if r.status == "SUCCESS" else ("FAILED",) for r in table.collect()}
+    assert got == want
+    assert {(r.outlet, r.row, r.col) for r in inside.collect()} == {(o, *p) for o, own in cells.items() for p in own}
+
+
 def test_no_outlets(spark):
     cells = spark.createDataFrame([(0, 0, 1.0)], "row int, col int, z double")
     none = spark.createDataFrame([], "outlet int, row int, col int")

@@ -111,3 +111,10 @@ def test_every_cell_drains(spark):
     acc = {(r.row, r.col): r.acc for r in raster.accumulation(flow).collect()}
     out = [p for r in flow.collect() if (p := (r.row, r.col)) and (r.row + D8[r.fdir][0], r.col + D8[r.fdir][1]) not in z]
     assert leaving == len(out) and sum(acc[p] for p in out) == len(z)
+
+
+def test_tile_is_as_small_as_its_cells():
+    """Also where some of them are its margin."""
+    tile = terrain.Tile([255, 255, 256], [7, 8, 7], {"z": [1.0, 2.0, 3.0]}, 0, 0, 256)
+    assert len(tile.values["z"]) == 4 * 4
+    assert tile.rows.tolist() == [255, 255] and tile.cols.tolist() == [7, 8]

@@ -15,8 +15,12 @@ would reach.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,11 +78,63 @@ def snapped(flow: DataFrame, places: DataFrame, rules: Rules) -> DataFrame:
     return t.groupBy("outlet").agg(best.alias("b")).select("outlet", F.col("b.row").alias("snap_row"), F.col("b.col").alias("snap_col"), levels[F.col("b._tier")].alias("threshold"))
 
 
-def tried(cells: DataFrame, places: DataFrame, rules: Rules, side: int) -> tuple[DataFrame, DataFrame]:
-    """One try of each of (outlet, at_row, at_col, window, radius): with what it comes to
-    (``grow`` or ``found``), its snapped cell and size; and the cells of what is found."""
-    reach = F.round(F.col("window") / rules.degrees)
-    window = stored(windows(cells, places, reach, 2 * side), "windows")
+def at_once(window: pd.DataFrame, rules: Rules) -> tuple | None:
+    """What one try in a window that a task holds comes to: snapped row and column,
+    threshold, cells, whether these touch the window's edge, and their rows and columns; none
+    where there is no stream.  The steps are those of ``tried`` for large windows."""
+    rows, cols = window["row"].to_numpy(), window["col"].to_numpy()
+    wide = int(max(np.ptp(rows), np.ptp(cols))) + 1
+    tile = terrain.Tile(rows, cols, {"z": window["z"]}, int(rows.min()), int(cols.min()), wide)
+    tile.values["h"] = np.full(tile.size, np.inf)
+    tile.values["h"][tile.own] = terrain.flooded(tile)[0]
+    own, way = tile.own.tolist(), dict(zip(raster.D8, tile.around))
+    mine, code = tile.mine(), terrain.drained(tile)[0].tolist()
+    to = {i: i + way[c] for i, c in zip(own, code) if c and mine[i + way[c]]}
+    above: dict[int, list[int]] = {}
+    for i, j in to.items():
+        above.setdefault(j, []).append(i)
+    acc, order = dict.fromkeys(own, 1), [i for i in own if i not in to]
+    for i in order:
+        order += above.get(i, [])
+    for i in reversed(order):
+        if i in to:
+            acc[to[i]] += acc[i]
+    first = window.iloc[0]
+    dr, dc = tile.rows - int(first["at_row"]), tile.cols - int(first["at_col"])
+    r = max(1, math.floor(first["radius"] / rules.degrees + 1e-9))
+    near = np.flatnonzero((dr >= -r) & (dr < r) & (dc >= -r) & (dc < r)).tolist()
+    found = min(((-s, int(dr[k] ** 2 + dc[k] ** 2), int(tile.rows[k]), int(tile.cols[k]), own[k]) for k in near for s in [max((s for s in rules.streams if acc[own[k]] >= s), default=None)] if s is not None), default=None)
+    if found is None:
+        return None
+    inside = [found[-1]]
+    for i in inside:
+        inside += above.get(i, [])
+    r, c = tile.place(np.array(inside))
+    touches = any(((x == every.min()) | (x == every.max())).any() for x, every in ((r, tile.rows), (c, tile.cols)))
+    return found[2], found[3], -found[0], len(inside), bool(touches), r.tolist(), c.tolist()
+
+
+def tried_at_once(window: DataFrame, places: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
+    """(outlet, snap_row, snap_col, threshold, cells, touches), and the catchments' cells, of
+    windows each of which a task holds."""
+    spark, kind = window.sparkSession, dict(window.dtypes)["outlet"]
+    names = ["outlet", "snap_row", "snap_col", "threshold", "cells", "touches", "rows", "cols"]
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = at_once(pdf, rules)
+        return pd.DataFrame([] if found is None else [(pdf["outlet"].iloc[0], *found)], columns=names)
+
+    # Windows look small, but each is work: a number of parts of its own.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    rows = window.join(places.select("outlet", "at_row", "at_col", "radius"), "outlet").repartition(parts, "outlet")
+    schema = f"outlet {kind}, snap_row int, snap_col int, threshold int, cells long, touches boolean, rows array<int>, cols array<int>"
+    done = stored(rows.groupBy("outlet").applyInPandas(work, schema), "at-once")
+    cells = F.inline(F.arrays_zip(F.col("rows").alias("row"), F.col("cols").alias("col")))
+    return done.drop("rows", "cols"), done.select("outlet", cells)
+
+
+def tried_by_tiles(window: DataFrame, places: DataFrame, rules: Rules, side: int) -> tuple[DataFrame, DataFrame]:
+    """The same of windows of any size."""
     flow = terrain.conditioned(window, ("outlet",), side)
     acc = stored(raster.accumulation(flow, ["outlet"]), "accumulation")
     at = stored(snapped(acc, places, rules), "snapped")
@@ -86,8 +142,25 @@ def tried(cells: DataFrame, places: DataFrame, rules: Rules, side: int) -> tuple
     ends = window.where("z is not null").groupBy("outlet").agg(*(f(c).alias(f"_{f.__name__}_{c}") for f in (F.min, F.max) for c in ("row", "col")))
     touches = F.max((F.col("row") == F.col("_min_row")) | (F.col("row") == F.col("_max_row")) | (F.col("col") == F.col("_min_col")) | (F.col("col") == F.col("_max_col")))
     shape = inside.join(ends, "outlet").groupBy("outlet").agg(F.count(F.lit(1)).alias("cells"), touches.alias("touches"))
-    found = places.join(at, "outlet", "left").join(shape, "outlet", "left")
+    return at.join(shape, "outlet", "left"), inside
+
+
+def tried(cells: DataFrame, places: DataFrame, rules: Rules, side: int) -> tuple[DataFrame, DataFrame]:
+    """One try of each of (outlet, at_row, at_col, window, radius): with what it comes to
+    (``grow`` or ``found``), its snapped cell and size; and the cells of what is found.  A
+    window that is no wider than a tile is one task's, larger ones are worked on by tiles."""
+    reach = F.round(F.col("window") / rules.degrees)
+    parts = []
+    for small in (True, False):
+        some = places.where((2 * reach + 1 <= side) == small)
+        if some.isEmpty():
+            continue
+        # Blocks of about a first window: an outlet meets the cells around it, not a whole tile's.
+        window = stored(windows(cells, some, reach, max(1, round(rules.window / rules.degrees))), "windows")
+        parts.append(tried_at_once(window, some, rules) if small else tried_by_tiles(window, some, rules, side))
+    results, inside = (reduce(DataFrame.unionByName, x) for x in zip(*parts))
     fits = F.coalesce((F.col("cells") * rules.cell_km2() >= rules.least_area) & ~F.col("touches"), F.lit(False))
+    found = places.join(results, "outlet", "left")
     found = stored(found.withColumn("state", F.when(fits, "found").otherwise("grow")).drop("touches"), "tries")
     return found, inside.join(found.where("state = 'found'").select("outlet"), "outlet", "left_semi")
 

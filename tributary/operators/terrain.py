@@ -84,25 +84,26 @@ def levels(edges: Edges) -> dict[int, float]:
 
 
 class Tile:
-    """A tile's cells with those around it: flat grids with one cell of margin, infinite where
-    there is no value.  ``own`` are the tile's cells that have the first value."""
+    """A tile's cells with those around it: flat grids that reach one cell beyond them, infinite
+    where there is no value; a tile of few cells is as small as these.  ``own`` are the tile's
+    cells that have the first value."""
 
     def __init__(self, rows, cols, values: dict[str, np.ndarray], top: int, left: int, side: int):
-        self.side, self.wide = side, side + 2
-        self.top, self.left = top - 1, left - 1
-        self.at = (np.asarray(rows) - self.top) * self.wide + (np.asarray(cols) - self.left)
+        rows, cols = np.asarray(rows, np.int64), np.asarray(cols, np.int64)
+        self.top, self.left, self.wide = int(rows.min()) - 1, int(cols.min()) - 1, int(cols.max() - cols.min()) + 3
+        self.at = (rows - self.top) * self.wide + (cols - self.left)
         self.around = [dr * self.wide + dc for dr, dc in D8.values()]
         self.far = [float(np.hypot(dr, dc)) for dr, dc in D8.values()]
-        size = self.wide * self.wide
+        self.size = (int(rows.max() - rows.min()) + 3) * self.wide
         self.values = {}
         for name, v in values.items():
-            grid = np.full(size, np.inf)
+            grid = np.full(self.size, np.inf)
             v = np.asarray(v, float)
             np.minimum.at(grid, self.at, np.where(np.isnan(v), np.inf, v))  # of repeated cells the lowest
             self.values[name] = grid
         there = np.unique(self.at)
-        r, c = np.divmod(there, self.wide)
-        there = there[(r > 0) & (r <= side) & (c > 0) & (c <= side)]
+        r, c = self.place(there)
+        there = there[(r >= top) & (r < top + side) & (c >= left) & (c < left + side)]
         whole = self.values[next(iter(values))][there] < np.inf
         self.own, self.blank = there[whole], there[~whole]
         self.rows, self.cols = self.place(self.own)
@@ -111,13 +112,13 @@ class Tile:
         return at // self.wide + self.top, at % self.wide + self.left
 
     def mine(self) -> list[bool]:
-        out = np.zeros(self.wide * self.wide, bool)
+        out = np.zeros(self.size, bool)
         out[self.own] = True
         return out.tolist()
 
     def names(self) -> list[int]:
         """The node of every place."""
-        return node(*self.place(np.arange(self.wide * self.wide))).tolist()
+        return node(*self.place(np.arange(self.size))).tolist()
 
 
 def flooded(tile: Tile) -> tuple[np.ndarray, np.ndarray, Edges, Edges]:
