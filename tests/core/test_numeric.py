@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tributary.functions import special
+from tributary.functions import blocks, special
 from tributary.functions import distributions as dist
 from tributary.functions.distributions import FAMILIES, fitted, kappa_ratios, lmoment_ratios, solve_kappa
 from tributary.operators import cluster, homogeneity, indexflood, lmoments, maxima, names, raster, roi, selection, space, validate
@@ -741,3 +741,15 @@ def test_targets_at_one_place_grow_together(spark, monkeypatch):
         monkeypatch.setattr(roi, "FIRST", 30)
         groups = roi.grown_regions(stations, ["x", "y"], rules)
         assert {r.station: (r.members, [x.action for x in r.steps]) for r in groups.collect()} == want
+
+
+def test_small_tables_are_dealt_out(spark):
+    """Regions, pools and blocks of few bytes still go to more than one task."""
+    rows = spark.range(40).select(F.col("id").alias("station"), F.col("id").alias("region"), F.lit(20).alias("n"), F.lit(0.2).alias("t"), F.lit(0.15).alias("t3"), F.lit(0.16).alias("t4"))
+    tasks = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks(homogeneity.region_fits(rows, nsim=5)) > 4
+    assert tasks(homogeneity.tested_regions(rows, nsim=5)) > 4
+    pools = rows.select("station", (F.col("station") + 1).alias("neighbour"), F.lit(1).alias("rank"), "n", "t", "t3", "t4")
+    assert tasks(roi.trimmed_pools(pools, 500, nsim=5)) > 4
+    pair = lambda x, y: x[["station"]]
+    assert tasks(blocks.against(rows, rows, "station", "station", pair, "station long")) > 4

@@ -170,7 +170,7 @@ def leave_one_out(df: DataFrame, key: str, columns: list[str], y: str, enter: fl
                 out.append((name, obs, start, raw.tolist(), start + float(raw @ row), ";".join(terms)))
             yield pd.DataFrame(out, columns=[key, "obs", "start", "raw", "line", "predictors"])
 
-    folds = stored(rows.repartition(key).mapInPandas(fit, f"{key} {kind}, obs double, start double, raw array<double>, line double, predictors string"), "folds")
+    folds = stored(blocks.spread(rows, key).mapInPandas(fit, f"{key} {kind}, obs double, start double, raw array<double>, line double, predictors string"), "folds")
 
     def residuals(x: pd.DataFrame, z: pd.DataFrame) -> pd.DataFrame:
         line = x["start"].to_numpy()[:, None] + np.stack(x["raw"]) @ z[columns].to_numpy(float).T
