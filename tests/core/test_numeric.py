@@ -753,3 +753,21 @@ def test_small_tables_are_dealt_out(spark):
     assert tasks(roi.trimmed_pools(pools, 500, nsim=5)) > 4
     pair = lambda x, y: x[["station"]]
     assert tasks(blocks.against(rows, rows, "station", "station", pair, "station long")) > 4
+
+
+def test_regions_before_transfers_are_simulated_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i % 2, i, 20, *map(float, rng.uniform(0.1, 0.3, 3))) for i in range(14)]
+    members = spark.createDataFrame(rows, "region int, station long, n long, t double, t3 double, t4 double")
+    proposals = spark.createDataFrame([(i, i % 2, 1 - i % 2, 0.2) for i in range(6)], "station long, source int, goal int, fraction double")
+    regions, simulate = [], cluster.region_heterogeneity
+
+    def counted(df, region="region", nsim=500):
+        regions.append(df.select(region).distinct().count())
+        return simulate(df, region, nsim)
+
+    monkeypatch.setattr(cluster, "region_heterogeneity", counted)
+    log = {r.station: r for r in cluster.transfer_log(members, proposals, 20).collect()}
+    assert sum(regions) == 2 * 6 + 2
+    alone = {r.region: r.h1 for r in simulate(members, "region", 20).collect()}
+    assert all((r.h1_before_source, r.h1_before_goal) == (alone[r.source], alone[r.goal]) for r in log.values()) and len(log) == 6
