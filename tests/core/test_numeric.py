@@ -279,6 +279,30 @@ def test_spearman_and_silhouette_by_brute_force(spark):
         assert r.silhouette == pytest.approx((b - a) / max(a, b))
 
 
+def shuffled(df):
+    """Rows and bytes that a result's plan sends through shuffles."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") + plan.count("FlatMapCoGroups")
+
+
+def test_all_pairs_go_through_no_shuffle(spark):
+    """Blocks are read again for each pair, not copied for it; those alike lie side by side."""
+    rng = np.random.default_rng(4)
+    z = np.repeat(rng.normal(size=(30, 2)), 10, axis=0)
+    df = spark.createDataFrame([(i * 37 % 300, *map(float, p)) for i, p in enumerate(z)], "station long, a double, b double").localCheckpoint()
+    got = space.distances(df, "station", ["a", "b"])
+    assert shuffled(got) == 0
+    at = {i * 37 % 300: p for i, p in enumerate(z)}
+    rows = got.collect()
+    assert len({(r.station, r.neighbour) for r in rows}) == len(rows) == 300 * 300
+    assert all(r.distance == pytest.approx(np.sqrt(((at[r.station] - at[r.neighbour]) ** 2).sum()), abs=1e-12) for r in rows)
+    runs = sum(a.distance != b.distance for a, b in zip(rows, rows[1:]))
+    assert runs < 300 * 300 / 5
+    pair = lambda x, y: x.assign(n=len(y))[["station", "n"]]
+    sums = space.blocks.against(df, df, "station", "station", pair, "station long, n long", rows=40)
+    assert shuffled(sums) == 0 and {tuple(r) for r in sums.groupBy("station").agg(F.sum("n")).collect()} == {(i, 300) for i in range(300)}
+
+
 def test_short_and_flat_series(spark):
     rows = [(1, float(v)) for v in (1, 2, 3)] + [(2, 5.0)] * 6 + [(3, v) for v in (-2.0, -1.0, 1.0, 2.0)] + [(4, None)] * 3
     got = {r.station: r for r in lmoments.sample_lmoments(spark.createDataFrame(rows, "station int, ams double")).collect()}
