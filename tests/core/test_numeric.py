@@ -303,6 +303,31 @@ def test_all_pairs_go_through_no_shuffle(spark):
     assert shuffled(sums) == 0 and {tuple(r) for r in sums.groupBy("station").agg(F.sum("n")).collect()} == {(i, 300) for i in range(300)}
 
 
+@pytest.mark.parametrize("most, size", [(1 << 26, 1024), (100, 7)])
+def test_pair_correlation_by_brute_force(spark, monkeypatch, most, size):
+    """Of all pairs, in one round or many, with copies, ties and a row that lacks its value."""
+    monkeypatch.setattr(space.blocks.ordered, "__kwdefaults__", {"rows": size})
+    rng = np.random.default_rng(5)
+    z, t = np.repeat(rng.normal(size=(20, 2)).round(1), 2, axis=0), np.repeat(rng.random(20).round(1), 2)
+    df = spark.createDataFrame([(*map(float, p), float(v)) for p, v in zip(z, t)] + [(0.5, 0.5, None)], "a double, b double, t double")
+    i, j = np.triu_indices(40, 1)
+    d, g = np.sqrt(((z[i] - z[j]) ** 2).sum(1)).round(9), np.abs(t[i] - t[j]).round(9)
+    mean_rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    rounds, cut = [], space._rounds
+    monkeypatch.setattr(space, "_rounds", lambda *a: rounds.append(cut(*a)) or rounds[-1])
+    got = space.pair_correlation(df, ["a", "b"], "t", parts=3, most=most).first()
+    assert got.n == 780 and got.rho == pytest.approx(np.corrcoef(mean_rank(d), mean_rank(g))[0, 1], abs=1e-12)
+    assert (min(map(len, rounds)) > 1) == (most < 1000)
+    assert space.pair_correlation(df.where("t is null"), ["a", "b"], "t").first() == (None, 0)
+
+
+def test_combinations_too_long_for_one_number():
+    d, g = np.array([1 << 40, 5, 1 << 40, 5]), np.array([1 << 30, 7, 1 << 30, 8])
+    for n in (None, np.array([1, 2, 3, 4])):
+        a, b, m = space._counted(d, g, n)
+        assert set(zip(a.tolist(), b.tolist(), m.tolist())) == {(5, 7, 1 if n is None else 2), (5, 8, 1 if n is None else 4), (1 << 40, 1 << 30, 2 if n is None else 4)}
+
+
 def test_short_and_flat_series(spark):
     rows = [(1, float(v)) for v in (1, 2, 3)] + [(2, 5.0)] * 6 + [(3, v) for v in (-2.0, -1.0, 1.0, 2.0)] + [(4, None)] * 3
     got = {r.station: r for r in lmoments.sample_lmoments(spark.createDataFrame(rows, "station int, ams double")).collect()}
