@@ -156,6 +156,36 @@ def test_near_stage_takes_five_words(spark, monkeypatch):
         assert len({label.get(n, n) for n in node.values()}) == len(set(least))
 
 
+def test_near_stage_goes_on_where_the_tries_end(spark, monkeypatch):
+    """What the tries found and the sets confirm is not compared again; what lies further apart
+    is, and so is a list that only partly hangs together."""
+    r = random.Random(7)
+
+    def changed(words, n):
+        for _ in range(500):
+            out = [f"x{r.randrange(10**6)}" if i in places else w for places in [set(r.sample(range(len(words)), n))] for i, w in enumerate(words)]
+            one, two = ([simhash.folded(simhash.shingle_hashes(" ".join(t).encode(), 5)) for t in (words, out)])
+            a, b = five_words(" ".join(words)), five_words(" ".join(out))
+            if 5 * len(a & b) >= 4 * len(a | b):
+                yield " ".join(out), ((one ^ two) & (2**64 - 1)).bit_count()
+
+    words = [[f"w{k}x{r.randrange(10**6)}" for _ in range(200)] for k in range(3)]
+    close = [next(t for t, bits in changed(w, 1) if bits <= 4) for w in words[:2]]
+    apart = [next(t for t, bits in changed(w, 3) if bits > 8) for w in words[1:]]
+    docs = spark.createDataFrame(list(enumerate([*map(" ".join, words), *close, *apart])), "doc_id long, text string")
+    seen, candidates = [], shingle_join.candidates
+
+    def watched(nodes, lists, *rest):
+        seen.append({d.node for d in lists.select("node").collect()})
+        return candidates(nodes, lists, *rest)
+
+    monkeypatch.setattr(shingle_join, "candidates", watched)
+    assert sorted(d.doc_id for d in simhash.deduplicated(docs).collect()) == [0, 1, 2]
+    node = {d._id: d.node for d in shingle_join.shingle_nodes(docs, "doc_id", "text").collect()}
+    assert seen[0] == {node[i] for i in (0, 1, 3, 4)}
+    assert seen[1] == {node[i] for i in (1, 2, 4, 5, 6)}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(500, 500), (600, 601)], "a long, b long")
     got = {r.node: r.label for r in simhash.components(edges).collect()}

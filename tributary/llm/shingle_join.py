@@ -211,6 +211,14 @@ def shared_prefixes(docs: DataFrame, text_col: str) -> DataFrame:
     return dealt_out.mapInArrow(lists, "list long, node long").distinct()
 
 
+def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Lists whose members ``labels`` (node, label) does not already put in one group; in the
+    others every two members are connected."""
+    known = lists.join(labels, "node", "left").select("list", F.coalesce("label", "node").alias("group"))
+    several = known.groupBy("list").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most")
+    return lists.join(several.select("list"), "list", "left_semi").select("list", "node")
+
+
 def merged(lists: DataFrame, most: int = 4 * BLOCK) -> DataFrame:
     """Lists that have members in common as one, where that has at most so many members;
     every pair within a list stays within one, and a set is compared once for all its lists."""

@@ -334,9 +334,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     similarity of 0.8 or more in five-word shingles connect, the one with the smallest id,
     and one row of it.
 
-    The contract's four bits bind ``near_groups``.  Near copies lie further apart, so beside
-    the tries' groups all sets with a prefix shingle in common are compared, by sketches and
-    then, for every link, on the whole sets.  Null ids never win against others.
+    The tries come first: what they group is compared, by sketches and then, for every link,
+    on the whole sets.  Near copies also lie further apart than four bits, so all sets with a
+    prefix shingle in common are compared too, but for lists that the tries' links already
+    connect.  Null ids never win against others.
     """
     from . import shingle_join
 
@@ -347,9 +348,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         grouped = nodes.select("fp", "node").distinct().join(tries.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
         starred = grouped.join(prints.select(F.col("fp").alias("label"), F.col("node").alias("centre")), "label").where("node <> centre")
         starred = starred.select(F.xxhash64("centre", "node").alias("list"), F.explode(F.array("centre", "node")).alias("node"))
-        lists = stored(shingle_join.shared_prefixes(docs, text_col).unionByName(starred), "lists")
-        groups = stored(shingle_join.candidates(nodes, lists), "candidates")
-        labels = components(stored(shingle_join.links(docs, nodes, groups, text_col), "links"))
+        compared = lambda lists: stored(shingle_join.links(docs, nodes, stored(shingle_join.candidates(nodes, lists), "candidates"), text_col), "links")
+        found = compared(stored(starred, "tried"))
+        lists = stored(shingle_join.open_lists(stored(shingle_join.shared_prefixes(docs, text_col), "lists"), components(found)), "open-lists")
+        labels = components(found.unionByName(compared(lists)))
 
         rows = nodes.join(labels, "node", "left").select("_id", "digest", F.coalesce("label", "node").alias("label"))
         rows = stored(rows.groupBy("_id", "digest", "label").agg(F.count(F.lit(1)).alias("copies")), "labelled")
