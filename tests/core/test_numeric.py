@@ -820,3 +820,18 @@ def test_regions_before_transfers_are_simulated_once(spark, monkeypatch):
     assert sum(regions) == 2 * 6 + 2
     alone = {r.region: r.h1 for r in simulate(members, "region", 20).collect()}
     assert all((r.h1_before_source, r.h1_before_goal) == (alone[r.source], alone[r.goal]) for r in log.values()) and len(log) == 6
+
+
+def test_two_rules_in_rounds(spark, monkeypatch):
+    """Regions that wait with unlike numbers of steps by two rules go on as those that see all."""
+    rng = np.random.default_rng(21)
+    ratios, n = region(rng, 16, 30, double=6)
+    table = stations_of(spark, ratios, n, rng.normal(size=(16, 3)))
+    rules = [roi.Rules(nsim_grow=30, station_years=60), roi.Rules(nsim_grow=30, station_years=10_000)]
+    work = lambda names, regions: [{"station": names[r.target], "rule": i, "members": [names[m] for m in r.members], "steps": len(r.steps)} for i, r in enumerate(regions)]
+    grown = lambda: sorted(map(tuple, roi.over_targets(table, list("abc"), rules, work, "station: long, rule: int, members: array<long>, steps: int").collect()))
+    whole = grown()
+    monkeypatch.setattr(roi, "FIRST", 5)
+    monkeypatch.setattr(roi, "MORE", 2)
+    assert grown() == whole and len(whole) == 32
+    assert any(a[3] != b[3] for a, b in zip(whole[::2], whole[1::2]))
