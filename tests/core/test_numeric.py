@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tributary.functions import blocks, special
 from tributary.functions import distributions as dist
 from tributary.functions.distributions import FAMILIES, fitted, kappa_ratios, lmoment_ratios, solve_kappa
-from tributary.operators import cluster, homogeneity, indexflood, lmoments, maxima, names, raster, roi, selection, space, validate
+from tributary.operators import cluster, homogeneity, indexflood, lmoments, maxima, names, raster, roi, selection, space, trials, validate
 from tributary.operators.homogeneity import Sites, heterogeneity
 from tributary.streaming import maxima as streaming
 
@@ -835,3 +835,30 @@ def test_two_rules_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(roi, "MORE", 2)
     assert grown() == whole and len(whole) == 32
     assert any(a[3] != b[3] for a, b in zip(whole[::2], whole[1::2]))
+
+
+def test_trials_by_sums(spark, monkeypatch):
+    """Trials from sums at nodes are those of regions simulated whole with the same draws; a
+    site without ratios and a region of a site are tried too."""
+    rng = np.random.default_rng(12)
+    ratios = np.array([0.1, -0.3, 0.16]) + rng.normal(0, (0.01, 0.05, 0.05), (480, 3))
+    rows = [(int(i < 300), i, int(rng.integers(20, 30)), *map(float, r)) for i, r in enumerate(ratios)]
+    members = spark.createDataFrame([*rows, (0, 900, 20, None, 0.1, 0.1), (7, 901, 20, 0.1, 0.1, 0.1)], "region int, station long, n long, t double, t3 double, t4 double")
+    proposals = spark.createDataFrame([*((i, int(i < 300), int(i >= 300), 0.2) for i in range(270, 330)), (900, 0, 1, 0.1), (901, 7, 1, 0.1)], "station long, source int, goal int, fraction double")
+    wanted = proposals.selectExpr("station", "inline(array(struct(-1 AS sign, source AS region), struct(1 AS sign, goal AS region)))")
+    tried = trials.Trials(members, wanted, 40, homogeneity.SEED)
+    assert tried.few.count() == 3 and tried.many.count() == 121  # a site without ratios, and a region of one that a site leaves
+    logs = [{r.station: r for r in cluster.transfer_log(members, proposals, 40).collect()}]
+    monkeypatch.setattr(trials, "ENOUGH", 1000)
+    assert trials.Trials(members, wanted, 40, homogeneity.SEED).few.count() == 124
+    logs.append({r.station: r for r in cluster.transfer_log(members, proposals, 40).collect()})
+    monkeypatch.setattr(homogeneity, "MOST_SITES", 100)  # the same by blocks, whose sites keep their places
+    logs.append({r.station: r for r in cluster.transfer_log(members, proposals, 40).collect()})
+    assert len(logs[0]) == 62 and logs[0].keys() == logs[1].keys() == logs[2].keys()
+    columns = ["h1_before_source", "h1_after_source", "h1_before_goal", "h1_after_goal", "accepted"]
+    for i, row in logs[0].items():
+        for log in logs[1:]:
+            assert [np.nan if row[c] is None else row[c] for c in columns] == pytest.approx([np.nan if log[i][c] is None else log[i][c] for c in columns], rel=1e-6, abs=1e-7, nan_ok=True)
+    mine = np.array([r[3:] for r in rows if r[0] == 1 and r[1] != 280]), np.array([float(r[2]) for r in rows if r[0] == 1 and r[1] != 280])
+    place = np.delete(np.cumsum([0, *(r[2] for r in rows[:299])]), 280)
+    assert logs[0][280].h1_after_source == pytest.approx(heterogeneity(Sites(*mine, place), 40).h1, rel=1e-6)
