@@ -862,3 +862,17 @@ def test_trials_by_sums(spark, monkeypatch):
     mine = np.array([r[3:] for r in rows if r[0] == 1 and r[1] != 280]), np.array([float(r[2]) for r in rows if r[0] == 1 and r[1] != 280])
     place = np.delete(np.cumsum([0, *(r[2] for r in rows[:299])]), 280)
     assert logs[0][280].h1_after_source == pytest.approx(heterogeneity(Sites(*mine, place), 40).h1, rel=1e-6)
+
+
+def test_distances_are_worked_out_once(spark, tmp_path):
+    """Both ways of a pair come from one distance, and a file of them is shorter than its distances."""
+    rng = np.random.default_rng(6)
+    z = rng.normal(size=(2500, 2))
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(z)], "station long, a double, b double")
+    got = space.distances(df, "station", ["a", "b"])
+    got.write.option("compression", "snappy").parquet(str(tmp_path / "pairs"))
+    rows = spark.read.parquet(str(tmp_path / "pairs")).toPandas()
+    assert len(rows) == 2500 * 2500 and not rows.duplicated(["station", "neighbour"]).any()
+    x, y = z[rows["station"]], z[rows["neighbour"]]
+    assert np.allclose(rows["distance"], np.sqrt(((x - y) ** 2).sum(1)), atol=1e-12)
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.8 * 8 * len(rows)
