@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tributary.functions import blocks, cells
 from tributary.operators import space
@@ -59,3 +60,25 @@ def test_work_grows_little_more_than_points(spark):
         reach = c.points.select("_block").distinct().withColumn("reach", cells.F.lit(float(0.05 * (2000 / n) ** 0.5)))
         count[n] = c.pairs(reach).count()
     assert count[8000] < 6 * count[2000]
+
+
+def test_points_meet_blocks_in_their_own_reach(spark):
+    """One far-reaching point of a block does not take the others along, and nothing near is lost."""
+    rng = np.random.default_rng(9)
+    z = rng.random((2000, 2))
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(z)], "station long, a double, b double")
+    c = cells.Cells(df, "station", ["a", "b"], 100)
+    mine = c.points.withColumn("_reach", F.when(F.col("_key") % 50 == 0, 0.5).otherwise(0.02))
+    pairs = c.pairs(mine.groupBy("_block").agg(F.max("_reach").alias("reach")))
+
+    def every(d, x, y):
+        i, j = np.nonzero(d >= 0)
+        return i, j, d[i, j]
+
+    met = c.compared(mine, pairs, every, others=False).toPandas()
+    sizes = {r["_block"]: r["count"] for r in c.points.groupBy("_block").count().collect()}
+    by_blocks = sum(sizes[r.a] * sizes[r.b] for r in pairs.collect())
+    assert not met.duplicated(["station", "neighbour"]).any() and len(met) < by_blocks / 3
+    found = set(zip(met["station"], met["neighbour"]))
+    far = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))
+    assert all((i, j) in found for i, j in zip(*np.nonzero(far <= np.where(np.arange(2000) % 50 == 0, 0.5, 0.02)[:, None])))
