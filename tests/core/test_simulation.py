@@ -66,3 +66,17 @@ def test_equal_regions_are_simulated_once(monkeypatch):
     other = homogeneity.heterogeneity(homogeneity.Sites(ratios[::-1], years[::-1].astype(float)), 30)
     assert found[0] == found[1] == found[2] != other
     assert len(calls) == 2
+
+
+def test_h1_alone_takes_one_pass(spark, monkeypatch):
+    """H1 by blocks from one pass is that of all three; draws are not made twice."""
+    rng = np.random.default_rng(4)
+    regions = [("big", *planted(rng, 70)), ("small", *planted(rng, 6)), ("one", *planted(rng, 1)), ("wild", *planted(rng, 30, (0.3, 0.99, -0.9), 0)), (None, *planted(rng, 25))]
+    members = members_of(spark, regions)
+    found = lambda df: {r.region: np.nan if r.h1 is None else r.h1 for r in df.collect()}
+    want = found(homogeneity.region_heterogeneity(members, nsim=40))
+    monkeypatch.setattr(homogeneity, "MOST_SITES", 20)
+    monkeypatch.setattr(simulation, "BLOCK", 16)
+    monkeypatch.setattr(simulation.Blocks, "means", None)  # the first of two passes
+    got = found(homogeneity.region_h1(members, nsim=40))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6, abs=1e-7, nan_ok=True) for k in want)
